@@ -27,13 +27,18 @@ _PARSED = """
 
 
 def rule_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, content) of every .yml and .yaml file below ``folder``."""
+    """(file_path, content) of every .yml and .yaml file below ``folder``.
+
+    Paths are relative to the folder, so rule ids survive a move of the folder.
+    """
+    folder = folder.rstrip("/")
+    inside = F.substring_index("path", folder.split("://")[-1] + "/", -1)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{yml,yaml}")
         .load(folder)
-        .select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("content"))
+        .select(inside.alias("file_path"), F.col("content").cast("string").alias("content"))
     )
 
 
