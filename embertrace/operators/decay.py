@@ -1,0 +1,87 @@
+"""Entity risk with decay between alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from embertrace.config import EngineConfig
+from embertrace.functions.common import bucket_of
+from embertrace.functions.scoring import RISK_MAX
+from embertrace.operators.chains import ORDER
+from embertrace.operators.risk import decayed, quiet_ticks
+
+
+def quiet_spells(matches: DataFrame, config: EngineConfig) -> DataFrame:
+    """(entity_name, _day, spell, ticks): matches cut where decay may act.
+
+    Decay needs a whole interval without a match, so buckets one interval wide
+    hold every cut between them; ``ticks`` is how often decay acted before the
+    spell began.
+    """
+    width = config.decay_interval_hours * 3_600_000_000
+    days = matches.groupBy("entity_name", bucket_of("t", width).alias("_day")).agg(
+        F.min("t").alias("_first"), F.max("t").alias("_last")
+    )
+    in_entity = Window.partitionBy("entity_name").orderBy("_day")
+    before = days.withColumn("_previous", F.lag("_last").over(in_entity))
+    # A tick at the instant of a match finds the entity active.
+    ticks = F.coalesce(quiet_ticks(F.col("_previous"), F.col("_first") - 1, config), F.lit(0).cast("bigint"))
+    marked = before.withColumn("ticks", F.when(F.col("_previous").isNull(), 0).otherwise(ticks))
+    spell = F.sum((F.col("ticks") > 0).cast("int")).over(in_entity.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.select("entity_name", "_day", spell.alias("spell"), "ticks")
+
+
+def add_decayed_risk(scored: DataFrame, matches: DataFrame, config: EngineConfig) -> DataFrame:
+    """Entity risk before and after each alert, decay included.
+
+    Inside a spell the score is a saturating sum as without decay. Spells of an
+    entity are few (at most one per decay interval), so their totals are folded
+    as one short array to find the score each spell starts from.
+    """
+    width = config.decay_interval_hours * 3_600_000_000
+    spells = quiet_spells(matches, config)
+    placed = scored.withColumn("_day", bucket_of("t", width)).join(
+        spells.select("entity_name", "_day", "spell"), ["entity_name", "_day"]
+    )
+    # Two-level running sum: whole days first, then rows within a day.
+    per_day = placed.groupBy("entity_name", "spell", "_day").agg(F.sum("risk_delta").alias("_points"))
+    earlier = Window.partitionBy("entity_name", "spell").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    day_offsets = per_day.select(
+        "entity_name", "_day", F.coalesce(F.sum("_points").over(earlier), F.lit(0)).alias("_offset")
+    )
+    points = per_day.groupBy("entity_name", "spell").agg(F.sum("_points").alias("_total"))
+    per_spell = spells.groupBy("entity_name", "spell").agg(F.max("ticks").alias("ticks")).join(
+        points, ["entity_name", "spell"], "left"
+    )
+    runs = per_spell.groupBy("entity_name").agg(
+        F.sort_array(F.collect_list(F.struct("spell", "ticks", F.coalesce("_total", F.lit(0)).alias("total")))).alias("run")
+    )
+    start_of = lambda state, item: F.struct(
+        F.least(
+            F.lit(RISK_MAX).cast("bigint"),
+            decayed(state["score"], item["ticks"], config).cast("bigint") + item["total"],
+        ).alias("score"),
+        F.array_append(
+            state["starts"],
+            F.struct(item["spell"].alias("spell"), decayed(state["score"], item["ticks"], config).alias("start")),
+        ).alias("starts"),
+    )
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("score"),
+        F.array().cast("array<struct<spell:bigint,start:int>>").alias("starts"),
+    )
+    starts = runs.select(
+        "entity_name", F.explode(F.aggregate("run", zero, start_of, lambda state: state["starts"])).alias("_s")
+    ).select("entity_name", "_s.spell", F.col("_s.start").alias("_start"))
+
+    in_day = Window.partitionBy("entity_name", "_day").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumn("_running", F.sum("risk_delta").over(in_day))
+    after = F.col("_start") + F.col("_offset") + F.col("_running")
+    return (
+        running.join(day_offsets, ["entity_name", "_day"]).join(starts, ["entity_name", "spell"])
+        .withColumns({
+            "decayed_risk_after": F.least(F.lit(RISK_MAX), after).cast("int"),
+            "decayed_risk_before": F.least(F.lit(RISK_MAX), after - F.col("risk_delta")).cast("int"),
+        })
+        .drop("_day", "spell", "_offset", "_running", "_start")
+    )
