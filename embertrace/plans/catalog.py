@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from embertrace.plans import correlation_queries  # noqa: F401  (registers its queries)
+from embertrace.plans import correlation_queries, detection_queries  # noqa: F401  (registers their queries)
 from embertrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
