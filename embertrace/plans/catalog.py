@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from embertrace.plans import correlation_queries, detection_queries  # noqa: F401  (registers their queries)
+from embertrace.plans import (  # noqa: F401  (importing registers their queries)
+    correlation_queries,
+    detection_queries,
+    source_queries,
+)
 from embertrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,6 +16,7 @@ from embertrace.functions.common import stable_id
 
 try:
     import yaml
+    _LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 except ImportError:  # the YAML source is unavailable without PyYAML
     yaml = None
 
@@ -50,7 +51,7 @@ def _read_rule(file_path: str, content: str) -> dict:
     """One parsed rule row, or a row with only ``load_status = 'failed'``."""
     failed = {"file_path": file_path, "load_status": "failed"}
     try:
-        raw = yaml.safe_load(content)
+        raw = yaml.load(content, Loader=_LOADER)
     except (yaml.YAMLError, ValueError):
         return failed
     if not isinstance(raw, dict):
@@ -89,10 +90,14 @@ def _read_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parse_rules(files: DataFrame) -> DataFrame:
-    """(file_path, content) rows to parsed rules, one row per file."""
+    """(file_path, content) rows to parsed rules, one row per file.
+
+    Parsing costs far more than moving a rule, and small files arrive in few
+    partitions, so they are spread over the cluster first.
+    """
     if yaml is None:
         raise ImportError("PyYAML is needed to read rule files")
-    return files.select("file_path", "content").mapInPandas(_read_rules, _PARSED)
+    return files.select("file_path", "content").repartition("file_path").mapInPandas(_read_rules, _PARSED)
 
 
 def describe_rules(parsed: DataFrame, config: EngineConfig) -> DataFrame:
