@@ -4,6 +4,7 @@ from embertrace.plans import (  # noqa: F401  (importing registers their queries
     correlation_queries,
     detection_queries,
     source_queries,
+    table_queries,
 )
 from embertrace.plans.registry import ORACLES, QUERIES
 
