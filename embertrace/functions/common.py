@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def truthy(col: Column) -> Column:
     """NULL for the values a string field treats as empty."""
-    return F.nullif(col, F.lit(""))
+    return F.when(col != "", col)
 
 
 def first_truthy(*cols: Column) -> Column:
