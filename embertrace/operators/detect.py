@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from embertrace.config import EngineConfig
 from embertrace.functions.common import iso_utc
 from embertrace.operators.conditions import documented_sql, observed_sql
-from embertrace.operators.predicates import UnsupportedRule, fields_of, selection_test
+from embertrace.operators.predicates import RuleContext, UnsupportedRule, fields_of, patterns_of, selection_test
 from embertrace.sources.rules import Rule, rule_attributes
 
 # --- fixed values: envelope fields a rule may name, and payload aliases ------
@@ -93,96 +94,71 @@ class CompiledRules:
     diagnostics: list[Diagnostic]
 
 
-def _rejected_by_java(spark: SparkSession, rules: list[Rule]) -> set[str]:
-    """Patterns that Python accepts and Java's engine does not."""
-    from embertrace.operators.predicates import java_pattern
+def _refused(items: list, works: Callable[[list], bool]) -> set:
+    """Items that Spark refuses. All are tried at once; singly only if that fails."""
+    if not items or works(items):
+        return set()
+    return {item for item in items if not works([item])}
 
-    patterns: set[str] = set()
-    for rule in rules:
-        for block in rule.detection.values():
-            for mapping in block if isinstance(block, list) else [block]:
-                for key, value in (mapping.items() if isinstance(mapping, dict) else ()):
-                    if [p.strip().lower() for p in key.split("|")[1:2]] == ["re"]:
-                        patterns.update(str(v) for v in (value if isinstance(value, list) else [value]))
 
-    def compiles(batch: list[str]) -> bool:
+def _patterns_work(spark: SparkSession) -> Callable[[list[str]], bool]:
+    def works(patterns: list[str]) -> bool:
+        tests = [F.lit("").rlike(pattern).alias(f"p{i}") for i, pattern in enumerate(patterns)]
         try:
-            spark.range(1).select(*[
-                F.lit("").rlike("(?iu)" + java_pattern(p)).alias(f"p{i}") for i, p in enumerate(batch)
-            ]).collect()
+            spark.range(1).select(*tests).collect()
             return True
-        except Exception:  # Spark wraps the engine's error differently by mode
+        except Exception:  # the engine's own error surfaces in several wrappings
             return False
 
-    patterns = {p for p in patterns if _python_accepts(p)}
-    if not patterns or compiles(sorted(patterns)):
-        return set()
-    return {p for p in patterns if not compiles([p])}
-
-
-def _python_accepts(pattern: str) -> bool:
-    import re
-
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
+    return works
 
 
-def _without_patterns(detection: dict, bad: set[str]) -> dict:
-    """The detection block with rejected regular expressions taken out."""
-
-    def clean(mapping):
-        if not isinstance(mapping, dict):
-            return mapping
-        return {
-            key: [v for v in (value if isinstance(value, list) else [value]) if str(v) not in bad]
-            if [p.strip().lower() for p in key.split("|")[1:2]] == ["re"] else value
-            for key, value in mapping.items()
-        }
+def _conditions_work(spark: SparkSession, columns: list[str]) -> Callable[[list[str]], bool]:
+    def works(conditions: list[str]) -> bool:
+        selections = spark.range(0).select(*[F.lit(True).alias(name) for name in columns])
+        try:
+            return len(selections.select(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(conditions)]).schema) > 0
+        except PySparkException:
+            return False
 
-    return {name: [clean(m) for m in block] if isinstance(block, list) else clean(block)
-            for name, block in detection.items()}
+    return works
 
 
 def compile_rules(spark: SparkSession, rules: list[Rule], config: EngineConfig) -> CompiledRules:
     """Turn rules into columns once; problems become diagnostics and false tests."""
     names = sorted(set().union(*[fields_of(rule.detection) for rule in rules])) if rules else []
     column_of = {name: f"_f{i}" for i, name in enumerate(names)}
-    bad_patterns = _rejected_by_java(spark, rules)
+    patterns = sorted(set().union(*[patterns_of(rule.detection, config) for rule in rules])) if rules else []
+    rejected = frozenset(_refused(patterns, _patterns_work(spark)))
+    rewrite = documented_sql if config.documented else observed_sql
     selections: list[Column] = []
-    conditions: list[tuple[int, str]] = []
+    conditions: list[tuple[Rule, str]] = []
     diagnostics: list[Diagnostic] = []
 
+    def reporter(rule: Rule) -> Callable[[str], None]:
+        return lambda problem: diagnostics.append(Diagnostic(rule.rule_id, rule.title, problem))
+
     for rule in rules:
-        def report(problem: str, rule: Rule = rule) -> None:
-            diagnostics.append(Diagnostic(rule.rule_id, rule.title, problem))
-
-        detection = rule.detection
-        if bad_patterns:
-            detection = _without_patterns(detection, bad_patterns)
-            if detection != rule.detection:
-                report("regular expression not accepted by the engine")
+        context = RuleContext(config, reporter(rule), rejected)
         columns: dict[str, str] = {}
         try:
-            for key, block in detection.items():
-                if key == "condition":
-                    continue
-                test = selection_test(block, lambda name: F.col(column_of[name]), config, report)
-                columns[key] = f"_s{len(selections)}"
-                selections.append(test.alias(columns[key]))
-            rewrite = documented_sql if config.documented else observed_sql
-            sql = rewrite(rule.condition, columns, report)
-            F.expr(sql)
+            for key, block in rule.detection.items():
+                if key != "condition":
+                    test = selection_test(block, lambda name: F.col(column_of[name]), context)
+                    columns[key] = f"_s{len(selections)}"
+                    selections.append(test.alias(columns[key]))
+            conditions.append((rule, rewrite(rule.condition, columns, context.report)))
         except UnsupportedRule as problem:
-            report(str(problem))
-            sql = "false"
-        except PySparkException:
-            report(f"condition cannot be read: {rule.condition!r}")
-            sql = "false"
-        conditions.append((rule.ordinal, sql))
-    return CompiledRules(rules, names, selections, conditions, diagnostics)
+            context.report(str(problem))
+            conditions.append((rule, "false"))
+
+    texts = sorted({sql for _, sql in conditions})
+    unreadable = _refused(texts, _conditions_work(spark, [f"_s{i}" for i in range(len(selections))]))
+    for rule, sql in conditions:
+        if sql in unreadable:
+            reporter(rule)(f"condition cannot be read: {rule.condition!r}")
+    final = [(rule.ordinal, "false" if sql in unreadable else sql) for rule, sql in conditions]
+    return CompiledRules(rules, names, selections, final, diagnostics)
 
 
 def match_events(events: DataFrame, compiled: CompiledRules, config: EngineConfig) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -24,6 +25,16 @@ class UnsupportedRule(ValueError):
     """The rule uses a construct that can never match."""
 
 
+@dataclass(frozen=True)
+class RuleContext:
+    """What the tests of one rule are compiled with."""
+
+    config: EngineConfig
+    report: Callable[[str], None]
+    # Patterns that the rule language allows but the engine's own syntax does not.
+    rejected: frozenset[str] = frozenset()
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
@@ -48,14 +59,36 @@ def java_pattern(pattern: str) -> str:
     return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
 
 
-def _regex(text: Column, values: list, config: EngineConfig, report: Callable[[str], None]) -> list[Column]:
+def patterns_of(detection: dict, config: EngineConfig) -> set[str]:
+    """Usable regular expressions of a detection block, in Java's syntax."""
+    found: set[str] = set()
+    for mapping in mappings_of(detection):
+        for key, value in mapping.items():
+            if modifiers_of(key)[:1] == ["re"]:
+                for item in value if isinstance(value, list) else [value]:
+                    try:
+                        found.add(_engine_pattern(item, config))
+                    except re.error:
+                        pass
+    return found
+
+
+def _engine_pattern(value, config: EngineConfig) -> str:
+    return "(?iu)" + java_pattern(str(value) if config.documented else str(value).lower())
+
+
+def _regex(text: Column, values: list, context: RuleContext) -> list[Column]:
     tests = []
     for value in values:
-        source = str(value) if config.documented else str(value).lower()
         try:
-            tests.append(text.rlike("(?iu)" + java_pattern(source)))
+            pattern = _engine_pattern(value, context.config)
         except re.error as problem:
-            report(f"bad regular expression {value!r}: {problem}")
+            context.report(f"bad regular expression {value!r}: {problem}")
+            continue
+        if pattern in context.rejected:
+            context.report(f"regular expression {value!r} is not accepted by the engine")
+        else:
+            tests.append(text.rlike(pattern))
     return tests
 
 
@@ -102,11 +135,18 @@ def _windash(text: Column, values: list[str]) -> list[Column]:
     return [_contains(slashed, value.replace("-", "/")) for value in values]
 
 
-def field_test(
-    actual: Column, expression: str, expected, config: EngineConfig, report: Callable[[str], None]
-) -> Column:
+def modifiers_of(expression: str) -> list[str]:
+    return [part.strip().lower() for part in expression.split("|")[1:]]
+
+
+def field_of(expression: str) -> str:
+    return expression.split("|")[0].strip().lower()
+
+
+def field_test(actual: Column, expression: str, expected, context: RuleContext) -> Column:
     """Test of one ``field|modifier: expected`` entry against the field's column."""
-    modifiers = [part.strip().lower() for part in expression.split("|")[1:]]
+    config, report = context.config, context.report
+    modifiers = modifiers_of(expression)
     kind = modifiers[0] if modifiers else ""
     raw_values = expected if isinstance(expected, list) else [expected]
     values = [_as_text(value) for value in raw_values]
@@ -115,9 +155,11 @@ def field_test(
     if kind == "null":
         return actual.isNull()
     if kind in ("", "exact"):
+        if config.documented and None in raw_values:
+            # A null in the rule means an absent field, not the text "none".
+            stated = [_as_text(value) for value in raw_values if value is not None]
+            return actual.isNull() | F.coalesce(text.isin(stated) if stated else F.lit(False), F.lit(False))
         test = text.isin(values) if values else F.lit(False)
-        if config.documented and any(value is None for value in raw_values):
-            return actual.isNull() | F.coalesce(test, F.lit(False))
     elif kind == "contains":
         parts = [_contains(text, value) for value in values]
         wants_all = config.documented and modifiers[1:2] == ["all"]
@@ -127,7 +169,7 @@ def field_test(
     elif kind == "endswith":
         test = any_of([text.endswith(value) for value in values])
     elif kind == "re":
-        test = any_of(_regex(text, raw_values, config, report))
+        test = any_of(_regex(text, raw_values, context))
     elif kind == "cidr":
         test = any_of(_cidr(text, raw_values, report))
     elif kind == "windash":
@@ -138,27 +180,25 @@ def field_test(
     return F.coalesce(test, F.lit(False))
 
 
-def selection_test(
-    block, field: Callable[[str], Column], config: EngineConfig, report: Callable[[str], None]
-) -> Column:
+def selection_test(block, field: Callable[[str], Column], context: RuleContext) -> Column:
     """A selection: a mapping is an AND over its fields, a list an OR over mappings."""
     if isinstance(block, list):
         if any(not isinstance(item, dict) for item in block):
             raise UnsupportedRule("keyword lists are not supported")
-        return any_of([selection_test(item, field, config, report) for item in block])
+        return any_of([selection_test(item, field, context) for item in block])
     if isinstance(block, dict):
-        return all_of([
-            field_test(field(key.split("|")[0].strip().lower()), key, expected, config, report)
-            for key, expected in block.items()
-        ])
+        return all_of([field_test(field(field_of(key)), key, expected, context) for key, expected in block.items()])
     return F.lit(False)
 
 
+def mappings_of(detection: dict) -> list[dict]:
+    """Every field mapping of a detection block."""
+    return [
+        mapping for block in detection.values()
+        for mapping in (block if isinstance(block, list) else [block]) if isinstance(mapping, dict)
+    ]
+
+
 def fields_of(detection: dict) -> set[str]:
     """Lower-cased names of the fields a detection block reads."""
-    names: set[str] = set()
-    for block in detection.values():
-        for mapping in block if isinstance(block, list) else [block]:
-            if isinstance(mapping, dict):
-                names.update(key.split("|")[0].strip().lower() for key in mapping)
-    return names
+    return {field_of(key) for mapping in mappings_of(detection) for key in mapping}
