@@ -50,11 +50,13 @@ class EngineConfig:
     # the same result, so the values change speed and memory only.
     fold_limit: int = 10_000
     slice_rows: int = 2_000_000
-    rules_per_pass: int = 64
+    rules_per_pass: int = 60  # one bit each, below 63
 
     def __post_init__(self) -> None:
         if self.semantics not in (DOCUMENTED, OBSERVED):
             raise ValueError(f"semantics must be {DOCUMENTED!r} or {OBSERVED!r}")
+        if not 1 <= self.rules_per_pass <= 62:
+            raise ValueError("rules_per_pass must be between 1 and 62")
         if not 0.0 <= self.decay_rate <= 1.0:
             raise ValueError("decay_rate must be between 0.0 and 1.0")
 

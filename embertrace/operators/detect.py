@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -164,29 +165,46 @@ def compile_rules(spark: SparkSession, rules: list[Rule], config: EngineConfig)
 def match_events(events: DataFrame, compiled: CompiledRules, config: EngineConfig) -> DataFrame:
     """Every event column plus ``rule_ordinal``, one row per match.
 
-    A chain of projections and one generator: no join, no shuffle, one scan for
-    the whole rule set. Tests are computed once per selection and event.
+    A chain of projections, a filter and one generator: no join, no shuffle, one
+    scan for the whole rule set. Each field is lower-cased once and each
+    selection tested once per event. Results are collected as bits of a few
+    numbers, so an event that matches nothing costs no array.
     """
     kept = events.columns
     fields = _with_payload_arrays(events) if compiled.field_names else events
-    fields = fields.select(*kept, *[event_field(name).alias(f"_f{i}") for i, name in enumerate(compiled.field_names)])
+    fields = fields.select(
+        *kept, *[F.lower(event_field(name)).alias(f"_f{i}") for i, name in enumerate(compiled.field_names)]
+    )
     tested = fields.select(*kept, *compiled.selections)
 
-    # A miss is -1 and removed afterwards: array_remove stays in generated code.
-    hits = [
-        F.when(F.expr(sql), F.lit(ordinal)).otherwise(F.lit(-1))
-        for ordinal, sql in compiled.conditions if config.rules_enabled
-    ]
-    passes = [
-        F.array_remove(F.array(*hits[i:i + config.rules_per_pass]), -1)
-        for i in range(0, len(hits), config.rules_per_pass)
-    ] or [F.array().cast("array<int>")]
-    matched = F.concat(*passes) if len(passes) > 1 else passes[0]
-    return tested.select(*kept, matched.alias("_matched")).select(
-        *kept, F.explode("_matched").alias("rule_ordinal")
+    live = compiled.conditions if config.rules_enabled else []
+    passes = [live[i:i + config.rules_per_pass] for i in range(0, len(live), config.rules_per_pass)]
+    if not passes:
+        return events.withColumn("rule_ordinal", F.lit(0)).limit(0)
+    masks = [f"_m{i}" for i in range(len(passes))]
+    masked = tested.select(*kept, *[_mask(rules).alias(name) for name, rules in zip(masks, passes)])
+    hit = masked.filter(reduce(lambda a, b: a | b, [F.col(name) != 0 for name in masks]))
+    ordinals = [_ordinals(F.col(name), rules) for name, rules in zip(masks, passes)]
+    return hit.select(
+        *kept, F.explode(F.concat(*ordinals) if len(ordinals) > 1 else ordinals[0]).alias("rule_ordinal")
     )
 
 
+def _mask(rules: list[tuple[int, str]]) -> Column:
+    """One bit per rule of a pass, set where its condition holds."""
+    bits = [F.expr(f"if({sql}, {1 << i}L, 0L)") for i, (_, sql) in enumerate(rules)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _ordinals(mask: Column, rules: list[tuple[int, str]]) -> Column:
+    """Ordinals of the bits set in ``mask``."""
+    named = [
+        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(ordinal)).otherwise(F.lit(-1))
+        for i, (ordinal, _) in enumerate(rules)
+    ]
+    return F.when(mask != 0, F.array_remove(F.array(*named), -1)).otherwise(F.array().cast("array<int>"))
+
+
 def with_rule_attributes(matches: DataFrame, rules: list[Rule]) -> DataFrame:
     """Attach title, level, severity, MITRE and narration text of the rule.
 

@@ -143,22 +143,22 @@ def field_of(expression: str) -> str:
     return expression.split("|")[0].strip().lower()
 
 
-def field_test(actual: Column, expression: str, expected, context: RuleContext) -> Column:
-    """Test of one ``field|modifier: expected`` entry against the field's column."""
+def field_test(text: Column, expression: str, expected, context: RuleContext) -> Column:
+    """Test of one ``field|modifier: expected`` entry against the field's
+    lower-cased column."""
     config, report = context.config, context.report
     modifiers = modifiers_of(expression)
     kind = modifiers[0] if modifiers else ""
     raw_values = expected if isinstance(expected, list) else [expected]
     values = [_as_text(value) for value in raw_values]
-    text = F.lower(actual)
 
     if kind == "null":
-        return actual.isNull()
+        return text.isNull()
     if kind in ("", "exact"):
         if config.documented and None in raw_values:
             # A null in the rule means an absent field, not the text "none".
             stated = [_as_text(value) for value in raw_values if value is not None]
-            return actual.isNull() | F.coalesce(text.isin(stated) if stated else F.lit(False), F.lit(False))
+            return text.isNull() | F.coalesce(text.isin(stated) if stated else F.lit(False), F.lit(False))
         test = text.isin(values) if values else F.lit(False)
     elif kind == "contains":
         parts = [_contains(text, value) for value in values]
