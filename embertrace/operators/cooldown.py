@@ -126,7 +126,7 @@ def _list_fired(gap: int):
 
 def _fold_large(rows: DataFrame, columns: list[str], gap: int) -> DataFrame:
     part = [*KEYS, "island", "slice"]
-    times = rows.select(*part, "t").distinct()
+    times = stage(rows.select(*part, "t").distinct(), "hot-times")
     table = times.groupBy(*part).applyInPandas(
         _slice_table(gap), "entry long, exit long, entity_name string, rule_ordinal int, island long, slice long"
     )

@@ -165,8 +165,8 @@ def compile_rules(spark: SparkSession, rules: list[Rule], config: EngineConfig)
 def match_events(events: DataFrame, compiled: CompiledRules, config: EngineConfig) -> DataFrame:
     """Every event column plus ``rule_ordinal``, one row per match.
 
-    A chain of projections, a filter and one generator: no join, no shuffle, one
-    scan for the whole rule set. Each field is lower-cased once and each
+    A chain of projections and one generator: no join, no shuffle, one scan for
+    the whole rule set. Each field is lower-cased once and each
     selection tested once per event. Results are collected as bits of a few
     numbers, so an event that matches nothing costs no array.
     """
@@ -183,9 +183,10 @@ def match_events(events: DataFrame, compiled: CompiledRules, config: EngineConfi
         return events.withColumn("rule_ordinal", F.lit(0)).limit(0)
     masks = [f"_m{i}" for i in range(len(passes))]
     masked = tested.select(*kept, *[_mask(rules).alias(name) for name, rules in zip(masks, passes)])
-    hit = masked.filter(reduce(lambda a, b: a | b, [F.col(name) != 0 for name in masks]))
+    # No filter on the masks here: Spark would push it below the projections and
+    # test every rule a second time. The generator drops events without a match.
     ordinals = [_ordinals(F.col(name), rules) for name, rules in zip(masks, passes)]
-    return hit.select(
+    return masked.select(
         *kept, F.explode(F.concat(*ordinals) if len(ordinals) > 1 else ordinals[0]).alias("rule_ordinal")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from embertrace.config import EngineConfig
 
@@ -25,49 +25,58 @@ def rule_match_counts(matches: DataFrame, alerts: DataFrame, rules: DataFrame) -
     )
 
 
+def _count(table: DataFrame, only: Column | None = None) -> Column:
+    """Row count of a table (or of its rows that satisfy ``only``) as a scalar subquery."""
+    return table.agg(F.count("*") if only is None else F.count_if(only)).scalar()
+
+
+def _critical(config: EngineConfig) -> Column:
+    return F.col("risk_score") >= config.risk_critical
+
+
 def store_stats(
     alerts: DataFrame, chains: DataFrame, entities: DataFrame, rules: DataFrame, config: EngineConfig
 ) -> DataFrame:
-    """One row of totals; each table is aggregated to one row before they meet."""
-    return (
-        alerts.agg(F.count("*").alias("total_alerts"))
-        .join(chains.agg(F.count("*").alias("total_chains"), F.count_if("is_escalated").alias("escalated_chains")))
-        .join(entities.agg(
-            F.count("*").alias("total_entities"),
-            F.count_if(F.col("risk_score") >= config.risk_critical).alias("critical_entities"),
-        ))
-        .join(rules.agg(F.count_if("enabled").alias("total_rules")))
-    )
+    """One row of totals."""
+    return alerts.agg(F.count("*").alias("total_alerts")).withColumns({
+        "total_chains": _count(chains),
+        "escalated_chains": _count(chains, F.col("is_escalated")),
+        "total_entities": _count(entities),
+        "critical_entities": _count(entities, _critical(config)),
+        "total_rules": _count(rules, F.col("enabled")),
+    })
 
 
 def detection_stats(events: DataFrame, matches: DataFrame, rules: DataFrame) -> DataFrame:
-    return (
-        rules.agg(F.count("*").alias("rules_loaded"), F.count_if("enabled").alias("rules_enabled"))
-        .join(events.agg(F.count("*").alias("events_evaluated")))
-        .join(matches.agg(F.count("*").alias("total_matches")))
-    )
+    return events.agg(F.count("*").alias("events_evaluated")).withColumns({
+        "total_matches": _count(matches),
+        "rules_loaded": _count(rules),
+        "rules_enabled": _count(rules, F.col("enabled")),
+    })
 
 
 def correlation_stats(alerts: DataFrame, chains: DataFrame, entities: DataFrame, config: EngineConfig) -> DataFrame:
-    return (
-        entities.agg(
-            F.count("*").alias("entities_tracked"),
-            F.count_if(F.col("risk_score") >= config.risk_critical).alias("critical_entities"),
-        )
-        .join(chains.agg(
-            F.count("*").alias("active_chains"), F.count_if("is_escalated").alias("escalated_chains"),
-            F.count("*").alias("chains_formed"), F.count_if("is_escalated").alias("escalations"),
-        ))
-        .join(alerts.agg(F.count("*").alias("alerts_generated")))
-    )
+    return alerts.agg(F.count("*").alias("alerts_generated")).withColumns({
+        "entities_tracked": _count(entities),
+        "critical_entities": _count(entities, _critical(config)),
+        "active_chains": _count(chains),
+        "chains_formed": _count(chains),
+        "escalated_chains": _count(chains, F.col("is_escalated")),
+        "escalations": _count(chains, F.col("is_escalated")),
+    })
 
 
 def ingest_totals(events: DataFrame, matches: DataFrame, alerts: DataFrame) -> DataFrame:
-    return (
-        events.agg(F.count("*").alias("events_processed"))
-        .join(matches.agg(F.count("*").alias("rules_matched")))
-        .join(alerts.agg(F.count("*").alias("alerts_fired")))
-    )
+    return events.agg(F.count("*").alias("events_processed")).withColumns({
+        "rules_matched": _count(matches), "alerts_fired": _count(alerts),
+    })
+
+
+def rule_stats(events: DataFrame, matches: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The most alerting rules beside the engine's totals."""
+    return alert_count_by_rule(alerts).withColumns({
+        "total_matches": _count(matches), "events_evaluated": _count(events),
+    })
 
 
 def replay_totals(events: DataFrame, alerts: DataFrame, run: str = "run_id") -> DataFrame:

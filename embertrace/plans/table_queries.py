@@ -416,5 +416,4 @@ def replay_totals(spark, sf_dir):
 def rule_stats(spark, sf_dir):
     """Engine totals beside the most alerting rules."""
     s = store(spark, sf_dir)
-    totals = stats.detection_stats(bound_events(spark, sf_dir), s.matches, s.rules)
-    return stats.alert_count_by_rule(s.alerts).join(totals.select("total_matches", "events_evaluated"))
+    return stats.rule_stats(bound_events(spark, sf_dir), s.matches, s.alerts)

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embertrace.config import EngineConfig
 from embertrace.functions import mitre, scoring
@@ -176,29 +177,37 @@ def collect_rules(catalog: DataFrame) -> list[Rule]:
     usable = catalog.filter(F.col("load_status") == "ok")
     if "enabled" in catalog.columns:
         usable = usable.filter("enabled")
-    rows = (
-        usable.withColumn("ordinal", F.row_number().over(Window.orderBy("file_path")) - 1)
-        .select("ordinal", "rule_id", "title", "level", "condition", "detection", "file_path", "mitre_id",
-                "mitre_tactic", "chain_stage", "severity", "risk_points", "summary")
-        .orderBy("ordinal").collect()
-    )
-    return [Rule(**{**row.asDict(), "detection": json.loads(row["detection"])}) for row in rows]
+    rows = usable.select(
+        "rule_id", "title", "level", "condition", "detection", "file_path", "mitre_id", "mitre_tactic", "chain_stage",
+        "severity", "risk_points", "summary",
+    ).orderBy("file_path").collect()
+    return [
+        Rule(**{**row.asDict(), "ordinal": n, "detection": json.loads(row["detection"])}) for n, row in enumerate(rows)
+    ]
+
+
+_ATTRIBUTES = pa.schema([
+    ("rule_ordinal", pa.int32()), ("rule_id", pa.string()), ("rule_title", pa.string()), ("title_key", pa.int32()),
+    ("rule_level", pa.string()), ("severity", pa.int32()), ("risk_points", pa.int32()), ("mitre_id", pa.string()),
+    ("mitre_tactic", pa.string()), ("chain_stage", pa.string()), ("rule_summary", pa.string()), ("why", pa.string()),
+])
 
 
 def rule_attributes(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """Attributes joined to matches by ``rule_ordinal``."""
+    """Attributes joined to matches by ``rule_ordinal``.
+
+    Built from Arrow, which gives a local relation: Spark knows its size, so it
+    can choose to broadcast this side and never the matches.
+    """
     titles = {title: n for n, title in enumerate(sorted({rule.title for rule in rules}))}
     rows = [
         (r.ordinal, r.rule_id, r.title, titles[r.title], r.level, r.severity, r.risk_points, r.mitre_id,
          r.mitre_tactic, r.chain_stage, r.summary, explain_rule(r))
         for r in rules
     ]
-    return spark.createDataFrame(
-        rows,
-        "rule_ordinal int, rule_id string, rule_title string, title_key int, rule_level string, severity int, "
-        "risk_points int, mitre_id string, mitre_tactic string, chain_stage string, rule_summary string, "
-        "why string",
-    )
+    columns = list(zip(*rows)) or [()] * len(_ATTRIBUTES)
+    table = pa.table([pa.array(values, field.type) for values, field in zip(columns, _ATTRIBUTES)], schema=_ATTRIBUTES)
+    return spark.createDataFrame(table)
 
 
 def explain_rule(rule: Rule) -> str:

@@ -44,6 +44,9 @@ def _rows(names: list[str], rows) -> list[tuple]:
 def compare(spark, con, sf_dir: str, function, sql: str) -> str | None:
     """None when rows and columns agree, else what differs."""
     df = function(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return "the plan forms all pairs"
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
