@@ -37,6 +37,7 @@ def test_top_k_lists_do_not_sort_everything(spark, sf_dir):
 
 
 def test_filters_reach_the_stored_table(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = plan_of(lookup.get_alerts(store(spark, sf_dir).alerts, entity_name="user_7", min_severity=5))
     assert "EqualTo(entity_name,user_7)" in plan and "GreaterThanOrEqual(severity,5)" in plan
 
