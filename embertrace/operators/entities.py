@@ -29,7 +29,6 @@ def first_known(matches: DataFrame) -> DataFrame:
 
 def attach_entity(alerts: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity type, host and domain as known when the alert was raised (D3)."""
-    known = F.struct(alerts["t"], alerts["event_id"])
     slim = entities.select("entity_name", "first_type", "first_domain", "first_host", "host_known")
     joined = alerts.join(slim, "entity_name", "left")
     return joined.withColumn(

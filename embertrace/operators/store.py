@@ -74,11 +74,6 @@ def warm_start(entities: DataFrame, chains: DataFrame) -> DataFrame:
     return state.join(active_chains(chains), "entity_name", "left")
 
 
-def numbered_newest(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """First ``limit`` rows by ``order``; planned as a top-k, never a full sort."""
-    return rows.orderBy(*order).limit(limit)
-
-
 def per_key_newest(rows: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
     """First ``limit`` rows of every key; Spark cuts each task's share before the shuffle."""
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -115,7 +115,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("mitre"),
         F.when(v == 4, F.create_map(F.lit("LogonType"), k.cast("string"))).alias("raw_payload"),
     ))
-    broken = F.when(n % 40 == 6, F.concat(F.lit('{"entity":null,'), F.substring(raw, 2, 100_000))).when(
+    broken = F.when(n % 40 == 6, F.concat(F.lit('{"entity":null,'), F.substr(raw, F.lit(2)))).when(
         n % 40 == 14, F.concat(F.lit("["), raw, F.lit("]"))
     ).otherwise(raw)
     return ev.select(F.col("n").cast("string").alias("id"), broken.alias("raw"))
@@ -205,17 +205,14 @@ def norm_event_type(spark, sf_dir):
 
 
 @query(on_events("""SELECT event_id, CASE
-    WHEN v NOT IN (2, 3, 5) OR id % 40 = 14 THEN 'other'
-    WHEN v = 3 AND ki % 5 = 0 THEN 'auth' WHEN v = 3 AND ki % 5 = 1 THEN 'process' WHEN v = 3 AND ki % 5 = 2 THEN 'network'
-    WHEN v = 3 AND ki % 5 = 3 THEN 'registry' WHEN v = 3 THEN 'other'
+    WHEN id % 40 = 14 THEN 'other' WHEN v = 0 THEN 'auth' WHEN v = 1 THEN 'process' WHEN v NOT IN (2, 5) THEN 'other'
     WHEN message = 'user logon seen' THEN 'auth' WHEN message = 'cmd started' THEN 'process'
     WHEN message = 'http get' THEN 'network' WHEN message = 'hklm key' THEN 'registry' WHEN message = 'delete it' THEN 'file'
-    ELSE 'other' END AS event_type FROM norm WHERE v IN (2, 5)""", _NORMAL))
+    ELSE 'other' END AS event_type FROM norm""", _NORMAL))
 def infer_event_type(spark, sf_dir):
-    """Inferred types of records whose stated type is not a known one (observed semantics)."""
+    """Event types in observed semantics: only a stated but unknown type is inferred."""
     observed = _normalised(spark, sf_dir, CONFIG.with_(semantics="observed"))
-    layout = F.col("event_id").cast("bigint") % 8
-    return observed.filter(layout.isin(2, 5)).select("event_id", F.col("event.type").alias("event_type"))
+    return observed.select("event_id", F.col("event.type").alias("event_type"))
 
 
 @query(on_events("""SELECT event_id, CASE id % 10 WHEN 1 THEN 'unknown source' WHEN 2 THEN 'entity name is missing'
