@@ -2,24 +2,29 @@
 
 The library encodes about 1 MB a second, most of it spent on words met before. A text is therefore cut where the
 vocabulary's pre-tokeniser always cuts, each distinct word is encoded once per worker by the library (its full pipeline,
-or its model alone where a word is plain ASCII), and the ids of a text are put together from those of its words. Texts in
+or its model alone where a word is plain Latin), and the ids of a text are put together from those of its words. Texts in
 which a cut could matter (special strings, unusual white space) go to the library whole. The ids equal the library's for
 the whole text; tests compare both.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 
 from embertrace.llm.common import worker_memory
-
-MEMO = 800_000
-_PLAIN = re.compile(r"[!-~]+").fullmatch
-#: Pieces of plain ASCII words under the two vocabularies' split patterns.
-_WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-_BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+").findall
+from embertrace.llm.token_counts import byte_symbols
+
+MEMO_WORDS = 700_000
+MEMO_PIECES = 300_000
+#: ASCII, and the composed Latin-1 letters, which no normaliser here changes but for their case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Pieces of plain words under the two vocabularies' split patterns.
+_WORD_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+_BYTE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^A-Za-z0-9À-ÖØ-öø-ÿ]+").findall
 _ODD_SPACE = re.compile(r" (?=\s|\Z)").search
 
 
@@ -28,37 +33,30 @@ class _Memo:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.lengths, self.starts, self.ids = array("q"), array("q"), array("I")
 
     def add(self, word: str, ids: list[int]) -> None:
-        at, n = len(self.number), len(ids)
-        while at >= len(self.lengths):
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used: self.used + n] = ids
-        self.lengths[at], self.starts[at] = n, self.used
-        self.used += n
-        self.number[word] = at
+        self.number[word] = len(self.lengths)
+        self.lengths.append(len(ids))
+        self.starts.append(len(self.ids))
+        self.ids.extend(ids)
 
     def spell(self, words: list[str]) -> np.ndarray:
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[numbers]
+        # These views are gone before the arrays grow again.
+        lengths = np.frombuffer(self.lengths, np.int64)[numbers]
+        starts = np.frombuffer(self.starts, np.int64)[numbers]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)]
+        if not total:
+            return np.empty(0, np.uint32)
+        return np.frombuffer(self.ids, np.uint32)[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
 
 class TextEncoder:
     """``encode(text)`` gives the library's ids of a text as unsigned 32-bit numbers."""
 
     def __init__(self, vocabulary: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
@@ -67,6 +65,7 @@ class TextEncoder:
         # With word ends, white space is dropped; else a space belongs to the word after it.
         self.by_words = bool(spec["model"]["end_of_word_suffix"])
         self.model = self.library.model
+        self.symbols = dict(enumerate(byte_symbols()))
         self.pieces: dict[str, list[int]] = {}
         self.memo = _Memo()
 
@@ -76,21 +75,29 @@ class TextEncoder:
     def _piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+            bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            found = self.pieces[piece] = [t.id for t in self.model.tokenize(bytes_)]
+        return found
+
+    def _spaced(self, piece: str) -> list[int]:
+        found = self.pieces.get(" " + piece)
+        if found is None:
+            bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            found = self.pieces[" " + piece] = [t.id for t in self.model.tokenize(self.symbols[0x20] + bytes_)]
         return found
 
     def _word(self, word: str, space: str) -> list[int]:
         if not _PLAIN(word):
             return self._whole(space + word)
         if self.by_words:
-            return [i for p in _WORD_PIECES(word.lower()) for i in self._piece(p)]
+            pieces = _WORD_PIECES(word.lower())
+            return self._piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]
+        # A space joins the run after it, so a contraction's quote at the start is a symbol run of its own.
+        if space and word[0] == "'":
+            return self._whole(space + word)
         pieces = _BYTE_PIECES(word)
-        if space:
-            # A space joins the run after it, so a contraction's quote at the start is a symbol run of its own.
-            if word[0] == "'":
-                return self._whole(space + word)
-            pieces[0] = "Ġ" + pieces[0]
-        return [i for p in pieces for i in self._piece(p)]
+        ids = self._spaced(pieces[0]) if space else self._piece(pieces[0])
+        return ids if len(pieces) == 1 else [*ids, *(i for p in pieces[1:] for i in self._piece(p))]
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -110,8 +117,9 @@ class TextEncoder:
         for word in set(words).difference(self.memo.number):
             self.memo.add(word, self._word(word, space))
         ids = self.memo.spell(words)
-        if len(self.memo.number) + len(self.pieces) > MEMO:
+        if len(self.memo.number) > MEMO_WORDS:
             self.memo = _Memo()
+        if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
         return np.concatenate([head, ids]) if len(head) else ids
 
