@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from embertrace.llm.common import load
+from embertrace.llm.html_text import extract_text
 from embertrace.llm.mixing import mix_sources
 from embertrace.llm.packing import pack
 from embertrace.llm.quality import COUNTS, RATIOS, quality_rules
 from embertrace.llm.registry import ORACLES, QUERIES, llm_query
 from embertrace.llm.token_counts import count_tokens
 from embertrace.llm.token_files import token_file_digest
+from embertrace.llm.topk import top_k
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -51,3 +53,15 @@ def op6_packing(spark, sf_dir):
     """Every piece of every document with its sequence and offset."""
     pieces = pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@llm_query()
+def op5_topk(spark, sf_dir):
+    """The five best inner products of every fiftieth vector with all others."""
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@llm_query()
+def op7_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return extract_text(load(spark, sf_dir, "pages"))
