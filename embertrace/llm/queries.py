@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embertrace.llm.common import load
 from embertrace.llm.html_text import extract_text
+from embertrace.llm.jaccard import jaccard_components
 from embertrace.llm.mixing import mix_sources
 from embertrace.llm.packing import pack
 from embertrace.llm.quality import COUNTS, RATIOS, quality_rules
@@ -65,3 +66,9 @@ def op5_topk(spark, sf_dir):
 def op7_html_text(spark, sf_dir):
     """Main text of every page."""
     return extract_text(load(spark, sf_dir, "pages"))
+
+
+@llm_query()
+def op8_jaccard(spark, sf_dir):
+    """Size of every document's shingle set and its component of near duplicates."""
+    return jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
