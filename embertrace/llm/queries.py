@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from embertrace.llm.common import load
+from embertrace.llm.hmm import hmm_scores
 from embertrace.llm.html_text import extract_text
 from embertrace.llm.jaccard import jaccard_components
 from embertrace.llm.mixing import mix_sources
 from embertrace.llm.packing import pack
 from embertrace.llm.quality import COUNTS, RATIOS, quality_rules
+from embertrace.llm.repeats import repeated_spans
 from embertrace.llm.registry import ORACLES, QUERIES, llm_query
 from embertrace.llm.token_counts import count_tokens
 from embertrace.llm.token_files import token_file_digest
@@ -72,3 +74,15 @@ def op7_html_text(spark, sf_dir):
 def op8_jaccard(spark, sf_dir):
     """Size of every document's shingle set and its component of near duplicates."""
     return jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@llm_query()
+def op3_repeats(spark, sf_dir):
+    """Documents with passages of 50 words or more that repeat, and where."""
+    return repeated_spans(load(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op10_hmm(spark, sf_dir):
+    """Baseline and hidden Markov scores of every document."""
+    return hmm_scores(load(spark, sf_dir, "documents"))
