@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from embertrace.llm.common import gram_hashes, map_batches, text_bytes, word_hashes
@@ -153,7 +154,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     @F.pandas_udf("string")
     def shortened(text, starts, ends):
         rows = zip(text, starts, ends)
-        return text.__class__([t if s is None else cut(t.encode(), s, e).decode() for t, s, e in rows])
+        return pd.Series([t if s is None else cut(t.encode(), s, e).decode() for t, s, e in rows])
 
     text = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(shortened("text", "_starts", "_ends"))
     changed = met.withColumn("text", text)
