@@ -10,6 +10,7 @@ A document is the set of its word n-grams (64-bit hashes). Documents with equal
    group only opens nothing; near all tokens are of that kind and go after one partial aggregation.
 3. *Opening.* For tokens in several groups, members of different groups are compared if sizes and the token's positions
    leave room for the overlap the threshold asks for. A member is never compared within its own group: it is connected.
+   Groups open in rounds, a few members first; groups that prove linked become one, and need no more comparisons.
 4. *Verification* recomputes both sets from the texts and compares them in full. Links and groups give the components.
 
 The order of tokens (frequent last) is fitted on a bounded sample: ``sample_docs`` documents, ``sample_tokens`` tokens. Any order gives
@@ -23,7 +24,7 @@ has no other; an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embertrace.llm.common import gram_hashes, map_batches, mixed, text_bytes, word_hashes
 from embertrace.llm.components import components
@@ -35,6 +36,8 @@ SAMPLE_TOKENS = 1 << 18
 #: Most rows of a table that is broadcast by hint: 16 bytes each.
 BROADCAST_ROWS = 500_000
 FILTER_SLOTS = 1 << 20
+#: Members of a group that the first round opens per token.
+OPENED_MEMBERS = 4
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -159,6 +162,37 @@ def _with_group(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     return joined.withColumn("gid", F.coalesce("component", column)).drop("component")
 
 
+def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
+                 percent: int) -> DataFrame:
+    """Groups after comparing members of different groups that share a token, in rounds.
+
+    A round compares at most ``members`` members of a group per token; groups that turn out linked are one group in the
+    next round, which spares all other pairs between them. The bound grows eightfold per round and the last round has none in
+    effect: rounds end when no token has two groups left, or when no group had more members than the last bound.
+    """
+    members, done = OPENED_MEMBERS, None
+    while True:
+        named = _with_group(opened, groups, "class")
+        held = named.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low <> high").select("token")
+        named = named.join(held, "token")
+        order = Window.partitionBy("token", "gid").orderBy("place", "class")
+        ranked = stage(named.withColumn("member", F.row_number().over(order)).filter(F.col("member") <= members + 1), "ranked")
+        asked = ranked.filter(F.col("member") <= members)
+        left = asked.select("token", F.col("gid").alias("gid_a"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
+        right = asked.select("token", F.col("gid").alias("gid_b"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
+        room = (100 + percent) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+        met = left.join(right, "token").filter((F.col("gid_a") < F.col("gid_b")) & _size_fits("n_a", "n_b", percent) & room)
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
+            groups = components(links)
+        if ranked.filter(F.col("member") > members).isEmpty():
+            return groups
+        done = pairs if done is None else done.unionByName(pairs)
+        members *= 8
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_docs: int = SAMPLE_DOCS,
                        sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """``doc_id, text_key, n_shingles, class, component_id`` of every row of ``docs`` (doc_id, text)."""
@@ -184,13 +218,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     opened = tokens.filter(maybe_in(shared, "token", F.col("token"))).join(shared, "token")
     # Equal documents repeat their class's rows.
     opened = stage(opened.dropDuplicates(["token", "class"]), "opened")
-    left = opened.select("token", F.col("gid").alias("gid_a"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    right = opened.select("token", F.col("gid").alias("gid_b"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
-    room = (100 + percent) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    met = left.join(right, "token").filter((F.col("gid_a") < F.col("gid_b")) & _size_fits("n_a", "n_b", percent) & room)
-    pairs = stage(met.select("a", "b").distinct(), "pairs")
-    more = verified(pairs, classes, docs, n, percent)
-    groups = components(links.unionByName(more))
+    groups = _open_groups(opened, groups, links, classes, docs, n, percent)
     # Smallest id of each component, over all rows of all its classes.
     named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")
     smallest = stage(named.groupBy("gid").agg(F.min("doc_id").alias("smallest")), "smallest")
