@@ -40,9 +40,17 @@ def minimisers(keys: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys) - w + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(keys, w)
-    chosen = np.arange(n) + np.concatenate([views[i: i + 65536].argmin(axis=1) for i in range(0, n, 65536)])
-    return np.unique(chosen, return_inverse=True)
+    # Positions of the smallest key of ever wider runs, doubling while that fits.
+    best, width = np.arange(len(keys)), 1
+
+    def smaller(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(keys[left] <= keys[right], left, right)
+
+    while 2 * width <= w:
+        best, width = smaller(best[:-width], best[width:]), 2 * width
+    chosen = smaller(best[:n], best[w - width: w - width + n])
+    new = np.r_[True, chosen[1:] != chosen[:-1]]  # positions never go back
+    return chosen[new], np.cumsum(new) - 1
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -98,19 +106,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     rows = extended.select("doc_id", "text_key", "n_words", F.explode(F.arrays_zip("places", "windows")).alias("x")).select(
         "doc_id", "text_key", "n_words", F.col("x.places").alias("place"), F.col("x.windows").alias("window"))
     met = rows.groupBy("window").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"))
-    repeats = rows.join(met.filter("seen > 1"), "window")
+    # Written before the join, so that Spark may split the rows of a window that very many documents hold.
+    repeats = rows.join(stage(met.filter("seen > 1").select("window", "first"), "repeated-windows"), "window")
     # Null ids order before others, here as in the minimum.
     earlier = ~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))
     # The places of one document: at most one per word of its text, equal rows once.
     marked = repeats.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"), F.collect_set(F.struct(F.col("place"), earlier.alias("copy"))).alias("marks"))
+        F.max("n_words").alias("n_words"), F.collect_set(2 * F.col("place") + earlier.cast("long")).alias("marks"))
 
     def spans(batches):
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("starts", "ends", "copy_starts", "copy_ends", "repeated_words", "copied_words")}
-            for marks in batch.column(3).to_pylist():
-                places = np.array(sorted(m["place"] for m in marks), np.int64)
-                copies = np.array(sorted(m["place"] for m in marks if m["copy"]), np.int64)
+            for marks in batch.column(3):  # place * 2, + 1 for a copy
+                marks = np.sort(marks.values.to_numpy())
+                places, copies = marks >> 1, marks[marks & 1 == 1] >> 1
                 for prefix, name, at in (("", "repeated_words", places), ("copy_", "copied_words", copies)):
                     starts, ends = joined(at, length)
                     out[f"{prefix}starts"].append(starts)
