@@ -124,3 +124,17 @@ def worker_memory(key: str, make: Callable[[], object]):
     if key not in memory:
         memory[key] = make()
     return memory[key]
+
+
+#: Columns of ``documents``.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(df: DataFrame, own: tuple[str, ...] = DOCUMENT) -> DataFrame:
+    """``df`` with every column but ``own`` renamed by its place, so that no name can clash with an operator's."""
+    return df.toDF(*[c if c in own else f"extra_column_{i}" for i, c in enumerate(df.columns)])
+
+
+def restored(df: DataFrame, names: list[str], own: tuple[str, ...] = DOCUMENT) -> list[Column]:
+    """The columns of a sheltered table under their old ``names``, to select from ``df``."""
+    return [F.col(c) if c in own else F.col(f"extra_column_{i}").alias(c) for i, c in enumerate(names)]

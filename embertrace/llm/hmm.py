@@ -26,7 +26,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from embertrace.llm.common import map_batches, text_bytes, word_hashes
+from embertrace.llm.common import map_batches, sheltered, text_bytes, word_hashes
 from embertrace.staging import stage
 
 #: The end token. It holds white space, so no word equals it.
@@ -39,6 +39,8 @@ class HmmConfig:
     rounds: int = 2
     #: Words with emission parameters, at most.
     state_words: int = 1 << 15
+    #: Rarer words stay in the tail, whose share also covers words never met.
+    least_seen: int = 5
     #: Words whose counts are broadcast, at most; others are looked up by a join.
     head_words: int = 1 << 20
     #: Tokens that a task holds at once; documents stay whole.
@@ -57,6 +59,7 @@ def _tokens(text: bytes) -> np.ndarray:
 
 def split(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, text, held_out``; held out are ids whose crc32 as text is 2 modulo 7."""
+    docs = sheltered(docs)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_bytes().alias("text"),
@@ -104,7 +107,7 @@ class Vocabulary:
         self.seen = seen[order]
         by_hash = np.argsort(words[order])
         self.words, self.ranks = words[order][by_hash], by_hash.astype(np.int32)
-        self.state_words = min(config.state_words, len(words))
+        self.state_words = min(config.state_words, int((self.seen >= config.least_seen).sum()))
         self.least = least
         # Tail: everything beyond the ranks with states.
         named = int(self.seen[: self.state_words].sum())

@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embertrace.llm.common import map_batches
+from embertrace.llm.common import map_batches, sheltered
 from embertrace.staging import stage
 
 MIN_PAGES = 10
@@ -361,6 +361,7 @@ def wrappers(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
+    pages = sheltered(pages, ("page_id", "url", "html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     hosted = rows.withColumns({"host": host_of(F.col("url")), "n": F.length("html")})
     own = wrappers(hosted.select("host", "html", "n"), min_pages, share)

@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from embertrace.llm.common import gram_hashes, map_batches, mixed, text_bytes, word_hashes
+from embertrace.llm.common import gram_hashes, map_batches, mixed, restored, sheltered, text_bytes, word_hashes
 from embertrace.llm.components import components
 from embertrace.staging import stage
 
@@ -196,7 +196,7 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_docs: int = SAMPLE_DOCS,
                        sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """``doc_id, text_key, n_shingles, class, component_id`` of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = sheltered(docs).select("doc_id", "text")
     shingled = _shingled(docs, n, percent, _frequent_tokens(docs, n, sample_docs, sample_tokens))
     first = F.min(F.struct("doc_id", "text_key"))
     classes = shingled.filter("n > 0").groupBy("class").agg(first.alias("first"), F.max("n").alias("n"), F.max("keys").alias("keys"))
@@ -229,11 +229,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of every component: the one with the smallest id (and text, if ids repeat)."""
+    names, docs = docs.columns, sheltered(docs)
     found = stage(jaccard_components(docs, n, percent), "components-of-documents")
-    held = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    held = found.filter("n_shingles > 0").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"))
     first = held.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
     wordless = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
     kept = stage(first.unionByName(wordless).distinct(), "kept")
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     joined = keyed.join(kept, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    once = joined.dropDuplicates(["doc_id", "_text_key"])
+    return once.select(*restored(once, names))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embertrace.llm.common import WORD, range_staged, running_sum, source_rank
+from embertrace.llm.common import WORD, range_staged, running_sum, sheltered, source_rank
 from embertrace.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -62,7 +62,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     ``mix_target``, ``mix_finish`` (virtual time) and ``mix_start`` (words of the mix before this copy). In order of
     ``mix_start`` the taken copies are the mix. Every document has one row at least.
     """
-    columns = [c for c in (keep if keep is not None else docs.columns) if not c.startswith("mix_")]
+    names = [c for c in docs.columns if not c.startswith("mix_")]
+    docs = sheltered(docs.select(*names))
+    wanted = [c for c in names if keep is None or c in keep]
+    columns = [c for c, name in zip(docs.columns, names) if name in wanted]
     shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.select(*columns, F.col("source").alias("mix_source"), word_count().alias("mix_size"), shuffled.alias("mix_key"))
     order = [*source_rank("mix_source"), F.col("mix_key")]
@@ -86,7 +89,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     start = F.col("mix_end") - F.col("mix_words")
     # Finish times are floats: a copy that begins within a word of the budget begins at it.
     taken = F.col("mix_due") & ((start < budget) | (F.col("mix_words") == 0))
-    return placed.withColumns({"mix_start": start, "mix_taken": taken}).drop("mix_end", "mix_words", "mix_due", "mix_source")
+    placed = placed.withColumns({"mix_start": start, "mix_taken": taken})
+    back = [F.col(c).alias(name) for c, name in zip(docs.columns, names) if name in wanted]
+    made = ["row", "size", "pass", "source_size", "target", "finish", "start", "taken"]
+    return placed.select(*back, *[f"mix_{c}" for c in made])
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from embertrace.llm.common import map_batches
+from embertrace.llm.common import map_batches, sheltered
 from embertrace.llm.word_ids import encoder
 from embertrace.staging import stage
 
@@ -58,7 +58,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int)
             if rows:
                 yield _columns(part, rows)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = sheltered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return map_batches(rows, PIECE_SPEC, run)
 
 

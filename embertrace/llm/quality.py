@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from embertrace.llm.common import restored, sheltered
+
 WHITE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -138,7 +140,8 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
     the fences are too many to broadcast.
     """
     made = [*COUNTS, *RATIOS, "base_failed", "kept"]
-    docs = docs.drop(*made)
+    names = [c for c in docs.columns if c not in made]
+    docs = sheltered(docs.drop(*made))
     narrow = _with_ratios(with_counts(docs.select("text", "lang", "source")), config)
     fences = thresholds(narrow, config)
     sides = [c for c in fences.columns if c.startswith(("low_", "high_"))]
@@ -153,4 +156,5 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
     inside = F.lit(True)
     for name in RATIOS:
         inside = inside & F.coalesce(F.col(name).between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", "group_rows", *[f"_{c}" for c in sides])
+    judged = judged.withColumn("kept", ~F.col("base_failed") & inside)
+    return judged.select(*restored(judged, names), *made, *sides)

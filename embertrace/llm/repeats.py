@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from embertrace.llm.common import gram_hashes, map_batches, text_bytes, word_hashes
+from embertrace.llm.common import gram_hashes, map_batches, restored, sheltered, text_bytes, word_hashes
 from embertrace.staging import stage
 
 LENGTH = 50
@@ -65,7 +65,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """Documents with repeated passages: doc_id, text_key, n_words, starts, ends (word spans of all repeats),
     copy_starts, copy_ends (spans of copies of an earlier occurrence) and repeated_words, copied_words."""
     w = length - k + 1
-    source = _documents(docs)
+    source = _documents(sheltered(docs))
 
     def suffixes(batches):
         for batch in batches:
@@ -155,6 +155,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     Documents keep their row, be their text empty. Only documents that lose text meet their spans in a join; the
     table of spans is broadcast by Spark if small.
     """
+    names, docs = docs.columns, sheltered(docs)
     copies = repeated_spans(docs, length, k).filter("copied_words > 0").select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("copy_starts").alias("_starts"), F.col("copy_ends").alias("_ends"))
     copies = stage(copies, "copies")
@@ -170,4 +171,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return changed.select(*restored(changed, names))

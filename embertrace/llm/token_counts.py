@@ -24,7 +24,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embertrace.llm.common import map_batches, text_bytes, worker_memory
+from embertrace.llm.common import map_batches, sheltered, text_bytes, worker_memory
 
 MEMO = 1_000_000
 _PLAIN = re.compile(rb"[!-~]+").fullmatch
@@ -148,7 +148,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
             texts = batch.column(1).to_pylist()
             yield {"id": batch.column(0), "n_bytes": [len(t) for t in texts], "n_tokens": [counter.count(t) for t in texts]}
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text).alias("text"))
+    rows = sheltered(docs, (id_column, text)).select(F.col(id_column).cast("long").alias("id"), text_bytes(text).alias("text"))
     counted = map_batches(rows, "id:long, n_bytes:long, n_tokens:long", run)
     over: Column = F.col("n_tokens") > limit
     return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", over.alias("over_limit"))

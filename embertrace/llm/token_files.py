@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from embertrace.llm.common import map_batches, partitions
+from embertrace.llm.common import map_batches, partitions, sheltered
 from embertrace.llm.word_ids import encoder
 from embertrace.staging import staging_root
 
@@ -133,7 +133,7 @@ def _shards(part: int, docs: Iterator[tuple[int | None, np.ndarray]], shard_ids:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards to ``path``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = sheltered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     placed = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
 
