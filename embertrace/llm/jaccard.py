@@ -33,9 +33,9 @@ from embertrace.staging import stage
 MIN_HASHES = 4
 SAMPLE_DOCS = 20_000
 SAMPLE_TOKENS = 1 << 18
-#: Most rows of a table that is broadcast by hint: 16 bytes each.
-BROADCAST_ROWS = 500_000
-FILTER_SLOTS = 1 << 20
+#: Most rows of a table that is broadcast by hint: 24 bytes each.
+BROADCAST_ROWS = 200_000
+FILTER_SLOTS = 1 << 22
 #: Members of a group that the first round opens per token.
 OPENED_MEMBERS = 4
 
@@ -110,24 +110,37 @@ def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
     return stage(map_batches(source, "doc_id:long, text_key:long, n:long, class:long, keys:longs, prefix:longs", run), "shingled")
 
 
-def _slots(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS)).cast("int")
+def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
+    """``token, class, n, place`` of all prefix tokens in ``shared`` (column token).
 
+    Most prefix tokens are in no other group. A table of fixed size, one bit per slot of the hash, keeps them from being
+    shuffled; what it lets through by chance falls to the join.
+    """
+    slot = F.pmod(F.shiftrightunsigned("token", 7), F.lit(FILTER_SLOTS)).cast("int")
+    table = np.zeros(FILTER_SLOTS, bool)
+    table[shared.select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
+    packed = np.packbits(table)
+
+    def run(batches):
+        open_ = np.unpackbits(packed).view(bool)
+        for batch in batches:
+            lists = batch.column(2)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token = lists.flatten().to_numpy()
+            kept = np.flatnonzero(open_[(token.view(np.uint64) >> np.uint64(7)).astype(np.int64) % FILTER_SLOTS])
+            row = np.repeat(np.arange(len(lengths)), lengths)[kept]
+            place = kept - (np.cumsum(lengths) - lengths)[row]
+            yield {"token": token[kept], "class": batch.column(0).to_numpy()[row], "n": batch.column(1).to_numpy()[row], "place": place}
 
-def maybe_in(values: DataFrame, column: str, tested: Column) -> Column:
-    """A filter that holds wherever ``tested`` is among ``values``: a table of fixed size, one byte per slot of the hash."""
-    table = bytearray(FILTER_SLOTS)
-    for slot in values.select(_slots(F.col(column)).alias("slot")).distinct().toArrow().column(0).to_numpy():
-        table[slot] = 1
-    return F.substring(F.lit(bytes(table)), _slots(tested) + 1, F.lit(1)) == F.lit(b"\x01")
+    rows = shingled.filter("n > 0").select("class", "n", "prefix")
+    return map_batches(rows, "token:long, class:long, n:long, place:long", run).join(shared, "token")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets, recomputed from the texts, are within the threshold."""
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes, "class")
-    involved = stage(involved.select("class", F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved")
+    involved = _small(stage(involved.select("class", F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    source = source.filter(maybe_in(involved, "k", F.col("text_key")))
     texts = source.join(involved, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("class", "text")
     texts = stage(texts.dropDuplicates(["class"]), "texts")
     met = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
@@ -149,15 +162,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     return map_batches(met.select("a", "b", "text_a", "text_b"), "a:long, b:long", run)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table of a few numbers per row, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _size_fits(x: str, y: str, percent: int) -> Column:
     return 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     """Add ``gid``: the group of a class, or the class itself. The table of groups is broadcast up to a checked size."""
-    named = groups.select(F.col("node").alias(column), "component")
-    if named.count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
+    named = _small(groups.select(F.col("node").alias(column), "component"))
     joined = rows.join(named, column, "left")
     return joined.withColumn("gid", F.coalesce("component", column)).drop("component")
 
@@ -215,9 +231,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     tokens = tokens.select("gid", "class", "n", F.posexplode("prefix").alias("place", "token"))
     held = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
     shared = stage(held.filter("low <> high").select("token"), "shared")
-    opened = tokens.filter(maybe_in(shared, "token", F.col("token"))).join(shared, "token")
     # Equal documents repeat their class's rows.
-    opened = stage(opened.dropDuplicates(["token", "class"]), "opened")
+    opened = stage(_opened_rows(shingled, shared).dropDuplicates(["token", "class"]), "opened")
     groups = _open_groups(opened, groups, links, classes, docs, n, percent)
     # Smallest id of each component, over all rows of all its classes.
     named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")
