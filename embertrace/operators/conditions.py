@@ -16,7 +16,7 @@ _TOKEN = re.compile(r"[()]|[^\s()]+")
 
 def _group(how: str, names: list[str], columns: dict[str, str]) -> str:
     if not names:
-        return "true" if how == "all" else "false"
+        return "false"  # a quantifier over nothing, as an unknown name, is never true
     glue = " AND " if how == "all" else " OR "
     return "(" + glue.join(f"`{columns[name]}`" for name in names) + ")"
 
@@ -46,32 +46,3 @@ def documented_sql(condition: str, columns: dict[str, str], report: Callable[[st
             words.append("false")
     # The outer parentheses keep a stray word from being read as an alias.
     return "(" + " ".join(words) + ")"
-
-
-def observed_sql(condition: str, columns: dict[str, str], report: Callable[[str], None]) -> str:
-    """Bug-compatible reading: a leading ``not`` takes the whole rest, ``and`` is
-    split before ``or``, and parentheses inside the text are not seen."""
-    text = condition.strip()
-    if text.startswith("not "):
-        return f"(NOT {observed_sql(text[4:], columns, report)})"
-    if text.startswith("(") and text.endswith(")"):
-        return observed_sql(text[1:-1], columns, report)
-    for word in ("and", "or"):
-        if f" {word} " in text.lower():
-            operands = re.split(rf"\b{word}\b", text, flags=re.IGNORECASE)
-            return "(" + f" {word.upper()} ".join(observed_sql(o, columns, report) for o in operands) + ")"
-    quantifier = _QUANTIFIER.match(text)
-    if quantifier and " ".join(text.split()[:2]).lower() in ("1 of", "all of"):
-        prefix = quantifier.group(2).lower()
-        names = [n for n in columns if n.lower().startswith(prefix)]
-        # The condition entry itself is looked at too, and is never true.
-        hidden = ["false"] if "condition".startswith(prefix) else []
-        how = quantifier.group(1).lower()
-        if hidden:
-            glue = " AND " if how == "all" else " OR "
-            return "(" + glue.join([f"`{columns[n]}`" for n in names] + hidden) + ")"
-        return _group(how, names, columns)
-    if text in columns:
-        return f"`{columns[text]}`"
-    report(f"unknown selection {text!r}")
-    return "false"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from embertrace.config import EngineConfig
 from embertrace.functions.common import iso_utc
-from embertrace.operators.conditions import documented_sql, observed_sql
+from embertrace.operators.conditions import documented_sql
 from embertrace.operators.predicates import RuleContext, UnsupportedRule, fields_of, patterns_of, selection_test
 from embertrace.sources.rules import Rule, rule_attributes
 
@@ -131,7 +131,6 @@ def compile_rules(spark: SparkSession, rules: list[Rule], config: EngineConfig)
     column_of = {name: f"_f{i}" for i, name in enumerate(names)}
     patterns = sorted(set().union(*[patterns_of(rule.detection, config) for rule in rules])) if rules else []
     rejected = frozenset(_refused(patterns, _patterns_work(spark)))
-    rewrite = documented_sql if config.documented else observed_sql
     selections: list[Column] = []
     conditions: list[tuple[Rule, str]] = []
     diagnostics: list[Diagnostic] = []
@@ -148,7 +147,7 @@ def compile_rules(spark: SparkSession, rules: list[Rule], config: EngineConfig)
                     test = selection_test(block, lambda name: F.col(column_of[name]), context)
                     columns[key] = f"_s{len(selections)}"
                     selections.append(test.alias(columns[key]))
-            conditions.append((rule, rewrite(rule.condition, columns, context.report)))
+            conditions.append((rule, documented_sql(rule.condition, columns, context.report)))
         except UnsupportedRule as problem:
             context.report(str(problem))
             conditions.append((rule, "false"))

@@ -20,21 +20,62 @@ def register_tables(tables: dict[str, DataFrame]) -> None:
         table.createOrReplaceTempView(name)
 
 
+#: Kinds of plan nodes without children that read nothing, and of expressions that call arbitrary code.
+_HARMLESS_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+_FOREIGN_CODE = {"CallMethodViaReflection", "TryReflect", "PythonUDF", "ScalaUDF"}
+
+
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def _refuse_foreign(plan) -> None:
+    """Walk an analysed plan: all it reads must be registered views, and no outside code may run in it."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        if not plan.isTempView():
+            raise NotAQuery("only the registered tables may be read")
+        return
+    if "ScriptTransformation" in kind:
+        raise NotAQuery("scripts are not permitted")
+    children = [*_items(plan.children()), *(_items(plan.cteDefs()) if kind == "WithCTE" else [])]
+    if not children and kind not in _HARMLESS_LEAVES:
+        raise NotAQuery(f"only the registered tables may be read, not {plan.simpleStringWithNodeId()[:80]}")
+    for expression in _items(plan.expressions()):
+        _refuse_code(expression)
+    for child in children:
+        _refuse_foreign(child)
+
+
+def _refuse_code(expression) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind in _FOREIGN_CODE:
+        raise NotAQuery(f"{expression.prettyName()} is not permitted")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _refuse_foreign(expression.plan())
+    for child in _items(expression.children()):
+        _refuse_code(child)
+
+
 def investigate_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """Run one SELECT (or WITH ... SELECT) over the registered tables.
 
     The text must also be valid inside ``SELECT * FROM ( ... )``. Spark's parser
     refuses commands and several statements there, so nothing is matched by
-    hand. The original text is what runs: a wrapper may lose its ORDER BY.
+    hand. The original text is what runs: a wrapper may lose its ORDER BY. Its
+    analysed plan may read registered views only, and run no script, Java
+    method or user function.
     """
     text = sql.strip().removesuffix(";").strip()
     if not text:
         raise NotAQuery("the query is empty")
     try:
         spark.sql(f"SELECT * FROM (\n{text}\n)", args=args).schema
+        chosen = spark.sql(text, args=args)
     except PySparkException as problem:
         raise NotAQuery(f"only a single SELECT is permitted: {problem}") from problem
-    return spark.sql(text, args=args)
+    _refuse_foreign(chosen._jdf.queryExecution().analyzed())
+    return chosen
 
 
 def entity_alerts_since(alerts: DataFrame, entity_name: str, since: datetime) -> DataFrame:

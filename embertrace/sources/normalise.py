@@ -173,7 +173,7 @@ def normalise(
     once, and each projection stays small enough for the JVM to compile.
     """
     identifier = F.sha2(F.col(raw), 256) if event_id is None else event_id
-    fallback = F.substring(identifier, 1, 12) if index is None else index.cast("string")
+    fallback = identifier if index is None else index.cast("string")
     none = F.lit(None).cast("string")
     found = parse_records(records, raw).withColumns({
         "_id": identifier, "_time_text": time_text(), "_name": resolve_entity_name(fallback),

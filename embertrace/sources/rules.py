@@ -210,15 +210,29 @@ def rule_attributes(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def explain_rule(rule: Rule) -> str:
-    """WHY text: the condition and field criteria of the rule, six parts at most."""
-    parts: list[str] = []
-    for name, block in rule.detection.items():
-        if name == "condition":
-            parts.append(f"Condition: {block}")
-        elif isinstance(block, dict):
-            parts.extend(f"  {field}: {criteria}" for field, criteria in block.items())
-        elif isinstance(block, list):
-            parts.append(f"  {name}: {block[:3]}")
-    shown = "\n".join(parts[:6])
-    return f"Sigma rule '{rule.title}' fired.\n{shown}\n\nRule file: {rule.file_path or 'embedded'}"
+def explain_rule(rule: Rule, max_lines: int | None = 6, max_values: int | None = 3) -> str:
+    """WHY text: what each selection asks for, then the condition, then where the rule is kept.
+
+    ``max_lines`` bounds the lines on selections and condition together, ``max_values`` the alternatives listed for a
+    selection; None shows all.
+    """
+    criteria = [
+        f"  {label}: {wanted}"
+        for name, selection in rule.detection.items() if name != "condition"
+        for label, wanted in _asked_for(name, selection, max_values)
+    ]
+    condition = [f"Condition: {rule.detection['condition']}"] if "condition" in rule.detection else []
+    room = None if max_lines is None else max(0, max_lines - len(condition))
+    told = "\n".join(criteria[:room] + condition)
+    return f"Sigma rule '{rule.title}' fired.\n{told}\n\nRule file: {rule.file_path or 'embedded'}"
+
+
+def _asked_for(name: str, selection: object, max_values: int | None) -> list[tuple[str, object]]:
+    """(field or selection, wanted value) pairs of one selection."""
+    match selection:
+        case dict():
+            return list(selection.items())
+        case list():
+            return [(name, selection[:max_values])]
+        case _:
+            return []

@@ -59,6 +59,9 @@ def test_alert_table_prunes_by_day(spark, tmp_path):
 
 @pytest.mark.parametrize("sql", [
     "DROP TABLE t", "SELECT 1; DROP TABLE t", "INSERT INTO t VALUES (1)", "SET x = 1", "CACHE TABLE t", "", "  ;",
+    "SELECT * FROM text.`/etc/hostname`", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(3)",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS x",
+    "WITH a AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM a", "SELECT java_method('java.util.UUID', 'randomUUID')",
     "CREATE TABLE t AS SELECT 1", "SELECT FROM WHERE", "SELECT 1) t; --", "SELECT missing FROM nowhere",
 ])
 def test_only_one_query_is_permitted(spark, sql):
@@ -71,6 +74,8 @@ def test_queries_keep_their_order_and_take_arguments(spark):
     got = investigate_sql(spark, "SELECT id FROM numbers WHERE id > :low ORDER BY id DESC;", {"low": 6}).collect()
     assert [r.id for r in got] == [9, 8, 7]
     assert investigate_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a").first().x == 1
+    nested = "WITH a AS (SELECT id FROM numbers) SELECT id FROM a WHERE id IN (SELECT max(id) FROM numbers) AND EXISTS (SELECT 1 FROM a)"
+    assert investigate_sql(spark, nested).first().id == 9
 
 
 def test_generated_sql_runs_and_escapes_quotes(spark):
