@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class _Memo:
         self.number: dict[str, int] = {}
         self.lengths, self.starts, self.ids = array("q"), array("q"), array("I")
 
-    def add(self, word: str, ids: list[int]) -> None:
+    def add(self, word: str, ids: Sequence[int]) -> None:
         self.number[word] = len(self.lengths)
         self.lengths.append(len(ids))
         self.starts.append(len(self.ids))
@@ -66,29 +67,37 @@ class TextEncoder:
         self.by_words = bool(spec["model"]["end_of_word_suffix"])
         self.model = self.library.model
         self.symbols = dict(enumerate(byte_symbols()))
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.memo = _Memo()
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
-            bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(bytes_)]
+            bytes_ = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.symbols)
+            found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(bytes_)])
         return found
 
-    def _spaced(self, piece: str) -> list[int]:
+    def _spaced(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(" " + piece)
         if found is None:
             bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-            found = self.pieces[" " + piece] = [t.id for t in self.model.tokenize(self.symbols[0x20] + bytes_)]
+            found = self.pieces[" " + piece] = tuple([t.id for t in self.model.tokenize(self.symbols[0x20] + bytes_)])
         return found
 
-    def _word(self, word: str, space: str) -> list[int]:
+    def _word(self, word: str, space: str) -> Sequence[int]:
         if not _PLAIN(word):
-            return self._whole(space + word)
+            lines = word.split("\n")
+            if len(lines) == 1 or not all(map(_PLAIN, lines)):
+                return self._whole(space + word)
+            # A line break between two words is a piece of its own.
+            ids = list(self._word(lines[0], space))
+            for line in lines[1:]:
+                ids += self._piece("\n")
+                ids += self._word(line, "")
+            return ids
         if self.by_words:
             pieces = _WORD_PIECES(word.lower())
             return self._piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]
