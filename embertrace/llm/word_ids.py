@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -29,24 +29,31 @@ _BYTE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9
 _ODD_SPACE = re.compile(r" (?=\s|\Z)").search
 
 
-class _Memo:
-    """Ids of words as one growing array; a word maps to its number."""
+class _Memo(dict):
+    """Words to numbers; the ids of word n are ``ids[ends[n]:ends[n + 1]]``. A new word is spelled as it is looked up."""
 
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.lengths, self.starts, self.ids = array("q"), array("q"), array("I")
+    def __init__(self, spell_new: Callable[[str], Sequence[int]]) -> None:
+        super().__init__()
+        self.spell_new = spell_new
+        self.ends, self.ids = array("q", [0]), array("I")
 
-    def add(self, word: str, ids: Sequence[int]) -> None:
-        self.number[word] = len(self.lengths)
-        self.lengths.append(len(ids))
-        self.starts.append(len(self.ids))
-        self.ids.extend(ids)
+    def __missing__(self, word: str) -> int:
+        # Spelling may add the word's own parts, so the number is taken afterwards.
+        self.ids.extend(self.spell_new(word))
+        self.ends.append(len(self.ids))
+        number = self[word] = len(self)
+        return number
+
+    def of(self, word: str) -> array:
+        number = self[word]
+        return self.ids[self.ends[number]: self.ends[number + 1]]
 
     def spell(self, words: list[str]) -> np.ndarray:
-        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         # These views are gone before the arrays grow again.
-        lengths = np.frombuffer(self.lengths, np.int64)[numbers]
-        starts = np.frombuffer(self.starts, np.int64)[numbers]
+        bounds = np.frombuffer(self.ends, np.int64)
+        starts = bounds[numbers]
+        lengths = bounds[numbers + 1] - starts
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         if not total:
@@ -65,27 +72,33 @@ class TextEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         # With word ends, white space is dropped; else a space belongs to the word after it.
         self.by_words = bool(spec["model"]["end_of_word_suffix"])
+        self.space = "" if self.by_words else " "
         self.model = self.library.model
         self.symbols = dict(enumerate(byte_symbols()))
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.memo = _Memo()
+        self.lead = self.space.translate(self.symbols)
+        self.pieces: dict[str, list[int]] = {}
+        self.memo = _Memo(self._new)
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _model(self, piece: str, lead: str) -> list[int]:
+        """Ids of one piece, after ``lead`` (in byte symbols)."""
+        if not piece.isascii() or piece == "\n":
+            piece = piece.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.model.tokenize(lead + piece)]
+
+    def _piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
-            bytes_ = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.symbols)
-            found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(bytes_)])
+            found = self.pieces[piece] = self._model(piece, "")
         return found
 
-    def _spaced(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(" " + piece)
-        if found is None:
-            bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-            found = self.pieces[" " + piece] = tuple([t.id for t in self.model.tokenize(self.symbols[0x20] + bytes_)])
-        return found
+    def _new(self, word: str) -> Sequence[int]:
+        """Ids of a word with the space before it, if the vocabulary keeps spaces."""
+        if word.isascii() and word.isalpha() and not (self.by_words and not word.islower()):
+            return [t.id for t in self.model.tokenize(self.lead + word)]
+        return self._word(word, self.space)
 
     def _word(self, word: str, space: str) -> Sequence[int]:
         if not _PLAIN(word):
@@ -93,41 +106,40 @@ class TextEncoder:
             if len(lines) == 1 or not all(map(_PLAIN, lines)):
                 return self._whole(space + word)
             # A line break between two words is a piece of its own.
-            ids = list(self._word(lines[0], space))
+            ids = list(self.memo.of(lines[0]) if space else self._word(lines[0], space))
             for line in lines[1:]:
                 ids += self._piece("\n")
                 ids += self._word(line, "")
             return ids
         if self.by_words:
             pieces = _WORD_PIECES(word.lower())
-            return self._piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]
+            # A piece is a word of its own with the same ids.
+            return self._model(word, "") if pieces == [word] else [i for p in pieces for i in self.memo.of(p)]
         # A space joins the run after it, so a contraction's quote at the start is a symbol run of its own.
         if space and word[0] == "'":
             return self._whole(space + word)
         pieces = _BYTE_PIECES(word)
-        ids = self._spaced(pieces[0]) if space else self._piece(pieces[0])
-        return ids if len(pieces) == 1 else [*ids, *(i for p in pieces[1:] for i in self._piece(p))]
+        if len(pieces) == 1:
+            return self._model(word, self.lead) if space else self._piece(word)
+        head = self.memo.of(pieces[0]) if space else self._piece(pieces[0])
+        return [*head, *(i for p in pieces[1:] for i in self._piece(p))]
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self._whole(text), np.uint32)
         if self.by_words:
-            words, space = text.split(), ""
+            words = text.split()
         elif _ODD_SPACE(text):
             return np.array(self._whole(text), np.uint32)
         else:
-            words, space = text.split(" "), " "
-        if not words:
-            return np.empty(0, np.uint32)
+            words = text.split(" ")
         head = np.empty(0, np.uint32)
-        if space:
+        if self.space:
             first, words = words[0], words[1:]
             head = np.array(self._word(first, "") if first else [], np.uint32)
-        for word in set(words).difference(self.memo.number):
-            self.memo.add(word, self._word(word, space))
         ids = self.memo.spell(words)
-        if len(self.memo.number) > MEMO_WORDS:
-            self.memo = _Memo()
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = _Memo(self._new)
         if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
         return np.concatenate([head, ids]) if len(head) else ids
