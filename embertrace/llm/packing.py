@@ -74,7 +74,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048) ->
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     pieces = stage(cut_documents(docs, vocabulary, end_id, capacity), "pieces")
-    per_part = pieces.groupBy("part", "class_bits").agg(F.count(F.lit(1)).alias("pieces"))
+    # Stored, so that Spark knows the size of these counts before it plans the joins: below its broadcast threshold no
+    # piece is shuffled, beyond it the joins shuffle.
+    per_part = stage(pieces.groupBy("part", "class_bits").agg(F.count(F.lit(1)).alias("pieces")), "piece-counts")
     earlier = Window.partitionBy("class_bits").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("part", "class_bits", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("first"))
     # One row per class: its pieces, the pieces of its full sequences, and where its sequence ids begin.
