@@ -51,7 +51,7 @@ def _fold_small(rows: DataFrame, window: int) -> DataFrame:
         aggregate(
             run,
             named_struct('n', 0, 'head', 0, 'updated', cast(null as bigint),
-                         'titles', cast(array() as array<int>),
+                         'titles', cast(array() as array<bigint>),
                          'out', cast(array() as array<struct<head:int,pos:int,new:boolean>>)),
             (acc, x) ->
                 if(acc.updated is not null and x.t - acc.updated <= {window}L,

@@ -22,12 +22,24 @@ KEYS = ["entity_name", "rule_ordinal"]
 _ORDER = ["t", "event_id"]
 
 
+def one_per_alert(matches: DataFrame) -> DataFrame:
+    """One row per ``alert_id``: of several deliveries of an event the earliest counts.
+
+    Combines before the shuffle, so an event delivered very often does not
+    gather in one task.
+    """
+    rest = [name for name in matches.columns if name != "alert_id"]
+    first = F.min_by(F.struct(*rest), F.struct("t", "entity_name", "event_id")).alias("_row")
+    return matches.groupBy("alert_id").agg(first).select("alert_id", "_row.*").select(*matches.columns)
+
+
 def apply_cooldown(matches: DataFrame, config: EngineConfig) -> DataFrame:
     """The matches that become alerts, all columns kept.
 
-    ``matches`` should be a stored table: it is read once for the bucket
-    summary and once for the fold. It needs ``entity_name``, ``rule_ordinal``,
-    ``event_id`` and the time ``t`` in microseconds.
+    ``matches`` should be a stored table with one row per alert
+    (:func:`one_per_alert`): it is read once for the bucket summary and once for
+    the fold. It needs ``entity_name``, ``rule_ordinal``, ``event_id`` and the
+    time ``t`` in microseconds.
     """
     gap = config.cooldown_us
     if gap <= 0:

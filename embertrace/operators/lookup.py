@@ -57,16 +57,18 @@ def escalated_chains(chains: DataFrame) -> DataFrame:
     return chains.filter("is_escalated").orderBy(F.desc("risk_score"), "chain_id")
 
 
-def chain_alerts(alerts: DataFrame, chains: DataFrame, limit: int = 500) -> DataFrame:
-    """Alerts of the given chains, the newest ``limit`` of each."""
+def chain_alerts(alerts: DataFrame, chains: DataFrame, limit: int | None = 500) -> DataFrame:
+    """Alerts of the given chains, the newest ``limit`` of each, or all."""
     from embertrace.operators.store import per_key_newest
 
     chosen = alerts.join(chains.select("chain_id"), "chain_id", "left_semi")
+    if limit is None:
+        return chosen
     return per_key_newest(chosen, ["chain_id"], [F.desc("timestamp"), F.col("alert_id")], limit)
 
 
-def entity_chains(chains: DataFrame, entity_name: str) -> DataFrame:
-    return get_chains(chains, entity_name=entity_name, limit=50)
+def entity_chains(chains: DataFrame, entity_name: str, limit: int | None = 50) -> DataFrame:
+    return get_chains(chains, entity_name=entity_name, limit=limit)
 
 
 def by_key(table: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from embertrace.functions.scoring import risk_level
 from embertrace.operators import chain_table, decay, entities, narrate, risk
 from embertrace.operators.chains import add_chain_risk, assign_chains
-from embertrace.operators.cooldown import apply_cooldown
+from embertrace.operators.cooldown import apply_cooldown, one_per_alert
 from embertrace.operators.detect import detect
 from embertrace.operators.investigate import lookback_context
 from embertrace.plans.binding import bound_events, bundled_rules
 from embertrace.plans.oracle import RISK_LEVEL, on_alerts, on_chained, on_fired, on_hits, on_tables
+from embertrace.plans.pipeline import correlate
 from embertrace.plans.registry import query
 from embertrace.plans.runs import CONFIG, fresh_matches, fresh_run, store
 from embertrace.staging import stage
@@ -36,12 +37,22 @@ def match_enrich(spark, sf_dir):
 @query(on_fired("SELECT alert_id, event_id, entity_name, ord AS rule_ordinal, timestamp FROM fired"))
 def cooldown_alerts(spark, sf_dir):
     """Matches that survive the cooldown."""
-    fired = apply_cooldown(stage(fresh_matches(spark, sf_dir), "matches"), CONFIG)
+    fired = apply_cooldown(stage(one_per_alert(fresh_matches(spark, sf_dir)), "matches"), CONFIG)
     return fired.select("alert_id", "event_id", "entity_name", "rule_ordinal", "timestamp")
 
 
+@query(on_hits("""SELECT alert_id, entity_name, CAST(least(100, sum(pts) OVER e - pts) AS INTEGER) AS points_before
+    FROM hits WINDOW e AS (PARTITION BY entity_name ORDER BY t, event_id, ord)"""))
+def cooldown_off_repeats(spark, sf_dir):
+    """Every event delivered twice, no cooldown: each match is one alert, folded through the large path."""
+    config = CONFIG.with_(cooldown_seconds=0, chain_min_rules=1_000, fold_limit=1)
+    events = bound_events(spark, sf_dir)
+    run = correlate(events.unionByName(events), bundled_rules(spark), config)
+    return run.alerts.select("alert_id", "entity_name", F.col("entity_risk_before").alias("points_before"))
+
+
 def _chained(spark, sf_dir):
-    fired = stage(apply_cooldown(stage(fresh_matches(spark, sf_dir), "matches"), CONFIG), "fired")
+    fired = stage(apply_cooldown(stage(one_per_alert(fresh_matches(spark, sf_dir)), "matches"), CONFIG), "fired")
     return assign_chains(fired, CONFIG)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from embertrace.config import EngineConfig
 from embertrace.functions.common import micros, stable_id
 from embertrace.operators import chain_table, chains, entities, narrate, risk
-from embertrace.operators.cooldown import apply_cooldown
+from embertrace.operators.cooldown import apply_cooldown, one_per_alert
 from embertrace.operators.detect import compile_rules, match_events
 from embertrace.sources.rules import Rule, rule_attributes
 from embertrace.staging import stage
@@ -79,5 +79,5 @@ class Correlated:
 
 def correlate(events: DataFrame, rules: list[Rule], config: EngineConfig) -> Correlated:
     """Run detection and correlation over an event table."""
-    matches = stage(find_matches(events, rules, config), "matches")
+    matches = stage(one_per_alert(find_matches(events, rules, config)), "matches")
     return Correlated(matches, raise_alerts(matches, rules, config), config)

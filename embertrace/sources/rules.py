@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -187,21 +188,25 @@ def collect_rules(catalog: DataFrame) -> list[Rule]:
 
 
 _ATTRIBUTES = pa.schema([
-    ("rule_ordinal", pa.int32()), ("rule_id", pa.string()), ("rule_title", pa.string()), ("title_key", pa.int32()),
+    ("rule_ordinal", pa.int32()), ("rule_id", pa.string()), ("rule_title", pa.string()), ("title_key", pa.int64()),
     ("rule_level", pa.string()), ("severity", pa.int32()), ("risk_points", pa.int32()), ("mitre_id", pa.string()),
     ("mitre_tactic", pa.string()), ("chain_stage", pa.string()), ("rule_summary", pa.string()), ("why", pa.string()),
 ])
 
 
+def title_key(title: str) -> int:
+    """64-bit hash of a rule title: the same whatever other rules are loaded."""
+    return int.from_bytes(hashlib.sha256(title.encode()).digest()[:8], "big", signed=True)
+
+
 def rule_attributes(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """Attributes joined to matches by ``rule_ordinal``.
 
     Built from Arrow, which gives a local relation: Spark knows its size, so it
     can choose to broadcast this side and never the matches.
     """
-    titles = {title: n for n, title in enumerate(sorted({rule.title for rule in rules}))}
     rows = [
-        (r.ordinal, r.rule_id, r.title, titles[r.title], r.level, r.severity, r.risk_points, r.mitre_id,
+        (r.ordinal, r.rule_id, r.title, title_key(r.title), r.level, r.severity, r.risk_points, r.mitre_id,
          r.mitre_tactic, r.chain_stage, r.summary, explain_rule(r))
         for r in rules
     ]

@@ -15,14 +15,17 @@ from embertrace.config import EngineConfig
 from embertrace.functions.scoring import CHAIN_BONUS, RISK_MAX
 
 # What a match must carry to be correlated.
-MATCH_COLUMNS = ["entity_name", "timestamp", "t", "event_id", "rule_ordinal", "title_key", "risk_points", "alert_id"]
+_FOLDED = ["t", "event_id", "rule_ordinal", "rule_id", "title_key", "risk_points", "alert_id"]
+MATCH_COLUMNS = ["entity_name", "timestamp", *_FOLDED]
 
 ALERT_SCHEMA = (
     "alert_id string, entity_name string, event_id string, rule_ordinal int, t long, chain_id string, "
     "chain_position int, is_new_link boolean, entity_risk_before int, entity_risk_after int, chain_risk_before int, "
     "chain_risk_after int, is_escalated boolean"
 )
-_BUFFER_SCHEMA = "t long, event_id string, rule_ordinal int, title_key int, risk_points int, alert_id string"
+_BUFFER_SCHEMA = (
+    "t long, event_id string, rule_ordinal int, rule_id string, title_key long, risk_points int, alert_id string"
+)
 _ENTITY_SCHEMA = "risk int, head string, updated long, titles string, chain_risk int, escalated boolean"
 
 
@@ -60,7 +63,8 @@ class Correlator(StatefulProcessor):
 
     Waiting for the watermark makes the result independent of arrival order and
     equal to the batch result. Cooldown marks are dropped once they no longer
-    matter.
+    matter. State is keyed by rule id and title hash, which a reload of the
+    rules does not change.
     """
 
     def __init__(self, config: EngineConfig) -> None:
@@ -69,7 +73,7 @@ class Correlator(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entity = handle.getValueState("entity", _ENTITY_SCHEMA)
-        self.last_fired = handle.getMapState("last_fired", "rule_ordinal int", "t long")
+        self.last_fired = handle.getMapState("last_fired", "rule_id string", "t long")
         self.waiting = handle.getListState("waiting", _BUFFER_SCHEMA)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -79,13 +83,11 @@ class Correlator(StatefulProcessor):
             int(row["risk"]), row["head"], int(row["updated"]), row["titles"], int(row["chain_risk"]),
             bool(row["escalated"]),
         ))
+        for rule, mark in json.loads(row["fired"]).items():
+            self.last_fired.updateValue((rule,), (mark,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [
-            tuple(item) for batch in rows
-            for item in batch[["t", "event_id", "rule_ordinal", "title_key", "risk_points", "alert_id"]].itertuples(
-                index=False, name=None)
-        ]
+        arrived = [tuple(item) for batch in rows for item in batch[_FOLDED].itertuples(index=False, name=None)]
         if arrived:
             self.waiting.appendList(arrived)
             # One timer for the newest row releases everything up to it.
@@ -114,13 +116,13 @@ class Correlator(StatefulProcessor):
             state = EntityState(risk, head, updated, tuple(json.loads(titles)), chain_risk, escalated)
         fired = {rule[0]: mark[0] for rule, mark in self.last_fired.iterator()}
         alerts = []
-        for t, event_id, rule, title, points, alert_id in ready:
+        for t, event_id, ordinal, rule, title, points, alert_id in ready:
             if rule in fired and t - fired[rule] < self.config.cooldown_us:
                 continue
             fired[rule] = t
             facts = state.raise_alert(t, title, points, alert_id, self.config)
             chain = hashlib.sha256(f"{name}|{state.head}".encode()).hexdigest()
-            alerts.append({"alert_id": alert_id, "entity_name": name, "event_id": event_id, "rule_ordinal": rule,
+            alerts.append({"alert_id": alert_id, "entity_name": name, "event_id": event_id, "rule_ordinal": ordinal,
                            "t": t, "chain_id": chain, **facts})
         newest = ready[-1][0]
         for rule, mark in fired.items():
@@ -149,9 +151,14 @@ def correlate_stream(
 
 
 def resume_rows(alerts: DataFrame) -> DataFrame:
-    """Initial stream state from stored alerts: risk and the newest chain of each
-    entity."""
+    """Initial stream state from stored alerts: risk, the newest chain and each
+    rule's last alert of each entity."""
     order = F.struct("t", "event_id", "rule_ordinal")
+    marks = alerts.groupBy("entity_name", "rule_id").agg(F.max("t").alias("_mark"))
+    # At most one mark per rule.
+    fired = marks.groupBy("entity_name").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("rule_id", "_mark")))).alias("fired")
+    )
     newest = F.struct("chain_id", "entity_risk_after")
     last = alerts.groupBy("entity_name").agg(F.max_by(newest, order).alias("_last"))
     links = alerts.join(
@@ -167,4 +174,4 @@ def resume_rows(alerts: DataFrame) -> DataFrame:
         F.to_json(F.collect_set(F.when(new, F.col("title_key")))).alias("titles"),
         F.max("chain_risk_after").alias("chain_risk"),
         F.max("is_escalated").alias("escalated"),
-    )
+    ).join(fired, "entity_name")

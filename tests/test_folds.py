@@ -22,7 +22,7 @@ def matches_frame(spark, rows):
         for i, (entity, rule, s) in enumerate(rows)
     ]
     return spark.createDataFrame(
-        data, "entity_name string, rule_ordinal int, t long, event_id string, title_key int, risk_points int, "
+        data, "entity_name string, rule_ordinal int, t long, event_id string, title_key long, risk_points int, "
               "alert_id string, raw_payload map<string,string>"
     ).withColumn("timestamp", F.timestamp_micros("t"))
 

@@ -89,6 +89,18 @@ def test_cooldown_is_greedy(spark):
     assert rows[3].escalates
 
 
+@pytest.mark.parametrize("cooldown", [0, 60])
+def test_repeated_deliveries_do_not_depend_on_the_fold(spark, cooldown):
+    # The second delivery of an event may even carry another time.
+    events = [make_event(0, action="x", event_id="a"), make_event(0, action="x", event_id="a"),
+              make_event(90, action="x", event_id="a"), make_event(100, action="x", event_id="b")]
+    rules = [make_rule(0, {"s": {"action": "x"}, "condition": "s"})]
+    for fold_limit in (1, 10_000):
+        config = EngineConfig(cooldown_seconds=cooldown, fold_limit=fold_limit)
+        rows = correlate(events_frame(spark, events), rules, config).alerts.orderBy("t").collect()
+        assert [(r.event_id, r.entity_risk_after) for r in rows] == [("a", 20), ("b", 40)]
+
+
 def test_same_ids_on_a_second_run_and_with_shuffled_input(spark, run):
     again = correlate(attack(spark).orderBy(F.rand(7)), technique_rules(), EngineConfig())
     key = ["alert_id", "chain_id", "chain_position", "entity_risk_after"]

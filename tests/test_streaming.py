@@ -1,6 +1,7 @@
 """Streams against the batch result: restart, disorder, late rows, resumed state."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from helpers import events_frame, make_event, make_rule
@@ -103,6 +104,36 @@ def test_rules_are_read_anew_for_every_batch(spark, tmp_path, simple):
     assert {r.event_id for r in spark.read.parquet(flow.paths["hits"]).collect()} == {"ana-0", "ana-100", "ana-101"}
 
 
+def test_a_reload_that_shifts_the_rules_keeps_their_cooldowns(spark, tmp_path):
+    config = EngineConfig()
+
+    def rules(*names):
+        return [replace(make_rule(i, {"s": {"action": a}, "condition": "s"}, title=a), rule_id=a) for i, a in enumerate(names)]
+
+    live = rules("m", "z", "error")  # the last one for the end mark
+    flow = Flow(spark, tmp_path, config, lambda: live)
+    events = [make_event(0, action="m"), make_event(30, action="m"), make_event(31, action="a")]
+    flow.feed(events_frame(spark, events[:1]))
+    flow.run()
+    live[:] = rules("a", "m", "error")
+    flow.feed(events_frame(spark, events[1:]))
+    flow.feed(end_mark(events_frame(spark, events)))
+    flow.run()
+    whole = correlate(events_frame(spark, events), rules("a", "m", "z"), config).alerts
+    assert sorted(r.t for r in whole.collect()) == sorted(r.t for r in flow.alerts().collect())
+    same(flow.alerts(), whole)
+
+
+def test_resumed_state_remembers_cooldowns(spark, tmp_path, simple):
+    config, rules = simple
+    first, second = [make_event(0, action="x")], [make_event(30, action="x"), make_event(70, action="x")]
+    flow = Flow(spark, tmp_path, config, lambda: rules)
+    flow.feed(events_frame(spark, second))
+    flow.feed(end_mark(events_frame(spark, second)))
+    flow.run(initial=resume_rows(correlate(events_frame(spark, first), rules, config).alerts))
+    assert [r.event_id for r in flow.alerts().collect()] == ["ana-70"]
+
+
 def test_resumed_state_continues_chain_and_risk(spark, tmp_path, simple):
     config, rules = simple
     first = [make_event(0, action="x"), make_event(100, action="y")]
