@@ -36,6 +36,11 @@ SHARD_SPEC = ("part:int, shard:int, n_ids:long, base:long, doc_ids:longs, doc_le
 # --- Re-Pair ---------------------------------------------------------------------------
 
 
+def _spots(keys: np.ndarray) -> np.ndarray:
+    """20-bit hashes of pairs."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
 def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, rule lengths, symbols) of an array of ids."""
     base = int(ids.max()) + 1 if len(ids) else 0
@@ -50,17 +55,22 @@ def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) ->
         frequent = order[starts[counts >= least_count]]
         if not len(frequent):
             break
-        at = np.searchsorted(frequent, keys)
+        # A small table of hashes sets aside most other pairs; what it lets through is looked up exactly.
+        marked = np.zeros(1 << 20, bool)
+        marked[_spots(frequent)] = True
+        places = np.flatnonzero(marked[_spots(keys)])
+        at = np.searchsorted(frequent, keys[places])
         at[at == len(frequent)] = 0
-        hit = frequent[at] == keys
+        hit = frequent[at] == keys[places]
+        places, at = places[hit], at[hit]
         # In a run of overlapping pairs take every other one, from the run's start.
-        places = np.flatnonzero(hit)
         begins = np.r_[True, np.diff(places) > 1]
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
-        taken = places[(np.arange(len(places)) - run_start) % 2 == 0]
+        every_other = (np.arange(len(places)) - run_start) % 2 == 0
+        taken = places[every_other]
         if len(taken) < least_gain * len(symbols):
             break
-        used, rule = np.unique(at[taken], return_inverse=True)
+        used, rule = np.unique(at[every_other], return_inverse=True)
         symbols[taken] = base + len(rules) + rule
         rest = np.ones(len(symbols), bool)
         rest[taken + 1] = False

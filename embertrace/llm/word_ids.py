@@ -23,6 +23,8 @@ MEMO_WORDS = 700_000
 MEMO_PIECES = 300_000
 #: ASCII, and the composed Latin-1 letters, which no normaliser here changes but for their case.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Letters and at most one mark or digit after them: most new words are of this kind.
+_LETTERS_MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\\[-`{-~]?)").fullmatch
 #: Pieces of plain words under the two vocabularies' split patterns.
 _WORD_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 _BYTE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^A-Za-z0-9À-ÖØ-öø-ÿ]+").findall
@@ -98,7 +100,16 @@ class TextEncoder:
         """Ids of a word with the space before it, if the vocabulary keeps spaces."""
         if word.isascii() and word.isalpha() and not (self.by_words and not word.islower()):
             return [t.id for t in self.model.tokenize(self.lead + word)]
-        return self._word(word, self.space)
+        simple = _LETTERS_MARK(word)
+        if simple is None:
+            return self._word(word, self.space)
+        letters, mark = simple.groups()
+        if self.by_words:
+            letters = letters.lower()
+        if letters == word:
+            return self._model(word, self.lead)
+        ids = self.memo.of(letters)
+        return ids + array("I", self._piece(mark)) if mark else ids
 
     def _word(self, word: str, space: str) -> Sequence[int]:
         if not _PLAIN(word):
