@@ -168,21 +168,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     starts = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("in_part")).join(offsets, "part")
     starts = starts.select("part", "shard", (F.col("in_part") + F.col("before_part")).alias("shard_start"))
 
+    # The offsets join the compressed shards, so that expanded ids are never shuffled.
+    placed = shards.join(starts, ["part", "shard"])
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 data = expand(*_arrays(row)).astype("<u4").tobytes()
                 lengths = np.array(row["doc_lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                n = len(lengths)
-                # A shard's documents go out in slices, so that a batch stays small.
-                yield {"part": [row["part"]] * n, "shard": [row["shard"]] * n, "doc_id": row["doc_ids"],
-                       "in_shard": ends - lengths, "n_tokens": lengths,
+                yield {"doc_id": row["doc_ids"], "start": row["shard_start"] + ends - lengths, "n_tokens": lengths,
                        "ids": pa.array([data[4 * (e - k): 4 * e] for e, k in zip(ends, lengths)], pa.binary())}
 
-    docs = map_batches(shards, "part:int, shard:int, doc_id:long, in_shard:long, n_tokens:long, ids:binary", run)
-    return docs.join(starts, ["part", "shard"]).select(
-        "doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
+    return map_batches(placed, "doc_id:long, start:long, n_tokens:long, ids:binary", run)
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
