@@ -1,21 +1,21 @@
-"""Stored tables: keyed upserts, archive split, messages and warm start."""
+"""Stored tables: keyed upserts, tables by day, archive split, messages and warm start."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from embertrace.config import EngineConfig
+from embertrace.staging import stage
 
 
-def append_alerts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert-or-replace by ``alert_id``; the new row wins.
+def append_alerts(stored: DataFrame, new: DataFrame, key: str = "alert_id") -> DataFrame:
+    """Insert-or-replace by ``key``; the new row wins.
 
     Ids are derived from event and rule, so writing a batch twice changes
     nothing.
     """
-    return stored.join(new.select("alert_id").distinct(), "alert_id", "left_anti").unionByName(
-        new.dropDuplicates(["alert_id"])
-    )
+    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -30,9 +30,39 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], version: str)
     return newest.select(*keys, "_row.*").select(*both.columns)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        # Absent, or a folder without files.
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def merge_days(rows: DataFrame, path: str, time: str, key: str) -> None:
+    """Insert-or-replace ``rows`` by ``key`` in the table at ``path``, partitioned by the day of ``time``.
+
+    Only the days of ``rows`` are read and written anew, so a write that is repeated changes nothing, and one that broke
+    off is mended by repeating it. A key must keep its day. Rows without a time have a partition of their own.
+    """
+    spark = rows.sparkSession
+    new = stage(rows.withColumn("date", F.to_date(time)), "new-days")
+    stored = _stored(spark, path)
+    if stored is None:
+        merged = new.dropDuplicates([key])
+    else:
+        days = new.select(F.col("date").alias("_day")).distinct()
+        touched = stored.join(days, F.col("date").eqNullSafe(F.col("_day")), "left_semi")
+        # Written aside first: the days are replaced while the table is read.
+        merged = stage(append_alerts(touched, new, key), "merged-days")
+    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date").parquet(path)
+
+
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Append alerts to a table partitioned by day, so time filters prune."""
-    alerts.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(path)
+    """Write alerts to a table partitioned by day, so time filters prune; a second time changes nothing."""
+    merge_days(alerts, path, "timestamp", "alert_id")
 
 
 def is_expired(time: Column, as_of: Column, config: EngineConfig) -> Column:
@@ -45,10 +75,12 @@ def archive_split(table: DataFrame, time: str, as_of: Column, config: EngineConf
     return table.filter(old), table.filter(~old)
 
 
-def archive(table: DataFrame, time: str, as_of: Column, config: EngineConfig, path: str) -> DataFrame:
-    """Write expired rows to ``path`` by day and return the rows that stay hot."""
+def archive(
+    table: DataFrame, time: str, as_of: Column, config: EngineConfig, path: str, key: str = "alert_id",
+) -> DataFrame:
+    """Write expired rows to ``path`` by day, once per ``key``, and return the rows that stay hot."""
     expired, kept = archive_split(table, time, as_of, config)
-    expired.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").parquet(path)
+    merge_days(expired, path, time, key)
     return kept
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from embertrace.operators import lookup, stats
 from embertrace.operators.entities import ordered_values
 from embertrace.operators.investigate import entity_alerts_since, investigate_sql, register_tables
-from embertrace.operators.store import active_chains, append_alerts, archive_split, messages, upsert, warm_start
+from embertrace.operators.store import (
+    active_chains, append_alerts, archive, archive_split, messages, upsert, warm_start, write_alerts,
+)
 from embertrace.plans.binding import bound_events, bundled_rules
 from embertrace.plans.oracle import on_alerts, on_hits, on_tables
 from embertrace.plans.registry import query
 from embertrace.plans.runs import CONFIG, fresh_matches, fresh_run, store
 from embertrace.sources.rules import rule_attributes
+from embertrace.staging import staging_root
 
 
 # --- writes ------------------------------------------------------------------------
@@ -107,6 +111,35 @@ def archive_chains(spark, sf_dir):
     return _archived(store(spark, sf_dir).chains, "updated_at").select("chain_id", "updated_at", "part")
 
 
+def _new_table(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/embertrace-tables/{uuid.uuid4().hex}"
+
+
+def _days(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The table by day; with a schema, as a table without rows has no file to tell it."""
+    schema = rows.withColumn("date", F.lit(None).cast("date")).schema
+    return spark.read.schema(schema).parquet(path).withColumn("date", F.col("date").cast("string"))
+
+
+@query(on_alerts("SELECT alert_id, entity_name, timestamp, strftime(timestamp, '%Y-%m-%d') AS date FROM alerts"))
+def write_alerts_twice(spark, sf_dir):
+    """The table by day after all alerts were written, and a part of them again."""
+    alerts, path = store(spark, sf_dir).alerts.select("alert_id", "entity_name", "timestamp"), _new_table(spark)
+    write_alerts(alerts, path)
+    write_alerts(alerts.filter(F.col("alert_id") < "8"), path)
+    return _days(spark, path, alerts)
+
+
+@query(on_alerts(f"""SELECT alert_id, timestamp, strftime(timestamp, '%Y-%m-%d') AS date FROM alerts
+    WHERE timestamp < TIMESTAMP '{_AS_OF}' - INTERVAL 90 DAY"""))
+def archive_twice(spark, sf_dir):
+    """The archive by day after the same alerts were archived twice."""
+    alerts, path = store(spark, sf_dir).alerts.select("alert_id", "timestamp"), _new_table(spark)
+    for _ in range(2):
+        archive(alerts, "timestamp", F.lit(_AS_OF).cast("timestamp"), CONFIG, path)
+    return _days(spark, path, alerts)
+
+
 @query(on_alerts("""SELECT alert_id AS key, 'alert' AS type, entity_name, title AS rule_title,
     CAST(severity AS VARCHAR) AS severity, chain_id FROM alerts"""))
 def alert_messages(spark, sf_dir):

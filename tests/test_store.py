@@ -49,6 +49,30 @@ def test_archive_moves_old_rows_to_day_partitions(spark, tmp_path):
     assert [(r.alert_id, str(r.date)) for r in cold.collect()] == [("old", "2026-01-01")]
 
 
+def test_written_twice_is_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2026-01-01", 1), ("b", "2026-01-02", 1), ("c", None, 1), ("d", "2026-01-02", 1)],
+                                 "alert_id string, d string, n int").withColumn("timestamp", F.col("d").cast("timestamp"))
+    path = str(tmp_path / "t")
+    write_alerts(rows, path)
+    write_alerts(rows, path)
+    # One alert comes again with another value, a new one arrives; days that are not concerned stay.
+    more = [("b", "2026-01-02", 2), ("e", "2026-01-03", 1), ("f", None, 1)]
+    write_alerts(spark.createDataFrame(more, "alert_id string, d string, n int").withColumn(
+        "timestamp", F.col("d").cast("timestamp")), path)
+    write_alerts(rows.limit(0), path)
+    assert sorted((r.alert_id, r.n) for r in spark.read.parquet(path).collect()) == [
+        ("a", 1), ("b", 2), ("c", 1), ("d", 1), ("e", 1), ("f", 1)]
+
+
+def test_archived_twice_is_archived_once(spark, tmp_path):
+    rows = spark.createDataFrame([("old", "2026-01-01"), ("new", "2026-04-01")],
+                                 "alert_id string, d string").withColumn("timestamp", F.col("d").cast("timestamp"))
+    path = str(tmp_path / "cold")
+    for _ in range(2):
+        archive(rows, "timestamp", F.lit("2026-05-02").cast("timestamp"), CONFIG, path)
+    assert [r.alert_id for r in spark.read.parquet(path).collect()] == ["old"]
+
+
 def test_alert_table_prunes_by_day(spark, tmp_path):
     rows = spark.createDataFrame([("a", "2026-01-01"), ("b", "2026-01-02")], "alert_id string, d string")
     write_alerts(rows.withColumn("timestamp", F.col("d").cast("timestamp")), str(tmp_path / "t"))
