@@ -6,9 +6,11 @@ as the skeleton's. Votes are counts per (host, node), summed before the shuffle,
 no burden to any task. A node that says the same on nearly all distinct pages is template; nodes that vary are slots.
 In a second pass each page is aligned again, template nodes go, and the text of the content slots remains.
 
-Slots are not all content: menus, adverts and footers may vary from page to page. So elements that are boilerplate by
-their name, role or class are never content slots, and on pages with an article or main element only slots in it are.
-A title inside an article's own header is kept.
+Slots are not all content: menus, adverts and footers may vary from page to page. An element that is boilerplate by its
+name, role or being hidden goes unless it holds most of the page's running text (words outside links) and no article or main
+element elsewhere settles the doubt. Words of a class or id, and forms, only lower the standing: such an element goes if it is
+rich in links or its blocks are short, never if it holds most of the running text. On pages with an article or main
+element only slots in it are content. A title inside an article's own header is kept.
 
 Defined results: null or empty html, and html without text, give an empty text; a null or hostless url forms the host ""
 whose pages use no template; pages repeated word for word vote once; fewer than ``MIN_PAGES`` distinct pages
@@ -41,49 +43,66 @@ _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "tr", "body", "html", "div", "article", "section", "main", "select", "td", "th"}
 
-#: Elements and class or id words that are boilerplate whatever they say.
-DROPPED = set("""head title script style noscript template iframe nav footer aside form button select option textarea input label
-svg canvas object embed video audio map menu dialog datalist fieldset""".split())
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
+#: Elements without running text.
+NEVER_TEXT = set("""head title script style noscript template iframe button select option textarea input svg canvas object embed
+video audio map datalist""".split())
+#: Elements and roles that are boilerplate by their meaning.
+NAMED_TAGS = {"nav", "footer", "aside", "menu", "dialog"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"}
+#: Elements, and words of a class or id, that only lower an element's standing.
+DOUBTED_TAGS = {"form", "fieldset", "label"}
 WORDS = set("""ad ads advert adverts advertisement advertising adsense banner sponsored sponsor promo promotion sidebar
 navigation nav navbar menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice newsletter subscribe
 subscription signup popup modal overlay paywall comment comments commentlist disqus reply replies respond share sharing social related
-recommended recommendations widget pagination pager toolbar skip""".split())
+recommended recommendations widget pagination pager toolbar skip teaser teasers""".split())
+#: Standing of an element: nothing known, some words of a name speak against it, a whole name does, its meaning does, no text at all.
+PLAIN, WEAK, STRONG, NAMED, NEVER = range(5)
+#: Words a block from which text runs.
+RUNNING = 15
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<",
                     re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An element, or a text (tag ""). ``role`` tells elements of one name apart in matching."""
+    """An element, or a text (tag ""). ``role`` tells elements of one name apart in matching.
 
-    __slots__ = ("tag", "role", "text", "children", "dropped", "size")
+    ``words``, ``linked`` (words in links) and ``blocks`` (blocks with words of their own) count what lies below, and
+    ``landmarks`` the article and main elements there.
+    """
 
-    def __init__(self, tag: str, role: str = "", text: str = "", dropped: bool = False) -> None:
-        self.tag, self.role, self.text, self.dropped = tag, role, text, dropped
+    __slots__ = ("tag", "role", "text", "children", "standing", "dropped", "size", "words", "linked", "blocks", "landmarks")
+
+    def __init__(self, tag: str, role: str = "", text: str = "", standing: int = PLAIN) -> None:
+        self.tag, self.role, self.text, self.standing = tag, role, text, standing
         self.children: list[Node] = []
-        self.size = 1
+        self.size, self.dropped = 1, False
+        self.words = self.linked = self.blocks = self.landmarks = 0
 
 
-def _boilerplate(tag: str, attributes: str) -> tuple[str, bool]:
-    """(class, id and role of an element as matching sees them, whether it is boilerplate)."""
+def _standing(tag: str, attributes: str) -> tuple[str, int]:
+    """(class and role of an element as matching sees them, its standing)."""
+    known = NEVER if tag in NEVER_TEXT else NAMED if tag in NAMED_TAGS else STRONG if tag in DOUBTED_TAGS else PLAIN
     if not attributes:
-        return "", tag in DROPPED
-    values = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(attributes)]
-    role = " ".join(v for k, v in values if k in ("class", "role"))
-    dropped = tag in DROPPED
-    for key, value in values:
-        if key in ("class", "id"):
-            dropped = dropped or any(w in WORDS for w in _WORD.findall(value))
-        elif key == "role":
-            dropped = dropped or value in ROLES
-        elif key == "hidden" or key == "aria-hidden" and value == "true":
-            dropped = True
-        elif key == "style":
-            dropped = dropped or "display:none" in value.replace(" ", "")
-    return role, dropped and tag not in ("html", "body")
+        return "", known
+    values: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(key.lower(), value.strip("\"'").lower())  # the first of two of one name counts
+    role = " ".join(v for k, v in values.items() if k in ("class", "role"))
+    if tag in ("html", "body"):
+        return role, PLAIN
+    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+        against = [w in WORDS for w in _WORD.findall(name)]
+        if any(against):
+            known = max(known, STRONG if all(against) else WEAK)
+    hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
+    if hidden or values.get("role") in ROLES:
+        known = max(known, NAMED)
+    elif values.get("role") == "form":
+        known = max(known, STRONG)
+    return role, known
 
 
 def parse(page: str) -> Node:
@@ -126,8 +145,8 @@ def parse(page: str) -> Node:
                     break
         if tag == "body" and len(stack) > 1 and stack[1].tag == "head":
             del stack[1:]
-        role, dropped = _boilerplate(tag, attributes)
-        node = Node(tag, role, dropped=dropped)
+        role, standing = _standing(tag, attributes)
+        node = Node(tag, role, standing=standing)
         stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -246,6 +265,63 @@ def align(skeleton: Node, page: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+# --- standing ------------------------------------------------------------------------------
+
+
+def _count(node: Node, linked: bool) -> bool:
+    """Count words, links, blocks and landmarks below ``node``; whether words of it belong to a block around it."""
+    loose = False
+    for child in node.children:
+        if child.tag == "":
+            child.words = len(child.text.split())
+            child.linked = child.words if linked else 0
+            loose = loose or child.words > 0
+        elif child.standing == NEVER:
+            continue
+        else:
+            loose = _count(child, linked or child.tag == "a") or loose
+            node.blocks += child.blocks
+            node.landmarks += child.landmarks + (child.standing == PLAIN and child.tag in ("article", "main"))
+        node.words += child.words
+        node.linked += child.linked
+    if node.tag in BLOCKS and loose:
+        node.blocks += 1
+        return False
+    return loose
+
+
+def _goes(node: Node, root: Node, inside: bool) -> bool:
+    """Whether an element of low standing is boilerplate on this page."""
+    if node.standing == NEVER:
+        return True
+    running = node.words - node.linked
+    # An article or main element elsewhere settles the doubt about an element that holds most of the page's text.
+    settled = root.landmarks and not node.landmarks and not inside
+    if 2 * running > root.words - root.linked and not (settled and node.standing == NAMED):
+        return False
+    if node.standing == NAMED:
+        return True
+    blocks = max(node.blocks, 1)
+    if node.standing == WEAK:
+        return 2 * node.linked >= node.words and node.words < RUNNING * blocks
+    rest = (root.words - node.words) / max(root.blocks - node.blocks, 1)
+    return 3 * node.linked >= node.words or node.words < max(RUNNING, rest / 2) * blocks
+
+
+def judge(root: Node) -> None:
+    """Mark the boilerplate elements of a page."""
+    _count(root, False)
+
+    def walk(node: Node, inside: bool) -> None:
+        for child in node.children:
+            if child.standing:
+                child.dropped = _goes(child, root, inside)
+            if child.children and not child.dropped:
+                walk(child, inside or child.tag in ("article", "main"))
+
+    walk(root, False)
+
+
 # --- text ----------------------------------------------------------------------------------
 
 
@@ -308,6 +384,7 @@ def main_text(root: Node, template: set[int]) -> str:
                     line.append(" ")
                 walk(child, inside)
 
+    judge(root)
     for part in _content_roots(root):
         walk(part, part is not root)
         close()

@@ -425,3 +425,29 @@ def test_pipeline_stages(spark, sf_dir, documents, awkward, nothing, tmp_path):
                 assert {r.doc_id for r in docs.collect()} == {c if n else d for d, n, c in want}
         assert docs.count() > 0 or name == "nothing"
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+STORY = " ".join(f"word{i}" for i in range(60))
+
+
+def read_page(body: str) -> str:
+    return html_text.main_text(html_text.parse(page(body)), set())
+
+
+def test_html_keeps_text_whose_names_only_look_like_boilerplate():
+    for link in ('href="/hidden-valley"', 'title="the hidden cost"', 'href="view.php?id=related"', 'data-role="menu"', "data-x='class=ad'"):
+        assert read_page(f"<article><p>See <a {link}>the valley</a> now</p></article>") == "See the valley now"
+    for name in ("no-sidebar", "post comments-open", "elementor-widget-container", "comments", "widget"):
+        assert read_page(f"<div class='{name}'><p>{STORY}</p></div>") == STORY
+        assert read_page(f"<main class='{name}'><h1>Top</h1><p>{STORY}</p></main>") == f"Top\n{STORY}"
+    parts = "".join(f"<div class='elementor-widget-container'><h2>Part {i}</h2><p>{STORY}</p></div>" for i in range(4))
+    assert read_page(parts) == "\n".join(f"Part {i}\n{STORY}" for i in range(4))
+    assert read_page(f"<form id='aspnetForm'><nav><a href='/'>Home</a></nav><div><p>{STORY}</p></div></form>") == STORY
+    assert read_page(f"<aside hidden><p>{STORY}</p></aside><p>short</p>") == f"{STORY}\nshort"
+
+
+def test_html_still_drops_boilerplate():
+    for extra in ("<div class='ad'>Buy this now.</div>", "<ul class='related-links-x'><li><a href='/a'>One more</a></li></ul>",
+                  "<div hidden>secret</div>", "<div role=navigation>Up</div>", "<div class=social-share>Share it</div>",
+                  "<div STYLE='display: none'>secret</div>", "<nav>Menu</nav>", "<form>Your mail <input></form>"):
+        assert read_page(f"<div><p>{STORY}</p>{extra}</div>") == STORY
