@@ -1,16 +1,22 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Pages become trees of elements. For each host one page of typical length serves as its wrapper's skeleton. Every other
-page of the host is aligned with it by simple tree matching, and each matched text node votes whether it says the same
-as the skeleton's. Votes are counts per (host, node), summed before the shuffle, so a host with a third of all pages is
-no burden to any task. A node that says the same on nearly all distinct pages is template; nodes that vary are slots.
-In a second pass each page is aligned again, template nodes go, and the text of the content slots remains.
-
-Slots are not all content: menus, adverts and footers may vary from page to page. An element that is boilerplate by its
-name, role or being hidden goes unless it holds most of the page's running text (words outside links) and no article or main
-element elsewhere settles the doubt. Words of a class or id, and forms, only lower the standing: such an element goes if it is
-rich in links or its blocks are short, never if it holds most of the running text. On pages with an article or main
-element only slots in it are content. A title inside an article's own header is kept.
+Pages become trees of elements. For each host one page of typical length is its wrapper's skeleton, and every other page
+is aligned with it by simple tree matching. Subtrees without a counterpart, of a name and role new to the place, that ``MIN_PAGES``
+pages have there are merged into the wrapper in Spark rounds, until no wrapper grows; alike siblings count as one repeated
+slot. Then each matched text node votes whether it says the same as the wrapper's, with its words and words in links.
+Votes are counts per (host, node), summed before the shuffle, so a host with a third of all pages is no burden to any
+task. A node that says the same on nearly all distinct pages is template; nodes that vary are slots. In a last pass
+each page is aligned again, template nodes go, and the text of the content slots remains.
+
+Content slots are those with running text: ``RUNNING`` words a block or more, most of them outside links, averaged over the host
+where the wrapper has the element, else as the page has it. Article and main elements settle doubt: all slots in them are content
+but for boilerplate, and where they hold most of the running text, others must have running text; where they
+do not, or are missing, only slots that are rich in links all over the host go.
+
+An element that is boilerplate by its name, role or being hidden goes unless it holds most of the page's running text (words
+outside links) and no article or main element elsewhere settles the doubt; so does a header outside article and main.
+Words of a class or id, and forms, only lower the standing: such an element goes if it is rich in links or its blocks are
+short, never if it holds most of the running text.
 
 Defined results: null or empty html, and html without text, give an empty text; a null or hostless url forms the host ""
 whose pages use no template; pages repeated word for word vote once; fewer than ``MIN_PAGES`` distinct pages
@@ -20,10 +26,12 @@ make no template; an empty table gives an empty result; extra columns are not re
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_64_intdigest
 
 from embertrace.llm.common import map_batches, sheltered
 from embertrace.staging import stage
@@ -39,6 +47,8 @@ BLOCKS = set("""address article aside blockquote body caption center dd details
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead
 tr ul""".split())
 _CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Elements that gather links.
+CONTAINERS = set("ul ol dl table div section".split())
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "tr", "body", "html", "div", "article", "section", "main", "select", "td", "th"}
@@ -73,12 +83,13 @@ class Node:
     ``landmarks`` the article and main elements there.
     """
 
-    __slots__ = ("tag", "role", "text", "children", "standing", "dropped", "size", "words", "linked", "blocks", "landmarks")
+    __slots__ = ("tag", "role", "text", "children", "standing", "dropped", "size", "words", "linked", "blocks", "landmarks", "template", "hashed")
 
     def __init__(self, tag: str, role: str = "", text: str = "", standing: int = PLAIN) -> None:
         self.tag, self.role, self.text, self.standing = tag, role, text, standing
         self.children: list[Node] = []
-        self.size, self.dropped = 1, False
+        self.size, self.dropped, self.template = 1, False, False
+        self.hashed: int | None = None
         self.words = self.linked = self.blocks = self.landmarks = 0
 
 
@@ -147,7 +158,8 @@ def parse(page: str) -> Node:
             del stack[1:]
         role, standing = _standing(tag, attributes)
         node = Node(tag, role, standing=standing)
-        stack[-1].children.append(node)
+        if standing != NEVER:
+            stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
@@ -178,19 +190,55 @@ def _measure(node: Node) -> int:
 
 
 def numbered(root: Node) -> dict[int, int]:
-    """Numbers of the text nodes of a tree in page order, by identity."""
-    numbers: dict[int, int] = {}
+    """Numbers of all nodes of a tree in page order, by identity."""
+    numbers: dict[int, int] = {id(root): 0}
 
     def walk(node: Node) -> None:
         for child in node.children:
-            if child.tag == "":
-                numbers[id(child)] = len(numbers)
+            numbers[id(child)] = len(numbers)
             walk(child)
 
     walk(root)
     return numbers
 
 
+def said(node: Node) -> int:
+    """Hash of what a text says."""
+    if node.hashed is None:
+        node.hashed = xxh3_64_intdigest(" ".join(node.text.split()).encode("utf-8", "surrogatepass")) >> 1
+    return node.hashed
+
+
+def written(node: Node) -> str:
+    """A tree in page order as JSON: elements [depth, tag, role, standing], texts [depth, hash, words, words in links]."""
+    out: list[list] = []
+
+    def walk(x: Node, depth: int) -> None:
+        out.append([depth, said(x), x.words, x.linked] if x.tag == "" else [depth, x.tag, x.role, x.standing])
+        for child in x.children:
+            walk(child, depth + 1)
+
+    walk(node, 0)
+    return json.dumps(out, separators=(",", ":"))
+
+
+def read(tree: str) -> Node:
+    """The tree that :func:`written` wrote; its texts have hashes only."""
+    path: list[Node] = []
+    for depth, name, role, last in json.loads(tree):
+        if isinstance(name, str):
+            node = Node(name, role, standing=last)
+        else:
+            node = Node("")
+            node.hashed, node.words, node.linked = name, role, last
+        del path[depth:]
+        if path:
+            path[-1].children.append(node)
+        path.append(node)
+    _measure(path[0])
+    return path[0]
+
+
 def _alike(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.role == b.role
 
@@ -200,6 +248,8 @@ class Matcher:
 
     def __init__(self) -> None:
         self.known: dict[tuple[int, int], int] = {}
+        #: Matched elements, of the wrapper and of the page.
+        self.elements: list[tuple[Node, Node]] = []
 
     def weight(self, a: Node, b: Node) -> int:
         if not _alike(a, b):
@@ -228,6 +278,7 @@ class Matcher:
 
     def pairs(self, a: Node, b: Node, out: list[tuple[Node, Node]]) -> None:
         """Matched text nodes below two matched elements, appended to ``out``."""
+        self.elements.append((a, b))
         left, right = a.children, b.children
         first = 0
         while first < len(left) and first < len(right) and self._same_shape(left[first], right[first]):
@@ -260,28 +311,76 @@ class Matcher:
 
 def align(skeleton: Node, page: Node) -> list[tuple[Node, Node]]:
     """Pairs of text nodes, of the skeleton and of the page."""
+    return matched(skeleton, page)[0]
+
+
+def matched(wrapper: Node, page: Node) -> tuple[list[tuple[Node, Node]], list[tuple[Node, Node]]]:
+    """Pairs of text nodes and of elements, of the wrapper and of the page."""
     out: list[tuple[Node, Node]] = []
-    Matcher().pairs(skeleton, page, out)
-    return out
+    matcher = Matcher()
+    matcher.pairs(wrapper, page, out)
+    return out, matcher.elements
+
+
+def unmatched(texts: list[tuple[Node, Node]], elements: list[tuple[Node, Node]]) -> dict[tuple[int, str, str], tuple[str, int]]:
+    """Subtrees with words, of a name and role that their place in the wrapper lacks: by (identity of the wrapper's element, tag,
+    role), the subtree and the place among the element's children before which it stands."""
+    own = {id(b): a for a, b in texts}
+    own.update((id(b), a) for a, b in elements)
+    found: dict[tuple[int, str, str], tuple[str, int]] = {}
+    for a, b in elements:
+        names = places = None
+        place = 0
+        for child in b.children:
+            twin = own.get(id(child))
+            if twin is not None:
+                if places is None:
+                    places = {id(x): i for i, x in enumerate(a.children)}
+                place = places[id(twin)] + 1
+            elif child.words:
+                if names is None:
+                    names = {(x.tag, x.role) for x in a.children}
+                if (child.tag, child.role) not in names:
+                    found.setdefault((id(a), child.tag, child.role), (written(child), place))
+    return found
 
 
 # --- standing ------------------------------------------------------------------------------
 
 
+#: Words, words in links and blocks with words, of an element.
+Facts = tuple[int, int, int]
+
+
+def _landmark(node: Node) -> bool:
+    return node.standing == PLAIN and (node.tag in ("article", "main") or node.role == "main")
+
+
+def _facts(node: Node, known: dict[int, Facts]) -> Facts:
+    """Facts of the host where the wrapper has the element, else of the page."""
+    return known.get(id(node)) or (node.words, node.linked, node.blocks)
+
+
+def _runs(facts: Facts) -> bool:
+    words, linked, blocks = facts
+    return 2 * linked < words and words >= RUNNING * max(blocks, 1)
+
+
 def _count(node: Node, linked: bool) -> bool:
     """Count words, links, blocks and landmarks below ``node``; whether words of it belong to a block around it."""
     loose = False
+    node.words = node.linked = node.blocks = node.landmarks = 0
     for child in node.children:
         if child.tag == "":
-            child.words = len(child.text.split())
+            child.words = 0 if child.template else len(child.text.split())
             child.linked = child.words if linked else 0
             loose = loose or child.words > 0
-        elif child.standing == NEVER:
+        elif child.dropped:
             continue
         else:
             loose = _count(child, linked or child.tag == "a") or loose
             node.blocks += child.blocks
-            node.landmarks += child.landmarks + (child.standing == PLAIN and child.tag in ("article", "main"))
+            node.landmarks += child.landmarks + _landmark(child)
         node.words += child.words
         node.linked += child.linked
     if node.tag in BLOCKS and loose:
@@ -290,75 +389,54 @@ def _count(node: Node, linked: bool) -> bool:
     return loose
 
 
-def _goes(node: Node, root: Node, inside: bool) -> bool:
+def _goes(node: Node, standing: int, root: Node, inside: bool, known: dict[int, Facts]) -> bool:
     """Whether an element of low standing is boilerplate on this page."""
-    if node.standing == NEVER:
-        return True
     running = node.words - node.linked
     # An article or main element elsewhere settles the doubt about an element that holds most of the page's text.
     settled = root.landmarks and not node.landmarks and not inside
-    if 2 * running > root.words - root.linked and not (settled and node.standing == NAMED):
+    if 2 * running > root.words - root.linked and not (settled and standing == NAMED):
         return False
-    if node.standing == NAMED:
+    if standing == NAMED:
         return True
-    blocks = max(node.blocks, 1)
-    if node.standing == WEAK:
-        return 2 * node.linked >= node.words and node.words < RUNNING * blocks
+    words, linked, blocks = _facts(node, known)
+    blocks = max(blocks, 1)
+    if standing == WEAK:
+        return 2 * linked >= words and words < RUNNING * blocks
     rest = (root.words - node.words) / max(root.blocks - node.blocks, 1)
-    return 3 * node.linked >= node.words or node.words < max(RUNNING, rest / 2) * blocks
+    return 3 * linked >= words or words < max(RUNNING, rest / 2) * blocks
 
 
-def judge(root: Node) -> None:
-    """Mark the boilerplate elements of a page."""
+def judge(root: Node, known: dict[int, Facts]) -> bool:
+    """Mark the boilerplate elements of a page; whether its article and main elements hold most of the running text left."""
     _count(root, False)
 
     def walk(node: Node, inside: bool) -> None:
         for child in node.children:
-            if child.standing:
-                child.dropped = _goes(child, root, inside)
+            standing = child.standing
+            if standing == PLAIN and not inside:
+                if child.tag == "header":
+                    standing = NAMED
+                # The host's wrapper may speak against a slot that is rich in links.
+                elif not child.landmarks and child.tag in CONTAINERS and id(child) in known:
+                    standing = WEAK
+            if standing:
+                child.dropped = _goes(child, standing, root, inside, known)
             if child.children and not child.dropped:
-                walk(child, inside or child.tag in ("article", "main"))
+                walk(child, inside or _landmark(child))
+
+    def held(node: Node) -> int:
+        return sum(x.words - x.linked if _landmark(x) else held(x) for x in node.children if x.landmarks or _landmark(x))
 
     walk(root, False)
+    _count(root, False)
+    return root.landmarks > 0 and 2 * held(root) >= root.words - root.linked
 
 
 # --- text ----------------------------------------------------------------------------------
 
 
-def _content_roots(root: Node) -> list[Node]:
-    """Article and main elements outside boilerplate, else the root."""
-    found: list[Node] = []
-
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if child.dropped:
-                continue
-            if child.tag in ("article", "main") or "main" == child.role:
-                found.append(child)
-            else:
-                walk(child)
-
-    walk(root)
-    inner: list[Node] = []
-    for node in found:
-        articles: list[Node] = []
-        if node.tag != "article":
-            _articles(node, articles)
-        inner += articles or [node]
-    return inner or [root]
-
-
-def _articles(node: Node, out: list[Node]) -> None:
-    for child in node.children:
-        if not child.dropped:
-            if child.tag == "article":
-                out.append(child)
-            else:
-                _articles(child, out)
-
-
-def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the content slots; ``template`` has the identities of text nodes to leave out."""
+def main_text(root: Node, known: dict[int, Facts]) -> str:
+    """Blocks of the content slots, without template texts; ``known`` has facts of the host by the identity of elements."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -368,26 +446,27 @@ def main_text(root: Node, template: set[int]) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, inside: bool) -> None:
+    def walk(node: Node, content: bool) -> None:
         for child in node.children:
             if child.tag == "":
-                if id(child) not in template:
+                if not child.template and (content or _runs((child.words, child.linked, 1))):
                     line.append(child.text)
-            elif child.dropped or child.tag == "header" and not inside:
+                continue
+            if child.dropped:
                 close() if child.tag in BLOCKS else None
-            elif child.tag in BLOCKS:
+                continue
+            chosen = content or _landmark(child) or not child.landmarks and _runs(_facts(child, known))
+            if child.tag in BLOCKS:
                 close()
-                walk(child, inside)
+                walk(child, chosen)
                 close()
             else:
                 if child.tag == "br":
                     line.append(" ")
-                walk(child, inside)
+                walk(child, chosen)
 
-    judge(root)
-    for part in _content_roots(root):
-        walk(part, part is not root)
-        close()
+    walk(root, not judge(root, known))
+    close()
     return "\n".join(blocks)
 
 
@@ -398,72 +477,190 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """``w_host, skeleton, template``: per host the skeleton page and the numbers of its text nodes that are template."""
-    keyed = pages.filter("host <> ''").withColumn("key", F.xxhash64("html"))
-    typical = keyed.groupBy("host").agg(F.percentile_approx("n", 0.5, 1000).alias("typical"))
-    # Choose by length and hash first, so that html itself is neither sorted nor shuffled for it.
-    chosen = keyed.select("host", "n", "key").join(typical, "host").groupBy("host").agg(
-        F.min(F.struct(F.abs(F.col("n") - F.col("typical")), F.col("key"))).alias("best"))
-    chosen = stage(chosen.select(F.col("host").alias("c_host"), F.col("best.key").alias("c_key")), "skeleton-keys")
-    found = keyed.join(chosen, (F.col("host") == F.col("c_host")) & (F.col("key") == F.col("c_key")))
-    skeletons = stage(found.select("host", F.col("html").alias("skeleton")).dropDuplicates(["host"]), "skeletons")
-    # Repeated pages vote once.
-    distinct = keyed.select("host", "key", "html").dropDuplicates(["host", "key"]).join(skeletons, "host")
+def trees(pages: DataFrame) -> DataFrame:
+    """``host, key, n, tree`` of the distinct pages (host, html): hash and length of the page, and its tree without texts."""
 
-    def votes(batches):
-        trees: dict[str, tuple] = {}
+    def run(batches):
         for batch in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
-            for host, page, skeleton in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
-                if host not in trees:
-                    if len(trees) > 256:
-                        trees.clear()
-                    tree = parse(skeleton)
-                    trees[host] = tree, numbered(tree)
-                tree, numbers = trees[host]
-                for a, b in align(tree, parse(page)):
-                    count = counts.setdefault((host, numbers[id(a)]), [0, 0])
-                    count[0] += 1
-                    count[1] += a.text.split() == b.text.split()
-            yield {"host": [h for h, _ in counts], "node": [n for _, n in counts],
-                   "seen": [c[0] for c in counts.values()], "same": [c[1] for c in counts.values()]}
-
-    voted = map_batches(distinct.select("host", "html", "skeleton"), "host:string, node:int, seen:long, same:long", votes)
-    nodes = voted.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    constant = nodes.filter((F.col("seen") >= min_pages) & (F.col("same") >= share * F.col("seen")))
-    templates = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return stage(skeletons.join(templates, "host").select(F.col("host").alias("w_host"), "skeleton", "template"), "wrappers")
+            out: list[str] = []
+            for page in batch.column(3).to_pylist():
+                root = parse(page)
+                _count(root, False)
+                out.append(written(root))
+            yield {"host": batch.column(0), "key": batch.column(1), "n": batch.column(2), "tree": out}
+
+    keyed = pages.filter("host <> ''").select("host", F.xxhash64("html").alias("key"), F.length("html").alias("n"), "html")
+    made = map_batches(keyed, "host:string, key:long, n:int, tree:string", run)
+    return stage(made.dropDuplicates(["host", "key"]), "page-trees")
+
+
+def grown(wrapper: str, additions: list[tuple[int, int, str]]) -> str:
+    """A wrapper with subtrees (number of the element, place among its children, subtree) merged in."""
+    root = read(wrapper)
+    numbers = numbered(root)
+    by_number: dict[int, Node] = {}
+
+    def walk(node: Node) -> None:
+        by_number[numbers[id(node)]] = node
+        for child in node.children:
+            walk(child)
+
+    walk(root)
+    for number, place, tree in sorted(additions, reverse=True):  # from the back, so that places stay right
+        by_number[number].children.insert(place, read(tree))
+    return written(root)
+
+
+class Host:
+    """A wrapper as a task uses it."""
+
+    def __init__(self, wrapper: str, votes: list[int] = (), min_pages: int = 1, share: float = 1.0) -> None:
+        self.root = read(wrapper)
+        self.numbers = numbered(self.root)
+        #: (seen, same, words, words in links) by text node.
+        self.votes = {votes[i]: tuple(votes[i + 1: i + 5]) for i in range(0, len(votes), 5)}
+        self.template = {n for n, (seen, same, _, _) in self.votes.items() if seen >= min_pages and same >= share * seen}
+        self.facts: dict[int, Facts] = {}
+        self.min_pages = min_pages
+        if votes:
+            self._gather(self.root)
+
+    def _gather(self, node: Node) -> tuple[int, int, int, int, int]:
+        """(words, in links, blocks, words of the slots' pages not yet in a block, pages that voted)."""
+        words = linked = blocks = loose = pages = 0
+        for child in node.children:
+            if child.tag == "":
+                number = self.numbers[id(child)]
+                seen, _, w, k = self.votes.get(number, (0, 0, 0, 0))
+                pages = max(pages, seen)
+                if number not in self.template and w:
+                    words, linked, loose = words + w, linked + k, max(loose, seen)
+            else:
+                w, k, b, open_, seen = self._gather(child)
+                words, linked, blocks, loose, pages = words + w, linked + k, blocks + b, max(loose, open_), max(pages, seen)
+        if node.tag in BLOCKS:
+            blocks, loose = blocks + loose, 0
+        if pages >= self.min_pages and words:
+            self.facts[id(node)] = words, linked, blocks
+        return words, linked, blocks, loose, pages
+
+
+def hosts_by_name(make):
+    """A memory of wrappers by host name."""
+    known: dict[str, Host] = {}
+
+    def get(name: str, *values) -> Host:
+        if name not in known:
+            if len(known) > 256:
+                known.clear()
+            known[name] = make(*values)
+        return known[name]
+
+    return get
+
+
+_ROUND = "host:string, node:int, tag:string, role:string, tree:string, place:int, seen:long, same:long, words:long, linked:long"
+
+
+def _aligned(batches):
+    """Votes (tag null) and unmatched subtrees of pages (host, tree, wrapper)."""
+    host_of_name = hosts_by_name(Host)
+    for batch in batches:
+        votes: dict[tuple[str, int], list[int]] = {}
+        extra: dict[tuple, list[int]] = {}
+        for name, tree, wrapper in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
+            host, page = host_of_name(name, wrapper), read(tree)
+            _sum_words(page)
+            texts, elements = matched(host.root, page)
+            for a, b in texts:
+                vote = votes.setdefault((name, host.numbers[id(a)]), [0, 0, 0, 0])
+                vote[0] += 1
+                vote[1] += a.hashed == b.hashed
+                vote[2] += b.words
+                vote[3] += b.linked
+            for (a, tag, role), (subtree, place) in unmatched(texts, elements).items():
+                found = extra.setdefault((name, host.numbers[a], tag, role, subtree), [place, 0])
+                found[0] = min(found[0], place)
+                found[1] += 1
+        rows = [(h, n, None, None, None, 0, *v) for (h, n), v in votes.items()]
+        rows += [(*key, place, seen, 0, 0, 0) for key, (place, seen) in extra.items()]
+        names = [x.split(":")[0].strip() for x in _ROUND.split(",")]
+        yield dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
+
+
+def _sum_words(node: Node) -> int:
+    if node.tag:
+        node.words = sum(map(_sum_words, node.children))
+    return node.words
+
+
+def _grow(batches):
+    for batch in batches:
+        out = [grown(wrapper, [(x["node"], x["place"], x["tree"]) for x in additions])
+               for wrapper, additions in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield {"host": batch.column(0), "wrapper": out}
+
+
+def wrappers(pages: DataFrame, min_pages: int) -> DataFrame:
+    """``w_host, wrapper, votes``: per host the grown wrapper and (number, seen, same, words, words in links) of its text nodes."""
+    distinct = trees(pages)
+    typical = distinct.groupBy("host").agg(F.percentile_approx("n", 0.5, 1000).alias("typical"))
+    # Choose by length and hash first, so that trees are not shuffled for it.
+    chosen = distinct.select("host", "n", "key").join(typical, "host").groupBy("host").agg(
+        F.min(F.struct(F.abs(F.col("n") - F.col("typical")), F.col("key"))).alias("best"))
+    chosen = stage(chosen.select(F.col("host").alias("c_host"), F.col("best.key").alias("c_key")), "skeleton-keys")
+    found = distinct.join(chosen, (F.col("host") == F.col("c_host")) & (F.col("key") == F.col("c_key")))
+    growing = stage(found.select("host", F.col("tree").alias("wrapper")), "wrappers")
+    done = None
+    while True:
+        # Only hosts whose wrapper has grown are aligned again. It ends, as no (element, name, role) is merged twice.
+        rows = stage(map_batches(distinct.join(growing, "host").select("host", "tree", "wrapper"), _ROUND, _aligned), "aligned")
+        place = ["host", "node", "tag", "role"]
+        said_alike = rows.filter("tag IS NOT NULL").groupBy(*place, "tree").agg(F.sum("seen").alias("n"), F.min("place").alias("place"))
+        merged = said_alike.groupBy(*place).agg(
+            F.sum("n").alias("n"), F.max_by(F.struct("node", "place", "tree"), F.struct("n", "tree")).alias("subtree"),
+        ).filter(F.col("n") >= min_pages)
+        additions = merged.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("additions"))
+        following = stage(map_batches(growing.join(additions, "host").select("host", "wrapper", "additions"),
+                                      "host:string, wrapper:string", _grow), "wrappers")
+        voted = rows.filter("tag IS NULL").join(following.select("host"), "host", "left_anti").groupBy("host", "node").agg(
+            *[F.sum(c).alias(c) for c in ("seen", "same", "words", "linked")])
+        vote = F.struct(F.col("node").cast("long").alias("node"), "seen", "same", "words", "linked")
+        listed = F.sort_array(F.collect_list(vote))
+        flat = F.flatten(F.transform(listed, lambda v: F.array(v["node"], v["seen"], v["same"], v["words"], v["linked"])))
+        settled = growing.join(voted.groupBy("host").agg(flat.alias("votes")), "host").select(
+            F.col("host").alias("w_host"), "wrapper", "votes")
+        done = settled if done is None else done.unionByName(settled)
+        if following.isEmpty():
+            return stage(done, "wrappers")
+        growing = following
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
     pages = sheltered(pages, ("page_id", "url", "html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    hosted = rows.withColumns({"host": host_of(F.col("url")), "n": F.length("html")})
-    own = wrappers(hosted.select("host", "html", "n"), min_pages, share)
-    met = rows.withColumn("host", host_of(F.col("url"))).join(own, F.col("host") == F.col("w_host"), "left")
+    hosted = rows.withColumn("host", host_of(F.col("url")))
+    own = wrappers(hosted.select("host", "html"), min_pages)
+    met = hosted.join(own, F.col("host") == F.col("w_host"), "left")
 
     def texts(batches):
-        trees: dict[str, tuple] = {}
+        host_of_name = hosts_by_name(lambda wrapper, votes: Host(wrapper, votes, min_pages, share))
         for batch in batches:
             out = []
-            for host, page, skeleton, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            for name, page, wrapper, votes in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 root = parse(page)
-                known: set[int] = set()
-                if template:
-                    if host not in trees:
-                        if len(trees) > 256:
-                            trees.clear()
-                        tree = parse(skeleton)
-                        trees[host] = tree, numbered(tree), set(template)
-                    tree, numbers, constant = trees[host]
-                    # A matched node is template only where this page says the same as well.
-                    known = {id(b) for a, b in align(tree, root)
-                             if numbers[id(a)] in constant and a.text.split() == b.text.split()}
+                known: dict[int, Facts] = {}
+                if votes:
+                    host = host_of_name(name, wrapper, votes)
+                    pairs, elements = matched(host.root, root)
+                    for a, b in pairs:
+                        # A matched node is template only where this page says the same as well.
+                        b.template = host.numbers[id(a)] in host.template and a.hashed == said(b)
+                    known = {id(b): host.facts[id(a)] for a, b in elements if id(a) in host.facts}
                 out.append(main_text(root, known))
             yield {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(out, pa.string()),
                    "n_chars": [len(t) for t in out]}
 
-    return map_batches(met.select("page_id", "url", "host", "html", "skeleton", "template"),
+    return map_batches(met.select("page_id", "url", "host", "html", "wrapper", "votes"),
                        "page_id:long, url:string, text:string, n_chars:long", texts)

@@ -431,7 +431,7 @@ STORY = " ".join(f"word{i}" for i in range(60))
 
 
 def read_page(body: str) -> str:
-    return html_text.main_text(html_text.parse(page(body)), set())
+    return html_text.main_text(html_text.parse(page(body)), {})
 
 
 def test_html_keeps_text_whose_names_only_look_like_boilerplate():
@@ -451,3 +451,28 @@ def test_html_still_drops_boilerplate():
                   "<div hidden>secret</div>", "<div role=navigation>Up</div>", "<div class=social-share>Share it</div>",
                   "<div STYLE='display: none'>secret</div>", "<nav>Menu</nav>", "<form>Your mail <input></form>"):
         assert read_page(f"<div><p>{STORY}</p>{extra}</div>") == STORY
+
+
+def test_html_content_is_not_only_in_articles():
+    teaser = "<article class=teaser><a href='/b'>Another story</a></article>"
+    assert read_page(f"<main><h1>Top</h1><p>{STORY}</p>{teaser}</main>") == f"Top\n{STORY}"
+    assert read_page(f"<div><h2>Top</h2><p>{STORY}</p></div>{teaser}{teaser}") == f"Top\n{STORY}"
+    card = "<article><a href='/b'>Another story</a></article>"
+    assert STORY in read_page(f"<div><p>{STORY}</p></div>{card}{card}")
+    assert read_page(f"<div>Top menu</div><article><p>{STORY}</p></article><p>End</p>") == STORY
+
+
+def test_html_wrapper_grows_by_what_the_skeleton_lacks(spark):
+    rows = []
+    for k in range(40):
+        extra = f"<div class=box><p>Now open in {prose(900 + k, 2)}</p><div><p>Read our <i>terms</i> here</p></div></div>" if k % 3 else ""
+        menu = "".join(f"<li><a href='/{j}'>{prose(k * 9 + j, 1)}</a></li>" for j in range(5))
+        # The pages of middle length lack the box, so the skeleton does.
+        story = prose(k, 50 if not k % 3 else 20 if k % 2 else 90)
+        rows.append((k, f"https://grow.example/{k}", page(f"<ul>{menu}</ul><div><p>{story}</p>{extra}</div>"), story))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, story string").repartition(3)
+    stories = {r[0]: r[3] for r in rows}
+    for r in html_text.extract_text(frame).collect():
+        lines = r.text.split("\n")
+        assert lines[0] == stories[r.page_id]
+        assert "Read our terms here" not in r.text and len(lines) == 1 + bool(r.page_id % 3)
