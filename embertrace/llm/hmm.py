@@ -1,17 +1,19 @@
 """Hidden Markov language model: Baum-Welch over all training documents, exact likelihoods by scaled forward recursion.
 
-Words are counted over the training documents (every word, by 64-bit hash). Words rank by count. The first
-``state_words`` ranks have an emission probability per latent state. All others belong to a tail class per state; within
-it a word's share is (c + 1) / (sum of (c + 1) over tail words + 1), the last 1 being for words never met. So the model is a proper
-distribution over any words, and nothing is capped: the bound only decides which words have a parameter per state.
+Words are counted over the training documents (every word, by 64-bit hash). Every word seen ``least_seen`` times or more has an
+emission probability per latent state, however many there are. All others belong to a tail class per state; within it a word's
+share is (c + 1) / (sum of (c + 1) over tail words + 1), the last 1 being for words never met. So the model is a proper
+distribution over any words.
+
+Words rank by count. Emissions and counts of the head of the ranks are broadcast; those of words beyond it stay in a table (word,
+state, expected count), which joins the documents' words by hash in each round. The size of the head changes no result.
 
 Training is distributed Baum-Welch: a task runs forward and backward over its documents (all documents of a block at
 once, step by step) and hands on expected counts of starts, transitions and emissions, which Spark sums. The first
-counts come from the documents' language, each language being tied to a state, or from a hash where there is none; then
-``rounds`` rounds follow. Emissions are smoothed towards the words' overall shares.
+counts come from the documents' language, each language being tied to a state, or from a hash where there is none; rounds follow
+until one gains less than ``tolerance`` in log10 likelihood a token. Emissions are smoothed towards the words' overall shares.
 
-Scoring runs the scaled forward recursion over every document. Tail words of a text find their counts in the broadcast
-head of the count table, or else by a join on the word hash with the whole table.
+Scoring runs the scaled forward recursion over every document.
 
 Defined results: a null or empty text is its end token alone; a null id is trained on and scored like others (its text form
 for the split is empty); repeated rows count and score each; an empty table gives an empty result; without training documents all
@@ -36,12 +38,13 @@ END_WORD = b"\x00 end"
 @dataclass(frozen=True)
 class HmmConfig:
     states: int = 6
-    rounds: int = 2
-    #: Words with emission parameters, at most.
-    state_words: int = 1 << 15
+    #: Rounds go on while one gains this much in log10 likelihood a token.
+    tolerance: float = 1e-3
+    #: Words whose emissions are broadcast, at most; those of others are joined.
+    state_words: int = 1 << 20
     #: Rarer words stay in the tail, whose share also covers words never met.
     least_seen: int = 5
-    #: Words whose counts are broadcast, at most; others are looked up by a join.
+    #: Words whose counts are broadcast, at most; the head is the smaller of the two.
     head_words: int = 1 << 20
     #: Tokens that a task holds at once; documents stay whole.
     block_tokens: int = 1 << 20
@@ -91,12 +94,14 @@ class Vocabulary:
     """The head of the count table, by rank: ``words`` sorted by hash, with ``ranks``; ``seen`` by rank."""
 
     def __init__(self, counts: DataFrame, config: HmmConfig) -> None:
-        whole = counts.agg(F.sum("seen").alias("tokens"), F.count(F.lit(1)).alias("words")).first()
+        named = F.col("seen") >= config.least_seen
+        whole = counts.agg(F.sum("seen").alias("tokens"), F.count(F.lit(1)).alias("words"), F.count_if(named).alias("named"),
+                           F.coalesce(F.sum(F.when(named, F.col("seen"))), F.lit(0)).alias("named_tokens")).first()
         self.tokens, self.distinct = whole["tokens"] or 0, whole["words"]
         # The least count of which all words fit into the head, from a histogram of logarithmic buckets.
         bucket = F.floor(F.log("seen") / np.log(1.02)).cast("int")
         histogram = sorted(counts.groupBy(bucket.alias("b")).count().collect(), reverse=True)
-        room, least = config.head_words, None
+        room, least = min(config.head_words, config.state_words), None
         for b, n in histogram:
             if n > room:
                 break
@@ -107,11 +112,11 @@ class Vocabulary:
         self.seen = seen[order]
         by_hash = np.argsort(words[order])
         self.words, self.ranks = words[order][by_hash], by_hash.astype(np.int32)
-        self.state_words = min(config.state_words, int((self.seen >= config.least_seen).sum()))
+        self.state_words = int((self.seen >= config.least_seen).sum())
         self.least = least
-        # Tail: everything beyond the ranks with states.
-        named = int(self.seen[: self.state_words].sum())
-        self.tail_weight = (self.tokens - named) + (self.distinct - self.state_words) + 1
+        #: Whether words beyond the head have emissions.
+        self.wide = whole["named"] > self.state_words
+        self.tail_weight = (self.tokens - whole["named_tokens"]) + (self.distinct - whole["named"]) + 1
 
 
 def rank(words: np.ndarray, ranks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -152,18 +157,25 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def model_of(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, config: HmmConfig) -> Model:
-    """The model that expected counts give."""
+def model_of(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, config: HmmConfig, beyond: np.ndarray | float = 0.0,
+             words_beyond: int = 0) -> Model:
+    """The model that expected counts give; ``beyond`` counts emissions per state of ``words_beyond`` words without a class."""
     k = config.states
     prior = np.ones((k, k)) + config.stay * np.eye(k)
     overall = emits.sum(axis=1) + 1e-3
-    smooth = emits + config.smoothing * (overall / overall.sum())[:, None]
-    return (starts + 1) / (starts.sum() + k), (moves + prior) / (moves + prior).sum(axis=1, keepdims=True), smooth / smooth.sum(axis=0)
+    whole = overall.sum() + np.sum(beyond) + 1e-3 * words_beyond
+    smooth = emits + config.smoothing * (overall / whole)[:, None]
+    total = emits.sum(axis=0) + beyond + config.smoothing
+    return (starts + 1) / (starts.sum() + k), (moves + prior) / (moves + prior).sum(axis=1, keepdims=True), smooth / total
 
 
 def blocks(batches, columns: tuple[int, ...], ranks_at: int, config: HmmConfig, tail: int):
-    """Documents gathered into blocks: (values of ``columns`` by column, classes of all tokens, lengths)."""
+    """Documents gathered into blocks: (values of ``columns`` by column, ranks by document, :class:`Wide`).
+
+    The columns after the ranks are those of :func:`with_wide`.
+    """
     held: list[np.ndarray] = []
+    wide: list[tuple] = []
     values: list[list] = [[] for _ in columns]
     total = 0
     for batch in batches:
@@ -171,18 +183,43 @@ def blocks(batches, columns: tuple[int, ...], ranks_at: int, config: HmmConfig,
             values[at] += batch.column(name).to_pylist()
         ranks = [np.frombuffer(r, "<i4") for r in batch.column(ranks_at).to_pylist()]
         held += ranks
+        wide += zip(*(batch.column(ranks_at + i).to_pylist() for i in range(1, 3 + config.states)))
         total += sum(map(len, ranks))
         if total >= config.block_tokens:
-            yield values, held
-            held, values, total = [], [[] for _ in columns], 0
+            yield values, held, Wide(held, wide, tail)
+            held, wide, values, total = [], [], [[] for _ in columns], 0
     if held:
-        yield values, held
+        yield values, held, Wide(held, wide, tail)
+
+
+class Wide:
+    """Words of a block whose emissions are not broadcast: ``words``, ``emit``; ``classes`` of all tokens by document."""
+
+    def __init__(self, ranks: list[np.ndarray], rows: list[tuple], tail: int) -> None:
+        found = [r[1:] for r in rows if r[1]]
+        words = np.concatenate([np.array(f[0], np.int64) for f in found]) if found else np.empty(0, np.int64)
+        self.words, first = np.unique(words, return_index=True)
+        self.emit = np.stack([np.concatenate([np.array(x, float) for x in s])[first] for s in list(zip(*found))[1:]], axis=1) if found else None
+        self.classes = []
+        for own, row in zip(ranks, rows):
+            classes = np.where((own < 0) | (own >= tail), tail, own).astype(np.int64)
+            if row[1]:
+                far = np.array(row[0], np.int64)
+                at = np.minimum(np.searchsorted(self.words, far), len(self.words) - 1)
+                classes[own < 0] = np.where(self.words[at] == far, tail + 1 + at, tail)
+            self.classes.append(classes)
+        self.top = tail + len(self.words)
+
+    def model(self, model: Model) -> Model:
+        """``model`` with the emissions of the block's own words."""
+        return model if self.emit is None else (model[0], model[1], np.concatenate([model[2], self.emit]))
 
 
 class Lattice:
     """Tokens of a block by step: all documents side by side, longest first, so that a step's documents are a prefix."""
 
-    def __init__(self, ranks: list[np.ndarray], tail: int) -> None:
+    def __init__(self, ranks: list[np.ndarray], tail: int, top: int | None = None) -> None:
+        top = tail if top is None else top  # classes above the tail are words of the block
         lengths = np.array([len(r) for r in ranks])
         self.order = np.argsort(-lengths, kind="stable")
         self.lengths = lengths[self.order]
@@ -194,7 +231,7 @@ class Lattice:
         doc = np.repeat(np.arange(len(ranks)), self.lengths)
         flat = np.concatenate([ranks[i] for i in self.order])
         self.classes = np.empty(len(flat), np.int64)
-        self.classes[self.begin[step] + doc] = np.where((flat < 0) | (flat >= tail), tail, flat)
+        self.classes[self.begin[step] + doc] = np.where((flat < 0) | (flat > top), tail, flat)
 
     def forward(self, model: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """(log10 likelihood per document, states of all tokens or None, scales of all tokens)."""
@@ -217,9 +254,10 @@ class Lattice:
         return score, states, scales
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts (K), moves (K x K) and the states of all tokens."""
+        """Expected counts of starts (K), moves (K x K) and the states of all tokens; ``likelihood`` is kept, in log10."""
         _, move, emit = model
-        _, states, scales = self.forward(model, keep=True)
+        score, states, scales = self.forward(model, keep=True)
+        self.likelihood = float(score.sum())
         k = states.shape[1]
         moves = np.zeros((k, k))
         after = np.ones((len(self.lengths), k))
@@ -235,61 +273,108 @@ class Lattice:
         return states[: self.width[0]].sum(axis=0), moves * move, states
 
 
-def _count_rows(classes: np.ndarray, weights: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> dict:
-    """Expected counts as rows (kind, number, s0, ...): kind 0 emissions by class, 1 moves by state, 2 starts."""
+_HEAD, _MOVE, _START, _FAR, _LIKELIHOOD = range(5)
+
+
+def _count_rows(lattice: Lattice, weights: np.ndarray, starts: np.ndarray, moves: np.ndarray, wide: Wide, tail: int,
+                likelihood: float) -> dict:
+    """Expected counts as rows (kind, number, s0, ...): emissions by class, or by word beyond the head; moves by state; starts."""
+    classes = lattice.classes
     size, k = int(classes.max()) + 1, weights.shape[1]
     sums = np.stack([np.bincount(classes, weights[:, s], size) for s in range(k)], axis=1)
     met = np.flatnonzero(sums.any(axis=1))
-    table = np.concatenate([sums[met], moves, starts[None]])
-    kinds = np.r_[np.zeros(len(met), int), np.ones(k, int), 2]
-    return {"kind": kinds, "number": np.r_[met, np.arange(k), 0], **{f"s{s}": table[:, s] for s in range(k)}}
-
-
-def _summed(rows: DataFrame, tail: int, config: HmmConfig) -> Model:
-    k = config.states
-    sums = rows.groupBy("kind", "number").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toArrow()
-    kind, number = (sums.column(i).to_numpy() for i in (0, 1))
-    values = np.stack([sums.column(2 + s).to_numpy() for s in range(k)], axis=1) if len(kind) else np.zeros((0, k))
-    emits, moves, starts = np.zeros((tail + 1, k)), np.zeros((k, k)), np.zeros(k)
-    emits[number[kind == 0]] = values[kind == 0]
-    moves[number[kind == 1]] = values[kind == 1]
-    for row in values[kind == 2]:
-        starts += row
-    return model_of(starts, moves, emits, config)
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig) -> Model:
-    """The model after ``rounds`` rounds of Baum-Welch over the training rows of :func:`encoded`."""
+    far = met > tail
+    numbers = met.astype(np.int64)
+    numbers[far] = wide.words[met[far] - tail - 1]
+    said = np.zeros((1, k))
+    said[0, 0] = likelihood
+    table = np.concatenate([sums[met], moves, starts[None], said])
+    kinds = np.r_[np.where(far, _FAR, _HEAD), np.full(k, _MOVE), _START, _LIKELIHOOD]
+    return {"kind": kinds, "number": np.r_[numbers, np.arange(k), 0, 0], **{f"s{s}": table[:, s] for s in range(k)}}
+
+
+def _summed(rows: DataFrame, vocabulary: Vocabulary, config: HmmConfig) -> tuple[Model, DataFrame | None, float]:
+    """The model, the table of emissions of words beyond the head, and the log10 likelihood under the model before."""
+    k, tail = config.states, vocabulary.state_words
+    states = [f"s{s}" for s in range(k)]
+    sums = rows.groupBy("kind", "number").agg(*[F.sum(s).alias(s) for s in states])
+    beyond, words_beyond, far = np.zeros(k), 0, None
+    if vocabulary.wide:
+        sums = stage(sums, "expected-counts")
+        far = sums.filter(F.col("kind") == _FAR)
+        whole = far.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in states]).first()
+        beyond, words_beyond = np.array([whole[s] for s in states]), whole["n"]
+    near = sums.filter(F.col("kind") != _FAR).toArrow()
+    kind, number = (near.column(i).to_numpy() for i in (0, 1))
+    values = np.stack([near.column(2 + s).to_numpy() for s in range(k)], axis=1) if len(kind) else np.zeros((0, k))
+    emits, moves = np.zeros((tail + 1, k)), np.zeros((k, k))
+    emits[number[kind == _HEAD]] = values[kind == _HEAD]
+    moves[number[kind == _MOVE]] = values[kind == _MOVE]
+    starts = values[kind == _START].sum(axis=0)
+    model = model_of(starts, moves, emits, config, beyond, words_beyond)
+    if far is not None:
+        overall = sum(F.col(s) for s in states) + 1e-3
+        everything = float(emits.sum() + 1e-3 * len(emits) + beyond.sum() + 1e-3 * words_beyond)
+        total = emits.sum(axis=0) + beyond + config.smoothing
+        far = far.select(F.col("number").alias("word"), *[
+            ((F.col(s) + config.smoothing * overall / everything) / float(total[i])).alias(s) for i, s in enumerate(states)])
+    return model, far, float(values[kind == _LIKELIHOOD].sum())
+
+
+def with_wide(docs: DataFrame, links: DataFrame | None, far: DataFrame | None, config: HmmConfig) -> DataFrame:
+    """``docs`` (row, ..., ranks last) with columns far, wide words and their emissions per state (null without any)."""
+    states = [f"s{s}" for s in range(config.states)]
+    rest = [c for c in docs.columns if c != "far"]
+    if links is None:
+        none = F.lit(None)
+        return docs.select(*rest, none.cast("array<bigint>").alias("far"), none.cast("array<bigint>").alias("wide"),
+                           *[none.cast("array<double>").alias(s) for s in states])
+    found = links.join(far, "word").groupBy("row").agg(F.collect_list(F.struct("word", *states)).alias("met"))
+    return docs.join(found.withColumnRenamed("row", "met_row"), F.col("row") == F.col("met_row"), "left").select(
+        *rest, "far", F.col("met.word").alias("wide"), *[F.col(f"met.{s}").alias(s) for s in states])
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: DataFrame | None = None
+          ) -> tuple[Model, DataFrame | None]:
+    """The model and emissions beyond the head that Baum-Welch over the training rows of :func:`encoded` converges to.
+
+    ``links`` has the words beyond the head with emissions, by row.
+    """
     k, tail = config.states, vocabulary.state_words
-    spec = "kind:int, number:int, " + ", ".join(f"s{s}:double" for s in range(k))
-    training = docs.filter(~F.col("held_out")).select("lang", "row", "ranks")
+    spec = "kind:int, number:long, " + ", ".join(f"s{s}:double" for s in range(k))
+    training = docs.filter(~F.col("held_out")).select("lang", "row", "ranks", "far")
     # Languages take states in order of their share, further ones and documents without one by hash.
     langs = training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(k).collect()
     tied = {r["lang"]: s for s, r in enumerate(langs) if r["lang"] is not None}
+    far = links.select("word").distinct().select("word", *[F.lit(1.0).alias(f"s{s}") for s in range(k)]) if links is not None else None
 
     def first(batches):
-        for (langs_, numbers), ranks in blocks(batches, (0, 1), 2, config, tail):
-            lattice = Lattice(ranks, tail)
+        for (langs_, numbers), ranks, wide in blocks(batches, (0, 1), 2, config, tail):
+            lattice = Lattice(wide.classes, tail, wide.top)
             state = np.array([tied.get(x, r % k) for x, r in zip(langs_, numbers)])[lattice.order]
             weights = np.full((len(ranks), k), 0.1 / k)
             weights[np.arange(len(ranks)), state] += 0.9
             doc = np.concatenate([np.arange(n) for n in lattice.width])
-            yield _count_rows(lattice.classes, weights[doc], weights.sum(axis=0),
-                              (weights * (lattice.lengths - 1)[:, None]).T @ weights)
+            yield _count_rows(lattice, weights[doc], weights.sum(axis=0),
+                              (weights * (lattice.lengths - 1)[:, None]).T @ weights, wide, tail, 0.0)
 
-    model = _summed(map_batches(training, spec, first), tail, config)
-    for _ in range(config.rounds):
+    model, far, _ = _summed(map_batches(with_wide(training, links, far, config), spec, first), vocabulary, config)
+    before = None
+    while vocabulary.tokens:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def maximise(batches, shared=shared):
-            for _, ranks in blocks(batches, (), 2, config, tail):
-                lattice = Lattice(ranks, tail)
-                starts, moves, states = lattice.expected(shared.value)
-                yield _count_rows(lattice.classes, states, starts, moves)
+            for _, _, wide in blocks(batches, (), 2, config, tail):
+                lattice = Lattice(wide.classes, tail, wide.top)
+                starts, moves, states = lattice.expected(wide.model(shared.value))
+                yield _count_rows(lattice, states, starts, moves, wide, tail, lattice.likelihood)
 
-        model = _summed(map_batches(training, spec, maximise), tail, config)
+        model, far, likelihood = _summed(map_batches(with_wide(training, links, far, config), spec, maximise), vocabulary, config)
         shared.unpersist()
-    return model
+        if before is not None and likelihood - before < config.tolerance * vocabulary.tokens:
+            break
+        before = likelihood
+    return model, far
 
 
 def hmm_scores(docs: DataFrame, config: HmmConfig = HmmConfig()) -> DataFrame:
@@ -298,33 +383,40 @@ def hmm_scores(docs: DataFrame, config: HmmConfig = HmmConfig()) -> DataFrame:
     counts = word_counts(rows)
     vocabulary = Vocabulary(counts, config)
     documents = encoded(rows, vocabulary)
-    model = train(documents, vocabulary, config)
+    links = None
+    if vocabulary.wide:
+        met = documents.select("row", F.explode(F.array_distinct("far")).alias("word"))
+        links = stage(met.join(counts.filter(F.col("seen") >= config.least_seen).select("word"), "word"), "words-beyond")
+    model, emissions = train(documents, vocabulary, config, links)
     tail, tokens, distinct = vocabulary.state_words, vocabulary.tokens, vocabulary.distinct
     spark = docs.sparkSession
     shared, seen = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(np.log10(vocabulary.seen + 1.0))
 
     def score(batches):
-        for (numbers, ids, held), ranks in blocks(batches, (0, 1, 2), 3, config, tail):
-            lattice = Lattice(ranks, tail)
+        for (numbers, ids, held), ranks, wide in blocks(batches, (0, 1, 2), 3, config, tail):
+            lattice = Lattice(wide.classes, tail, wide.top)
             own = np.empty(len(ranks))
-            own[lattice.order] = lattice.forward(shared.value, keep=False)[0]
+            own[lattice.order] = lattice.forward(wide.model(shared.value), keep=False)[0]
             known = [r[r >= 0] for r in ranks]
             yield {"row": numbers, "doc_id": ids, "held_out": held, "n_tokens": [len(r) for r in ranks],
                    "near_known": [len(r) for r in known], "logs": [float(seen.value[r].sum()) for r in known],
                    "tail_logs": [float(seen.value[r[r >= tail]].sum()) for r in known],
-                   "tail_words": [int(((r < 0) | (r >= tail)).sum()) for r in ranks], "forward": own}
+                   "tail_words": [int((c == tail).sum()) for c in wide.classes], "forward": own}
 
     spec = ("row:long, doc_id:long, held_out:boolean, n_tokens:long, near_known:long, logs:double, tail_logs:double, "
             "tail_words:long, forward:double")
-    scored = map_batches(documents.select("row", "doc_id", "held_out", "ranks"), spec, score)
+    scored = map_batches(with_wide(documents.select("row", "doc_id", "held_out", "ranks", "far"), links, emissions, config), spec, score)
     # Words beyond the head: each word of a document once, with its number there.
     far = documents.select("row", F.explode("far").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+    logs = F.col("times") * F.log10(F.col("seen") + 1)
     found = far.join(counts, "word").groupBy("row").agg(
-        F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("seen") + 1)).alias("far_logs"))
+        F.sum("times").alias("far_known"), F.sum(logs).alias("far_logs"),
+        F.sum(F.when(F.col("seen") < config.least_seen, logs)).alias("far_tail_logs"))
     joined = scored.join(found, "row", "left").withColumns({
-        "far_known": F.coalesce("far_known", F.lit(0)), "far_logs": F.coalesce("far_logs", F.lit(0.0))})
+        "far_known": F.coalesce("far_known", F.lit(0)), "far_logs": F.coalesce("far_logs", F.lit(0.0)),
+        "far_tail_logs": F.coalesce("far_tail_logs", F.lit(0.0))})
     base = F.col("logs") + F.col("far_logs") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))
-    full = (F.col("forward") + F.col("tail_logs") + F.col("far_logs")
+    full = (F.col("forward") + F.col("tail_logs") + F.col("far_tail_logs")
             - F.col("tail_words") * F.lit(float(np.log10(vocabulary.tail_weight))))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("near_known") + F.col("far_known")).alias("n_known"),

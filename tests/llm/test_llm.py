@@ -406,6 +406,13 @@ def test_hmm(documents, awkward, nothing):
     assert hmm_scores(nothing).count() == 0
 
 
+def test_hmm_learns_every_word_whatever_is_broadcast(documents):
+    scores = [{(r.doc_id, r.n_tokens, r.n_known): r.score for r in hmm_scores(documents, c).collect()}
+              for c in (HmmConfig(), HmmConfig(state_words=40))]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[1][d] == pytest.approx(scores[0][d], rel=1e-6) for d in scores[0])
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 
