@@ -17,6 +17,7 @@ from embertrace.llm.registry import ORACLES, QUERIES, llm_query
 from embertrace.llm.token_counts import count_tokens
 from embertrace.llm.token_files import token_file_digest
 from embertrace.llm.topk import top_k
+from embertrace.llm.turn_repair import repair_digest
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -86,3 +87,9 @@ def op3_repeats(spark, sf_dir):
 def op10_hmm(spark, sf_dir):
     """Baseline and hidden Markov scores of every document."""
     return hmm_scores(load(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op13_repair(spark, sf_dir):
+    """Faults, cheapest edits and repaired hash of every damaged conversation."""
+    return repair_digest(load(spark, sf_dir, "conversations"))
