@@ -11,6 +11,7 @@ from embertrace.llm.html_text import extract_text
 from embertrace.llm.jaccard import jaccard_components
 from embertrace.llm.mixing import mix_sources
 from embertrace.llm.packing import pack
+from embertrace.llm.prefix_trie import conversation_trie
 from embertrace.llm.quality import COUNTS, RATIOS, quality_rules
 from embertrace.llm.repeats import repeated_spans
 from embertrace.llm.registry import ORACLES, QUERIES, llm_query
@@ -89,6 +90,12 @@ def op10_hmm(spark, sf_dir):
     return hmm_scores(load(spark, sf_dir, "documents"))
 
 
+@llm_query()
+def op11_trie(spark, sf_dir):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
 @llm_query()
 def op13_repair(spark, sf_dir):
     """Faults, cheapest edits and repaired hash of every damaged conversation."""
