@@ -19,6 +19,7 @@ from embertrace.llm.token_counts import count_tokens
 from embertrace.llm.token_files import token_file_digest
 from embertrace.llm.topk import top_k
 from embertrace.llm.turn_repair import repair_digest
+from embertrace.llm.vector_links import vector_links
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -96,6 +97,12 @@ def op11_trie(spark, sf_dir):
     return conversation_trie(load(spark, sf_dir, "conversations"))
 
 
+@llm_query()
+def op12_vector_links(spark, sf_dir):
+    """Links, component and verdict of every vector."""
+    return vector_links(load(spark, sf_dir, "embeddings"))
+
+
 @llm_query()
 def op13_repair(spark, sf_dir):
     """Faults, cheapest edits and repaired hash of every damaged conversation."""
