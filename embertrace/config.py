@@ -25,7 +25,7 @@ class EngineConfig:
     risk_critical: int = 75
     risk_high: int = 50
     risk_medium: int = 25
-    decay_interval_hours: int = 24
+    decay_interval_hours: int = 24  # 0: scores do not decay
     decay_rate: float = 0.05
 
     # correlation
@@ -49,7 +49,7 @@ class EngineConfig:
     # Physical limits. Groups above these take a sliced or streamed path with
     # the same result, so the values change speed and memory only.
     fold_limit: int = 10_000
-    slice_rows: int = 2_000_000
+    slice_rows: int = 200_000
     rules_per_pass: int = 60  # one bit each, below 63
 
     def __post_init__(self) -> None:

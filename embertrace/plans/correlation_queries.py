@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embertrace.functions.scoring import risk_level
-from embertrace.operators import chain_table, decay, entities, narrate, risk
+from embertrace.operators import chain_table, entities, narrate, risk
 from embertrace.operators.chains import add_chain_risk, assign_chains
 from embertrace.operators.cooldown import apply_cooldown, one_per_alert
 from embertrace.operators.detect import detect
 from embertrace.operators.investigate import lookback_context
 from embertrace.plans.binding import bound_events, bundled_rules
-from embertrace.plans.oracle import RISK_LEVEL, on_alerts, on_chained, on_fired, on_hits, on_tables
+from embertrace.plans.oracle import DAY_US, LOSS as _LOSS, RISK_LEVEL, decay_fold, on_alerts, on_chained, on_fired, on_hits, on_tables
 from embertrace.plans.pipeline import correlate
 from embertrace.plans.registry import query
 from embertrace.plans.runs import CONFIG, fresh_matches, fresh_run, store
@@ -41,8 +41,8 @@ def cooldown_alerts(spark, sf_dir):
     return fired.select("alert_id", "event_id", "entity_name", "rule_ordinal", "timestamp")
 
 
-@query(on_hits("""SELECT alert_id, entity_name, CAST(least(100, sum(pts) OVER e - pts) AS INTEGER) AS points_before
-    FROM hits WINDOW e AS (PARTITION BY entity_name ORDER BY t, event_id, ord)"""))
+@query(on_hits("SELECT alert_id, entity_name, CAST(before AS INTEGER) AS points_before FROM fold",
+               decay_fold("SELECT * FROM hits", "pts")))
 def cooldown_off_repeats(spark, sf_dir):
     """Every event delivered twice, no cooldown: each match is one alert, folded through the large path."""
     config = CONFIG.with_(cooldown_seconds=0, chain_min_rules=1_000, fold_limit=1)
@@ -101,10 +101,13 @@ def chain_links(spark, sf_dir):
     return chain_table.chain_links(fresh_run(spark, sf_dir).alerts, CONFIG)
 
 
-@query(on_alerts("SELECT alert_id, entity_name, entity_risk_before, entity_risk_after FROM alerts"))
+@query(on_chained("""SELECT alert_id, entity_name, CAST(least(100, sum(delta) OVER e - delta) AS INTEGER)
+    AS entity_risk_before, CAST(least(100, sum(delta) OVER e) AS INTEGER) AS entity_risk_after
+    FROM chained WINDOW e AS (PARTITION BY entity_name ORDER BY n)"""))
 def entity_risk_running(spark, sf_dir):
-    """Entity risk around each alert, without decay."""
-    return fresh_run(spark, sf_dir).alerts.select(
+    """Entity risk around each alert with decay switched off."""
+    config = CONFIG.with_(decay_interval_hours=0)
+    return correlate(bound_events(spark, sf_dir), bundled_rules(spark), config).alerts.select(
         "alert_id", "entity_name", "entity_risk_before", "entity_risk_after"
     )
 
@@ -142,10 +145,6 @@ def entity_first_host(spark, sf_dir):
     )
 
 
-DAY_US = 24 * 3600 * 1_000_000
-_LOSS = "greatest(1, CAST(floor({0} * CAST(0.05 AS DOUBLE)) AS BIGINT))"
-
-
 @query(on_tables(f"""
     SELECT name, risk_score AS score_before, s AS risk_score, {RISK_LEVEL.format("s")} AS risk_level, peak_risk,
            ticks AS decay_ticks
@@ -170,37 +169,13 @@ def risk_decay(spark, sf_dir):
     )
 
 
-# Decay between alerts, step by step: every match, alert or not, is a step.
-_DECAYED = f"""marks AS (
-    SELECT h.entity_name, h.t, h.alert_id, coalesce(a.delta, 0) AS delta, a.alert_id IS NOT NULL AS is_alert,
-           row_number() OVER (PARTITION BY h.entity_name ORDER BY h.t, h.event_id, h.ord) AS m,
-           lag(h.t) OVER (PARTITION BY h.entity_name ORDER BY h.t, h.event_id, h.ord) AS previous
-    FROM hits h LEFT JOIN alerts a ON a.alert_id = h.alert_id
-), gaps AS (
-    SELECT *, CASE WHEN previous IS NULL THEN 0 ELSE greatest(0,
-        (t - 1) // {DAY_US} - ((previous + {DAY_US} + {DAY_US} - 1) // {DAY_US}) + 1) END AS ticks FROM marks
-), todo AS (
-    SELECT entity_name, alert_id, m, delta, is_alert, ticks,
-           list_reduce(list_prepend(CAST(s AS BIGINT), range(ticks)), lambda x, y: greatest(0, x - {_LOSS.format("x")}))
-               AS after_decay, s
-    FROM gaps, range(101) AS r(s)
-), fold AS (
-    SELECT entity_name, m, alert_id, is_alert, CAST(0 AS BIGINT) AS before, CAST(least(100, delta) AS BIGINT) AS after
-    FROM gaps WHERE m = 1
-    UNION ALL
-    SELECT d.entity_name, d.m, d.alert_id, d.is_alert, d.after_decay, least(100, d.after_decay + d.delta)
-    FROM fold f JOIN todo d ON d.entity_name = f.entity_name AND d.m = f.m + 1 AND d.s = f.after
-)"""
-
-
-@query(on_alerts("""SELECT alert_id, CAST(before AS INTEGER) AS decayed_risk_before,
-    CAST(after AS INTEGER) AS decayed_risk_after FROM fold WHERE is_alert""", _DECAYED))
+@query(on_alerts("""SELECT alert_id, entity_risk_before AS decayed_risk_before, entity_risk_after AS decayed_risk_after
+    FROM alerts"""))
 def entity_risk_decayed(spark, sf_dir):
     """Entity risk around each alert with daily decay between alerts."""
-    run = fresh_run(spark, sf_dir)
-    return decay.add_decayed_risk(run.alerts, run.matches, CONFIG).select(
-        "alert_id", "decayed_risk_before", "decayed_risk_after"
-    )
+    alerts = fresh_run(spark, sf_dir).alerts
+    return alerts.select("alert_id", F.col("entity_risk_before").alias("decayed_risk_before"),
+                         F.col("entity_risk_after").alias("decayed_risk_after"))
 
 
 @query(on_alerts("""

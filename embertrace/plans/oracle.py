@@ -87,19 +87,42 @@ CHAINED = f"""walk AS (
     FROM fired f JOIN walk w ON w.alert_id = f.alert_id
 )"""
 
-SCORED = """first_match AS (
+DAY_US = 24 * 3600 * 1_000_000
+LOSS = "greatest(1, CAST(floor({0} * CAST(0.05 AS DOUBLE)) AS BIGINT))"
+
+
+def decay_fold(matches: str, points: str) -> str:
+    """Entity risk step by step: every match of ``matches`` is a step, decay ticks lie between, ``points`` are added."""
+    return f"""marks AS (
+    SELECT *, {points} AS points, row_number() OVER w AS m, lag(t) OVER w AS previous
+    FROM ({matches}) WINDOW w AS (PARTITION BY entity_name ORDER BY t, event_id, ord)
+), gaps AS (
+    SELECT *, CASE WHEN previous IS NULL THEN 0 ELSE greatest(0,
+        (t - 1) // {DAY_US} - ((previous + {DAY_US} + {DAY_US} - 1) // {DAY_US}) + 1) END AS ticks FROM marks
+), fold AS (
+    SELECT entity_name, m, alert_id, CAST(0 AS BIGINT) AS before, CAST(least(100, points) AS BIGINT) AS after
+    FROM gaps WHERE m = 1
+    UNION ALL
+    SELECT entity_name, m, alert_id, left_over, least(100, left_over + points) FROM (
+        SELECT g.entity_name, g.m, g.alert_id, g.points, list_reduce(list_prepend(f.after, range(g.ticks)),
+            lambda x, y: greatest(0, x - {LOSS.format("x")})) AS left_over
+        FROM fold f JOIN gaps g ON g.entity_name = f.entity_name AND g.m = f.m + 1)
+)"""
+
+
+SCORED = f"""first_match AS (
     SELECT entity_name, arg_min(host, (t, event_id)) AS first_host, min(timestamp) AS first_seen,
            max(timestamp) AS last_seen
     FROM hits GROUP BY entity_name
-), summed AS (
+), {decay_fold("SELECT h.*, c.delta FROM hits h LEFT JOIN chained c ON c.alert_id = h.alert_id", "coalesce(delta, 0)")
+}, summed AS (
     SELECT c.*, fm.first_host AS entity_host,
-           CAST(least(100, sum(delta) OVER e) AS INTEGER) AS entity_risk_after,
-           CAST(least(100, sum(delta) OVER e - delta) AS INTEGER) AS entity_risk_before,
+           CAST(f.after AS INTEGER) AS entity_risk_after, CAST(f.before AS INTEGER) AS entity_risk_before,
            CAST(least(100, sum(delta) OVER c) AS INTEGER) AS chain_risk_after,
            CAST(least(100, sum(delta) OVER c - delta) AS INTEGER) AS chain_risk_before,
            min(c.timestamp) OVER c AS chain_started_at, make_timestamp(c.upd) AS chain_updated_at
-    FROM chained c JOIN first_match fm USING (entity_name)
-    WINDOW e AS (PARTITION BY entity_name ORDER BY n), c AS (PARTITION BY chain_id ORDER BY n)
+    FROM chained c JOIN first_match fm USING (entity_name) JOIN fold f ON f.alert_id = c.alert_id
+    WINDOW c AS (PARTITION BY chain_id ORDER BY n)
 ), alerts AS (
     SELECT *, is_new_link AND chain_risk_before >= 75 AS trips,
            coalesce(bool_or(is_new_link AND chain_risk_before >= 75) OVER (

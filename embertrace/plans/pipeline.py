@@ -41,12 +41,12 @@ def raise_alerts(matches: DataFrame, rules: list[Rule], config: EngineConfig) ->
     """Stored matches to alerts with chain, risk and entity columns.
 
     Shuffles: one by (entity, rule, time) and one by (entity, rule, island) for
-    the cooldown, the same two by entity for chains; risk reuses the latter.
+    the cooldown, the same two by entity for chains, one by (entity, time) for risk.
     """
     fired = stage(apply_cooldown(matches, config), "fired")
     chained = chains.add_chain_risk(chains.assign_chains(fired, config), config)
     scored = stage(chain_table.chain_times(chained), "chained")
-    alerts = risk.add_entity_risk(scored)
+    alerts = risk.add_entity_risk(scored, matches, config)
     alerts = entities.attach_entity(alerts, entities.first_known(matches))
     texts = rule_attributes(matches.sparkSession, rules).drop("rule_id", "title_key", "risk_points")
     return alerts.join(texts, "rule_ordinal").withColumn("opens_chain", F.col("is_new_link") & (F.col("chain_position") == 1))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from embertrace.config import EngineConfig
 from embertrace.operators import chains, cooldown
-from embertrace.operators.decay import add_decayed_risk
 from embertrace.operators.risk import add_entity_risk
 from embertrace.streaming.detect import first_of_instant
 
@@ -101,9 +100,9 @@ def test_chains_equal_brute_force(spark, seed, fold_limit):
 
 def test_entity_risk_equals_a_running_clamp(spark):
     rows = busy_rows(4, count=200, span=20_000)
-    config = EngineConfig(chain_window_seconds=30)
+    config = EngineConfig(chain_window_seconds=30, decay_interval_hours=0)
     scored = chains.add_chain_risk(chains.assign_chains(matches_frame(spark, rows), config), config)
-    got = add_entity_risk(scored).orderBy("entity_name", "t", "event_id").collect()
+    got = add_entity_risk(scored, scored, config).orderBy("entity_name", "t", "event_id").collect()
     score, entity = 0, None
     for r in got:
         if r.entity_name != entity:
@@ -120,8 +119,8 @@ def test_risk_with_decay_equals_a_step_by_step_fold(spark):
     config = EngineConfig(cooldown_seconds=day, chain_window_seconds=900)
     matches = matches_frame(spark, rows)
     alerts = cooldown.apply_cooldown(matches, config).withColumn("risk_delta", F.lit(30))
-    got = {r.alert_id: (r.decayed_risk_before, r.decayed_risk_after)
-           for r in add_decayed_risk(alerts, matches, config).collect()}
+    got = {r.alert_id: (r.entity_risk_before, r.entity_risk_after)
+           for r in add_entity_risk(alerts, matches, config).collect()}
     fired = expected_fired(rows, day)
     assert set(got) == fired
     for entity in {e for e, _, _ in rows}:
