@@ -30,7 +30,8 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], version: str)
     return newest.select(*keys, "_row.*").select(*both.columns)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is none yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as problem:
@@ -48,7 +49,7 @@ def merge_days(rows: DataFrame, path: str, time: str, key: str) -> None:
     """
     spark = rows.sparkSession
     new = stage(rows.withColumn("date", F.to_date(time)), "new-days")
-    stored = _stored(spark, path)
+    stored = stored_table(spark, path)
     if stored is None:
         merged = new.dropDuplicates([key])
     else:

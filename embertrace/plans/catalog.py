@@ -2,6 +2,7 @@
 
 from embertrace.plans import (  # noqa: F401  (importing registers their queries)
     correlation_queries,
+    delivery_queries,
     detection_queries,
     source_queries,
     table_queries,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from embertrace.operators.bucketed import BucketStore
 from embertrace.plans.binding import TEST_CONFIG, bound_events, bundled_rules
+from embertrace.plans.incremental import advance
 from embertrace.plans.pipeline import Correlated, correlate, find_matches
 from embertrace.sources.rules import rule_attributes
-from embertrace.staging import stage
+from embertrace.staging import stage, staging_root
 
 CONFIG = TEST_CONFIG
 
@@ -60,3 +63,27 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     if key not in _stores:
         _stores[key] = build_store(spark, sf_dir)
     return _stores[key]
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The bound events in three deliveries: the first half of the time, the second half, and a third of both, late."""
+    events = bound_events(spark, sf_dir)
+    late = F.pmod(F.col("event_id").cast("bigint"), F.lit(3)) == 0
+    early = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
+    return [events.filter(~late & early), events.filter(~late & ~early), events.filter(late)]
+
+
+_delivered: dict[tuple[str, str], BucketStore] = {}
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> BucketStore:
+    """The store after all deliveries, of which one came twice; built on first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _delivered:
+        made = BucketStore(spark, f"{staging_root(spark)}/embertrace-deliveries/{uuid.uuid4().hex}", buckets=16)
+        rules = bundled_rules(spark)
+        parts = [find_matches(part, rules, CONFIG) for part in deliveries(spark, sf_dir)]
+        for number, part in [(0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])]:
+            advance(made, part, rules, CONFIG, number)
+        _delivered[key] = made
+    return _delivered[key]

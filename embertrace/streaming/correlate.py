@@ -26,7 +26,7 @@ ALERT_SCHEMA = (
 _BUFFER_SCHEMA = (
     "t long, event_id string, rule_ordinal int, rule_id string, title_key long, risk_points int, alert_id string"
 )
-_ENTITY_SCHEMA = "risk int, head string, updated long, titles string, chain_risk int, escalated boolean"
+_ENTITY_SCHEMA = "risk int, head string, updated long, titles string, chain_risk int, escalated boolean, seen long"
 
 
 @dataclass
@@ -39,6 +39,16 @@ class EntityState:
     titles: tuple[int, ...] = ()
     chain_risk: int = 0
     escalated: bool = False
+    seen: int | None = None
+
+    def meet(self, t: int, config: EngineConfig) -> None:
+        """Decay up to a match, whether it becomes an alert or not."""
+        interval = config.decay_interval_hours * 3_600_000_000
+        if self.seen is not None and interval > 0:
+            first = -(-(self.seen + interval) // interval)
+            for _ in range(min(RISK_MAX, (t - 1) // interval - first + 1)):
+                self.risk = max(0, self.risk - max(1, int(self.risk * config.decay_rate)))
+        self.seen = t
 
     def raise_alert(self, t: int, title: int, points: int, alert_id: str, config: EngineConfig) -> dict:
         """Take in an alert that passed the cooldown and describe it."""
@@ -81,7 +91,7 @@ class Correlator(StatefulProcessor):
         row = initialState.iloc[0]
         self.entity.update((
             int(row["risk"]), row["head"], int(row["updated"]), row["titles"], int(row["chain_risk"]),
-            bool(row["escalated"]),
+            bool(row["escalated"]), int(row["seen"]),
         ))
         for rule, mark in json.loads(row["fired"]).items():
             self.last_fired.updateValue((rule,), (mark,))
@@ -112,11 +122,12 @@ class Correlator(StatefulProcessor):
     def _fold(self, name: str, ready: list[tuple]) -> list[dict]:
         state = EntityState()
         if self.entity.exists():
-            risk, head, updated, titles, chain_risk, escalated = self.entity.get()
-            state = EntityState(risk, head, updated, tuple(json.loads(titles)), chain_risk, escalated)
+            risk, head, updated, titles, chain_risk, escalated, seen = self.entity.get()
+            state = EntityState(risk, head, updated, tuple(json.loads(titles)), chain_risk, escalated, seen)
         fired = {rule[0]: mark[0] for rule, mark in self.last_fired.iterator()}
         alerts = []
         for t, event_id, ordinal, rule, title, points, alert_id in ready:
+            state.meet(t, self.config)
             if rule in fired and t - fired[rule] < self.config.cooldown_us:
                 continue
             fired[rule] = t
@@ -131,7 +142,7 @@ class Correlator(StatefulProcessor):
             elif self.last_fired.containsKey((rule,)):
                 self.last_fired.removeKey((rule,))
         self.entity.update((state.risk, state.head, state.updated, json.dumps(state.titles), state.chain_risk,
-                            state.escalated))
+                            state.escalated, state.seen))
         return alerts
 
 
@@ -150,9 +161,13 @@ def correlate_stream(
     )
 
 
-def resume_rows(alerts: DataFrame) -> DataFrame:
+def resume_rows(alerts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Initial stream state from stored alerts: risk, the newest chain and each
-    rule's last alert of each entity."""
+    rule's last alert of each entity.
+
+    ``seen`` (entity_name, seen) tells the time of an entity's last match in microseconds, from which scores decay; by
+    default that of its last alert.
+    """
     order = F.struct("t", "event_id", "rule_ordinal")
     marks = alerts.groupBy("entity_name", "rule_id").agg(F.max("t").alias("_mark"))
     # At most one mark per rule.
@@ -174,4 +189,6 @@ def resume_rows(alerts: DataFrame) -> DataFrame:
         F.to_json(F.collect_set(F.when(new, F.col("title_key")))).alias("titles"),
         F.max("chain_risk_after").alias("chain_risk"),
         F.max("is_escalated").alias("escalated"),
-    ).join(fired, "entity_name")
+    ).join(fired, "entity_name").join(
+        seen if seen is not None else alerts.groupBy("entity_name").agg(F.max("t").alias("seen")), "entity_name"
+    )

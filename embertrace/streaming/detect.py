@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from embertrace.config import EngineConfig
-from embertrace.operators.store import messages
+from embertrace.operators.store import messages, stored_table
 from embertrace.plans.pipeline import find_matches
 from embertrace.schemas import EVENT_SCHEMA
 from embertrace.sources.normalise import validate_events
@@ -50,14 +50,16 @@ def detect_stream(
 
     A plan with state cannot change its predicates while it runs, so detection
     is a query of its own and correlation reads the table it writes. A batch
-    that runs again replaces its own partition.
+    that was written before is skipped: its files may have been read already.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if stored_table(batch.sparkSession, f"{path}/batch_id={batch_id}") is not None:
+            return
         found = find_matches(batch, load(), config)
         if config.cooldown_us > 0:
             found = first_of_instant(found)
-        found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        found.write.parquet(f"{path}/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -75,10 +77,11 @@ def write_messages(alerts: DataFrame, path: str, checkpoint: str, kind: str = "a
 
 
 def append_alert_batches(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write streamed alerts to a table; a batch that runs again replaces itself."""
+    """Write streamed alerts to a table; a batch that was written before is skipped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if stored_table(batch.sparkSession, f"{path}/batch_id={batch_id}") is None:
+            batch.write.parquet(f"{path}/batch_id={batch_id}")
 
     return (
         alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
