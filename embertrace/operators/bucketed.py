@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _LEDGER = "table string, bucket int, n_rows long, appended boolean, commit long"
 
@@ -41,23 +41,29 @@ class BucketStore:
     def committed(self, batch: int) -> bool:
         return not self.ledger().filter(F.col("commit") == batch).isEmpty()
 
-    def files(self, table: str, buckets: list[int] | None = None) -> list[str]:
-        """Folders that hold a table's rows: at most one per bucket of a replaced table."""
-        known = self.ledger().filter(F.col("table") == table)
+    def snapshot(self, buckets: list[int] | None = None) -> dict[str, list[str]]:
+        """The folders that hold the rows of each table: at most one per bucket of a replaced table."""
+        known = self.ledger()
         if buckets is not None:
             known = known.filter(F.col("bucket").isin(buckets))
-        newest = known.groupBy("bucket").agg(F.max("commit").alias("newest"))
-        live = known.join(newest, "bucket").filter("n_rows > 0 and (appended or commit = newest)")
-        return [f"{self.path}/{table}/commit={r['commit']}/bucket={r['bucket']}" for r in live.select("commit", "bucket").collect()]
-
-    def read_with_commits(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
-        """A table or some of its buckets, with the columns ``bucket`` and ``commit``; None if there is nothing yet."""
-        paths = self.files(table, buckets)
+        newest = F.max("commit").over(Window.partitionBy("table", "bucket"))
+        live = known.withColumn("newest", newest).filter("n_rows > 0 and (appended or commit = newest)")
+        folders: dict[str, list[str]] = {}
+        for row in live.select("table", "commit", "bucket").collect():
+            folders.setdefault(row["table"], []).append(f"{self.path}/{row['table']}/commit={row['commit']}/bucket={row['bucket']}")
+        return folders
+
+    def files(self, table: str) -> list[str]:
+        return self.snapshot().get(table, [])
+
+    def read_with_commits(self, table: str, snapshot: dict[str, list[str]] | None = None) -> DataFrame | None:
+        """A table (as of a snapshot) with the columns ``bucket`` and ``commit``; None if there is nothing yet."""
+        paths = (self.snapshot() if snapshot is None else snapshot).get(table)
         return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*paths) if paths else None
 
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+    def read(self, table: str, snapshot: dict[str, list[str]] | None = None) -> DataFrame | None:
         """As :meth:`read_with_commits`, without ``commit``."""
-        rows = self.read_with_commits(table, buckets)
+        rows = self.read_with_commits(table, snapshot)
         return rows.drop("commit") if rows is not None else None
 
     def commit(self, batch: int, touched: list[int], replaced: dict[str, DataFrame], appended: dict[str, DataFrame]) -> bool:
@@ -73,7 +79,7 @@ class BucketStore:
                 target = f"{self.path}/{table}/commit={batch}"
                 dealt = self.with_bucket(rows).hint("rebalance", "bucket")
                 dealt.write.mode("overwrite").partitionBy("bucket").parquet(target)
-                asked = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
+                asked = self.spark.range(self.buckets).filter(F.col("id").isin(touched)).select(F.col("id").cast("int").alias("bucket"))
                 written = self.spark.read.schema(dealt.schema).parquet(target)
                 counts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
                 entry = asked.join(counts, "bucket", "left").select(

@@ -85,7 +85,8 @@ def advance(store: BucketStore, new_matches: DataFrame, rules: list[Rule], confi
     touched = stage(touched, "touched")
     # At most one number per bucket.
     buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
-    stored = {name: store.read(name, buckets=buckets) for name in ("matches", "alerts", "chains", "entities")}
+    snapshot = store.snapshot(buckets)
+    stored = {name: store.read(name, snapshot) for name in ("matches", "alerts", "chains", "entities")}
     names = new.columns
     everything = new if stored["matches"] is None else stored["matches"].select(*names).unionByName(new)
     mine = everything.join(touched.select("entity_name"), "entity_name", "left_semi").select(*names).drop("bucket")
