@@ -6,12 +6,15 @@ A document is the set of its word n-grams (64-bit hashes). Documents with equal
    smallest of them, and those within the threshold join its group, transitively. Members of a group are connected already.
 2. *Matrix.* Each document has a prefix: its rarest tokens, as many as leave too few others for a match
    (n - ceil(t n) + 1), so two documents within the threshold share a prefix token. The matrix holds, per token, the
-   groups whose members have it in their prefix: a group's union of tokens, without repetition. A token held by one
-   group only opens nothing; near all tokens are of that kind and go after one partial aggregation.
-3. *Opening.* For tokens in several groups, members of different groups are compared if sizes and the token's positions
-   leave room for the overlap the threshold asks for. A member is never compared within its own group: it is connected.
-   Groups open in rounds, a few members first; groups that prove linked become one, and need no more comparisons.
-4. *Verification* recomputes both sets from the texts and compares them in full. Links and groups give the components.
+   groups whose members have it in their prefix, without repetition, and per group the union of all its members' tokens, as a
+   bitmap. A token held by one group only opens nothing; near all tokens are of that kind and go after one partial
+   aggregation.
+3. *Opening.* Of two groups with a token in common, the smaller one's members ask the larger. What of a member's tokens lies
+   outside the group's union bounds their overlap; only groups that can reach the threshold open, and only members
+   whose own bitmaps, sizes and token positions leave room are compared. Groups open in rounds, a few members first;
+   groups that prove linked become one, and need no more comparisons.
+4. *Verification* compares both token sets in full. A set goes to its partners once, in front of them; no text travels, and no
+   row holds a pair of sets. Links and groups give the components.
 
 The order of tokens (frequent last) is fitted on a bounded sample: ``sample_docs`` documents, ``sample_tokens`` tokens. Any order gives
 the same result; the sample decides only how many comparisons step 3 makes. Nothing is capped.
@@ -23,11 +26,15 @@ has no other; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embertrace.llm.common import gram_hashes, map_batches, mixed, restored, sheltered, text_bytes, word_hashes
 from embertrace.llm.components import components
+from embertrace.llm.skew import join_frequent
 from embertrace.staging import stage
 
 MIN_HASHES = 4
@@ -38,6 +45,11 @@ BROADCAST_ROWS = 200_000
 FILTER_SLOTS = 1 << 22
 #: Members of a group that the first round opens per token.
 OPENED_MEMBERS = 4
+#: Words of the bitmap of a document's tokens; of a group's, the union. Only bounds depend on it.
+BITMAP_WORDS = 8
+#: Pairs of one document that a task compares.
+PAIRS_A_TASK = 1000
+_BITS = [f"bits_{i}" for i in range(BITMAP_WORDS)]
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -48,6 +60,13 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(n, len(words))))
 
 
+def token_bits(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of BITMAP_WORDS 64-bit words with the bit of every token set."""
+    table = np.zeros(64 * BITMAP_WORDS, bool)
+    table[((tokens >> np.uint64(20)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
+    return np.packbits(table).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, exactly."""
     low, high = sorted((len(a), len(b)))
@@ -79,23 +98,28 @@ def _frequent_tokens(docs: DataFrame, n: int, sample_docs: int, sample_tokens: i
 
 
 def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, text_key, n, class (hash of the set), min hashes, and the prefix in order."""
+    """One row per document: doc_id, text_key, n, class (128-bit hash of the set), min hashes, the prefix in order, the
+    sorted tokens and their bitmap."""
     known, seen = frequent
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         seeds = [np.uint64(0x1000193 * (k + 1)) for k in range(MIN_HASHES)]
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "prefix": []}
+            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "prefix": [], "tokens": [], "bits": []}
             for text in batch.column(2).to_pylist():
                 tokens = shingle_set(text, n)
                 size = len(tokens)
                 rows["n"].append(size)
+                rows["tokens"].append(tokens.tobytes())
+                rows["bits"].append(token_bits(tokens))
                 if not size:
                     rows["class"].append(None)
                     rows["keys"].append([])
                     rows["prefix"].append([])
                     continue
-                rows["class"].append(int(word_hashes([tokens.tobytes()]).view(np.int64)[0]))
+                rows["class"].append(xxh3_128_digest(tokens.tobytes()))
                 rows["keys"].append([int(mixed(tokens ^ s).min().view(np.int64)) for s in seeds])
                 rank = np.zeros(size, np.int64)
                 if len(known):
@@ -107,7 +131,8 @@ def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
             yield {"doc_id": batch.column(0), "text_key": batch.column(1), **rows}
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    return stage(map_batches(source, "doc_id:long, text_key:long, n:long, class:long, keys:longs, prefix:longs", run), "shingled")
+    spec = "doc_id:long, text_key:long, n:long, class:binary, keys:longs, prefix:longs, tokens:binary, bits:longs"
+    return stage(map_batches(source, spec, run), "shingled")
 
 
 def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
@@ -130,36 +155,46 @@ def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
             kept = np.flatnonzero(open_[(token.view(np.uint64) >> np.uint64(7)).astype(np.int64) % FILTER_SLOTS])
             row = np.repeat(np.arange(len(lengths)), lengths)[kept]
             place = kept - (np.cumsum(lengths) - lengths)[row]
-            yield {"token": token[kept], "class": batch.column(0).to_numpy()[row], "n": batch.column(1).to_numpy()[row], "place": place}
+            yield {"token": token[kept], "class": batch.column(0).take(pa.array(row)), "n": batch.column(1).to_numpy()[row], "place": place}
 
     rows = shingled.filter("n > 0").select("class", "n", "prefix")
-    return map_batches(rows, "token:long, class:long, n:long, place:long", run).join(shared, "token")
+    return map_batches(rows, "token:long, class:binary, n:long, place:long", run).join(shared, "token")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets, recomputed from the texts, are within the threshold."""
-    involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes, "class")
-    involved = _small(stage(involved.select("class", F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    texts = source.join(involved, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("class", "text")
-    texts = stage(texts.dropDuplicates(["class"]), "texts")
-    met = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    met = met.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+def verified(pairs: DataFrame, classes: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
+    """The stored pairs (a, b) of classes whose token sets are within the threshold.
+
+    The set of b stands once before those of its partners, in as many salted places as it has thousands of them; the task
+    holds this one set. No row holds two sets, and none is repeated for each pair.
+    """
+    involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes.select("class", "first_doc", "first_key"), "class")
+    involved = _small(stage(involved.select(F.col("class").alias("c"), F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved"))
+    rows = shingled.filter("n > 0").select("class", "doc_id", "text_key", "tokens")
+    met = (F.col("class") == F.col("c")) & (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    sets = stage(rows.join(involved, met).select("class", "tokens").dropDuplicates(["class"]), "sets")
+    heads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    heads = stage(heads.withColumn("salts", F.ceil(F.col("rows") / PAIRS_A_TASK).cast("int")), "heads")
+    salted = join_frequent(pairs, heads, ["b"], F.col("rows"), pairs.count())
+    salted = salted.select("b", F.pmod(F.xxhash64("a"), F.col("salts").cast("long")).cast("int").alias("salt"), "a")
+    partners = salted.join(sets.withColumnRenamed("class", "a"), "a").select("b", "salt", "a", "tokens")
+    first = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"))
+    first = first.join(sets.withColumnRenamed("class", "b"), "b").select("b", "salt", "a", "tokens")
+    together = first.unionByName(partners).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches):
-        last: tuple = (None, None)
+        held = np.empty(0, np.uint64)
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (0, 1))
-            left, right = batch.column(2), batch.column(3)
-            linked = []
-            for i in range(len(a)):
-                if last[0] != b[i]:
-                    last = b[i], shingle_set(right[i].as_py(), n)
-                linked.append(similar(shingle_set(left[i].as_py(), n), last[1], percent))
-            kept = [i for i, yes in enumerate(linked) if yes]
-            yield {"a": [a[i] for i in kept], "b": [b[i] for i in kept]}
+            found_a, found_b = [], []
+            for b, a, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = np.frombuffer(tokens, np.uint64)
+                if a is None:
+                    held = own
+                elif similar(own, held, percent):
+                    found_a.append(a)
+                    found_b.append(b)
+            yield {"a": found_a, "b": found_b}
 
-    return map_batches(met.select("a", "b", "text_a", "text_b"), "a:long, b:long", run)
+    return map_batches(together.select("b", "a", "tokens"), "a:binary, b:binary", run)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -178,30 +213,61 @@ def _with_group(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     return joined.withColumn("gid", F.coalesce("component", column)).drop("component")
 
 
-def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
+def _overlap(n: str, inner: str, outer: str) -> Column:
+    """At most so many tokens of a set of ``n`` with bitmap ``inner`` are in one with bitmap ``outer``: each bit that only
+    ``inner`` has is a token that the other lacks."""
+    missing = [F.bit_count(F.col(f"{inner}{b}").bitwiseAND(F.bitwise_not(F.col(f"{outer}{b}")))) for b in _BITS]
+    return F.col(n) - reduce(lambda x, y: x + y, missing)
+
+
+def _named_bits(prefix: str) -> list[Column]:
+    return [F.col(b).alias(prefix + b) for b in _BITS]
+
+
+def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, shingled: DataFrame,
                  percent: int) -> DataFrame:
-    """Groups after comparing members of different groups that share a token, in rounds.
+    """Groups after comparing members of different groups, in rounds.
 
-    A round compares at most ``members`` members of a group per token; groups that turn out linked are one group in the
-    next round, which spares all other pairs between them. The bound grows eightfold per round and the last round has none in
+    Of two groups that share a token of the matrix, the smaller one's members ask the larger one: the group opens for
+    a member if the union of the group's tokens can hold enough of the member's. Of an open group, at most ``members`` members per
+    token are compared, and only those whose own tokens can hold enough. Groups that turn out linked are one group in the next
+    round, which spares all other pairs between them. The bound grows eightfold per round and the last round has none in
     effect: rounds end when no token has two groups left, or when no group had more members than the last bound.
     """
-    members, done = OPENED_MEMBERS, None
+    members, done, total = OPENED_MEMBERS, None, classes.count()
     while True:
+        grouped = stage(_with_group(classes.select("class", "n", *_BITS), groups, "class"), "grouped")
+        unions = stage(grouped.groupBy("gid").agg(
+            F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"), F.min("n").alias("least"),
+            *[F.bit_or(b).alias(f"u_{b}") for b in _BITS]), "unions")
         named = _with_group(opened, groups, "class")
         held = named.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low <> high").select("token")
-        named = named.join(held, "token")
         order = Window.partitionBy("token", "gid").orderBy("place", "class")
-        ranked = stage(named.withColumn("member", F.row_number().over(order)).filter(F.col("member") <= members + 1), "ranked")
+        ranked = stage(named.join(held, "token").withColumn("member", F.row_number().over(order)).filter(
+            F.col("member") <= members + 1), "ranked")
         asked = ranked.filter(F.col("member") <= members)
-        left = asked.select("token", F.col("gid").alias("gid_a"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-        right = asked.select("token", F.col("gid").alias("gid_b"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
-        room = (100 + percent) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-        met = left.join(right, "token").filter((F.col("gid_a") < F.col("gid_b")) & _size_fits("n_a", "n_b", percent) & room)
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Bounds of queries against groups: one row per token, asking member and group.
+        entries = join_frequent(asked.select("token", "gid").distinct(), unions, ["gid"], F.col("members"), total)
+        queries = join_frequent(asked, unions.select("gid", "members"), ["gid"], F.col("members"), total)
+        queries = queries.join(classes.select("class", *_named_bits("q_")), "class")
+        queries = queries.select("token", F.col("gid").alias("gid_q"), F.col("members").alias("members_q"), F.col("class").alias("q"),
+                                 F.col("n").alias("n_q"), F.col("place").alias("p_q"), *[f"q_{b}" for b in _BITS])
+        smaller = (F.col("members_q") < F.col("members")) | ((F.col("members_q") == F.col("members")) & (F.col("gid_q") < F.col("gid")))
+        fits = (100 * F.col("n_q") >= percent * F.col("least")) & (100 * F.col("largest") >= percent * F.col("n_q"))
+        enough = 100 * _overlap("n_q", "q_", "u_") >= percent * F.col("n_q")
+        open_ = queries.join(entries, "token").filter(smaller & fits & enough)
+        open_ = open_.select("token", "gid", "gid_q", "q", "n_q", "p_q", *[f"q_{b}" for b in _BITS])
+        # The open groups' members that share the token.
+        inside = asked.join(classes.select("class", *_named_bits("m_")), "class").select(
+            "token", "gid", F.col("class").alias("m"), F.col("n").alias("n_m"), F.col("place").alias("p_m"), *[f"m_{b}" for b in _BITS])
+        needed = percent * (F.col("n_q") + F.col("n_m"))
+        room = (100 + percent) * F.least(F.col("n_q") - F.col("p_q"), F.col("n_m") - F.col("p_m")) >= needed
+        able = ((100 + percent) * _overlap("n_q", "q_", "m_") >= needed) & ((100 + percent) * _overlap("n_m", "m_", "q_") >= needed)
+        met = open_.join(inside, ["token", "gid"]).filter(_size_fits("n_q", "n_m", percent) & room & able)
+        pairs = met.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
         pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
+            links = links.unionByName(stage(verified(pairs, classes, shingled, percent), "links"))
             groups = components(links)
         if ranked.filter(F.col("member") > members).isEmpty():
             return groups
@@ -215,16 +281,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     docs = sheltered(docs).select("doc_id", "text")
     shingled = _shingled(docs, n, percent, _frequent_tokens(docs, n, sample_docs, sample_tokens))
     first = F.min(F.struct("doc_id", "text_key"))
-    classes = shingled.filter("n > 0").groupBy("class").agg(first.alias("first"), F.max("n").alias("n"), F.max("keys").alias("keys"))
-    classes = stage(classes.select("class", "n", "keys", F.col("first.doc_id").alias("first_doc"),
-                                   F.col("first.text_key").alias("first_key")), "classes")
+    classes = shingled.filter("n > 0").groupBy("class").agg(
+        first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = stage(classes.select("class", "n", "keys", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"),
+                                   *[F.get("bits", i).alias(b) for i, b in enumerate(_BITS)]), "classes")
     # Groups: each class against the smallest class with one of its minimum hashes.
     keyed = classes.select("class", "n", F.posexplode("keys").alias("which", "key"))
     leaders = keyed.groupBy("which", "key").agg(F.min(F.struct("class", "n")).alias("lead"), F.count(F.lit(1)).alias("rows"))
     leaders = leaders.filter("rows > 1").select("which", "key", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"))
     near = keyed.join(leaders, ["which", "key"]).filter((F.col("class") != F.col("b")) & _size_fits("n", "n_b", percent))
     near = stage(near.select(F.col("class").alias("a"), "b").distinct(), "near")
-    links = stage(verified(near, classes, docs, n, percent), "links")
+    links = stage(verified(near, classes, shingled, percent), "links")
     groups = components(links)
     # Matrix: tokens of several groups.
     tokens = _with_group(shingled.filter("n > 0").select("class", "n", "prefix"), groups, "class")
@@ -233,7 +300,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     shared = stage(held.filter("low <> high").select("token"), "shared")
     # Equal documents repeat their class's rows.
     opened = stage(_opened_rows(shingled, shared).dropDuplicates(["token", "class"]), "opened")
-    groups = _open_groups(opened, groups, links, classes, docs, n, percent)
+    groups = _open_groups(opened, groups, links, classes, shingled, percent)
     # Smallest id of each component, over all rows of all its classes.
     named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")
     smallest = stage(named.groupBy("gid").agg(F.min("doc_id").alias("smallest")), "smallest")
