@@ -98,8 +98,8 @@ def _frequent_tokens(docs: DataFrame, n: int, sample_docs: int, sample_tokens: i
 
 
 def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, text_key, n, class (128-bit hash of the set), min hashes, the prefix in order, the
-    sorted tokens and their bitmap."""
+    """One row per document: doc_id, text_key, n, class (128-bit hash of the set), min hashes, the prefix in order and
+    the bitmap of all tokens."""
     known, seen = frequent
 
     def run(batches):
@@ -107,12 +107,11 @@ def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
 
         seeds = [np.uint64(0x1000193 * (k + 1)) for k in range(MIN_HASHES)]
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "prefix": [], "tokens": [], "bits": []}
+            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "prefix": [], "bits": []}
             for text in batch.column(2).to_pylist():
                 tokens = shingle_set(text, n)
                 size = len(tokens)
                 rows["n"].append(size)
-                rows["tokens"].append(tokens.tobytes())
                 rows["bits"].append(token_bits(tokens))
                 if not size:
                     rows["class"].append(None)
@@ -131,7 +130,7 @@ def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
             yield {"doc_id": batch.column(0), "text_key": batch.column(1), **rows}
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    spec = "doc_id:long, text_key:long, n:long, class:binary, keys:longs, prefix:longs, tokens:binary, bits:longs"
+    spec = "doc_id:long, text_key:long, n:long, class:binary, keys:longs, prefix:longs, bits:longs"
     return stage(map_batches(source, spec, run), "shingled")
 
 
@@ -161,7 +160,7 @@ def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
     return map_batches(rows, "token:long, class:binary, n:long, place:long", run).join(shared, "token")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The stored pairs (a, b) of classes whose token sets are within the threshold.
 
     The set of b stands once before those of its partners, in as many salted places as it has thousands of them; the task
@@ -169,9 +168,15 @@ def verified(pairs: DataFrame, classes: DataFrame, shingled: DataFrame, percent:
     """
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes.select("class", "first_doc", "first_key"), "class")
     involved = _small(stage(involved.select(F.col("class").alias("c"), F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved"))
-    rows = shingled.filter("n > 0").select("class", "doc_id", "text_key", "tokens")
-    met = (F.col("class") == F.col("c")) & (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    sets = stage(rows.join(involved, met).select("class", "tokens").dropDuplicates(["class"]), "sets")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
+    met = source.join(involved, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+
+    def shingles(batches):
+        for batch in batches:
+            yield {"class": batch.column(0), "tokens": [shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)]}
+
+    sets = map_batches(met.select(F.col("c").alias("class"), "text"), "class:binary, tokens:binary", shingles)
+    sets = stage(sets.dropDuplicates(["class"]), "sets")
     heads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
     heads = stage(heads.withColumn("salts", F.ceil(F.col("rows") / PAIRS_A_TASK).cast("int")), "heads")
     salted = join_frequent(pairs, heads, ["b"], F.col("rows"), pairs.count())
@@ -224,7 +229,7 @@ def _named_bits(prefix: str) -> list[Column]:
     return [F.col(b).alias(prefix + b) for b in _BITS]
 
 
-def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, shingled: DataFrame,
+def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
                  percent: int) -> DataFrame:
     """Groups after comparing members of different groups, in rounds.
 
@@ -241,7 +246,8 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
             F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"), F.min("n").alias("least"),
             *[F.bit_or(b).alias(f"u_{b}") for b in _BITS]), "unions")
         named = _with_group(opened, groups, "class")
-        held = named.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low <> high").select("token")
+        group = F.xxhash64("gid")
+        held = named.groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high")).filter("low <> high").select("token")
         order = Window.partitionBy("token", "gid").orderBy("place", "class")
         ranked = stage(named.join(held, "token").withColumn("member", F.row_number().over(order)).filter(
             F.col("member") <= members + 1), "ranked")
@@ -267,7 +273,7 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         pairs = met.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
         pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(stage(verified(pairs, classes, shingled, percent), "links"))
+            links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
             groups = components(links)
         if ranked.filter(F.col("member") > members).isEmpty():
             return groups
@@ -291,16 +297,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     leaders = leaders.filter("rows > 1").select("which", "key", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"))
     near = keyed.join(leaders, ["which", "key"]).filter((F.col("class") != F.col("b")) & _size_fits("n", "n_b", percent))
     near = stage(near.select(F.col("class").alias("a"), "b").distinct(), "near")
-    links = stage(verified(near, classes, shingled, percent), "links")
+    links = stage(verified(near, classes, docs, n, percent), "links")
     groups = components(links)
     # Matrix: tokens of several groups.
     tokens = _with_group(shingled.filter("n > 0").select("class", "n", "prefix"), groups, "class")
-    tokens = tokens.select("gid", "class", "n", F.posexplode("prefix").alias("place", "token"))
-    held = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
+    tokens = tokens.select(F.xxhash64("gid").alias("group"), F.explode("prefix").alias("token"))
+    held = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     shared = stage(held.filter("low <> high").select("token"), "shared")
     # Equal documents repeat their class's rows.
     opened = stage(_opened_rows(shingled, shared).dropDuplicates(["token", "class"]), "opened")
-    groups = _open_groups(opened, groups, links, classes, shingled, percent)
+    groups = _open_groups(opened, groups, links, classes, docs, n, percent)
     # Smallest id of each component, over all rows of all its classes.
     named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")
     smallest = stage(named.groupBy("gid").agg(F.min("doc_id").alias("smallest")), "smallest")
