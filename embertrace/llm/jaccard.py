@@ -11,7 +11,8 @@ A document is the set of its word n-grams (64-bit hashes). Documents with equal
    aggregation.
 3. *Opening.* Of two groups with a token in common, the smaller one's members ask the larger. What of a member's tokens lies
    outside the group's union bounds their overlap; only groups that can reach the threshold open, and only members
-   whose own bitmaps, sizes and token positions leave room are compared. Groups open in rounds, a few members first;
+   whose own bitmaps, sizes and token positions leave room are compared; two single documents also need as many common
+   prefix tokens as the threshold leaves to the prefix. Groups open in rounds, a few members first;
    groups that prove linked become one, and need no more comparisons.
 4. *Verification* compares both token sets in full. A set goes to its partners once, in front of them; no text travels, and no
    row holds a pair of sets. Links and groups give the components.
@@ -262,7 +263,7 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         fits = (100 * F.col("n_q") >= percent * F.col("least")) & (100 * F.col("largest") >= percent * F.col("n_q"))
         enough = 100 * _overlap("n_q", "q_", "u_") >= percent * F.col("n_q")
         open_ = queries.join(entries, "token").filter(smaller & fits & enough)
-        open_ = open_.select("token", "gid", "gid_q", "q", "n_q", "p_q", *[f"q_{b}" for b in _BITS])
+        open_ = open_.select("token", "gid", (F.col("members") == 1).alias("alone"), "q", "n_q", "p_q", *[f"q_{b}" for b in _BITS])
         # The open groups' members that share the token.
         inside = asked.join(classes.select("class", *_named_bits("m_")), "class").select(
             "token", "gid", F.col("class").alias("m"), F.col("n").alias("n_m"), F.col("place").alias("p_m"), *[f"m_{b}" for b in _BITS])
@@ -270,7 +271,12 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         room = (100 + percent) * F.least(F.col("n_q") - F.col("p_q"), F.col("n_m") - F.col("p_m")) >= needed
         able = ((100 + percent) * _overlap("n_q", "q_", "m_") >= needed) & ((100 + percent) * _overlap("n_m", "m_", "q_") >= needed)
         met = open_.join(inside, ["token", "gid"]).filter(_size_fits("n_q", "n_m", percent) & room & able)
-        pairs = met.select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
+        # Between groups of one member all common prefix tokens are here. Beyond them, at most the rest of one set is common.
+        rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+        least = F.ceil(needed / (100 + percent)) - F.greatest(rest("n_q"), rest("n_m"))
+        pairs = met.groupBy(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).agg(
+            F.count(F.lit(1)).alias("common"), F.max(F.when(F.col("alone"), least).otherwise(1)).alias("least"))
+        pairs = pairs.filter("common >= least").select("a", "b")
         pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
