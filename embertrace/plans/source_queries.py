@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embertrace.config import EngineConfig
+from embertrace.operators.detect import compile_rules, diagnostics_table
 from embertrace.operators.lookup import get_rules
 from embertrace.operators.store import upsert
 from embertrace.plans.binding import bound_events, read_table
@@ -16,7 +17,7 @@ from embertrace.plans.oracle import on_events
 from embertrace.plans.registry import query
 from embertrace.sources.json_logs import explode_documents
 from embertrace.sources.normalise import normalise, validate_events
-from embertrace.sources.rules import describe_rules, enabled_rules, parse_rules, rules_table
+from embertrace.sources.rules import collect_rules, describe_rules, enabled_rules, parse_rules, rules_table
 
 CONFIG = EngineConfig()
 
@@ -361,3 +362,20 @@ def rules_upsert(spark, sf_dir):
     number = F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint")
     changed = stored.filter(number % 3 == 0).withColumns({"level": F.lit("critical"), "version": F.lit(2)})
     return upsert(stored, changed, ["rule_id"], "version").drop("file_path")
+
+
+@query("""SELECT sha256('suppliers/rule_' || s_suppkey || '.yml|Supplier rule ' || s_suppkey) AS rule_id,
+    'Supplier rule ' || s_suppkey AS title, CASE s_suppkey % 4 WHEN 1 THEN 'unknown selection ''other'''
+        WHEN 2 THEN 'no selection is called filter*' ELSE 'condition cannot be read: ''selection and and''' END AS problem
+    FROM supplier WHERE s_suppkey % 4 <> 0""")
+def rules_diagnostics(spark, sf_dir):
+    """Why rules cannot be evaluated as written: one rule per supplier, three of four with a faulty condition."""
+    n = F.col("s_suppkey")
+    condition = F.get(F.array(*[F.lit(c) for c in ("selection", "selection and other", "1 of filter*", "selection and and")]),
+                      (n % 4).cast("int"))
+    files = read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("suppliers/rule_"), n.cast("string"), F.lit(".yml")).alias("file_path"),
+        F.concat(F.lit("title: Supplier rule "), n.cast("string"), F.lit("\nlevel: low\ndetection:\n  selection: {severity: "),
+                 F.col("s_nationkey").cast("string"), F.lit("}\n  condition: "), condition, F.lit("\n")).alias("content"))
+    rules = collect_rules(describe_rules(parse_rules(files), CONFIG))
+    return diagnostics_table(spark, compile_rules(spark, rules, CONFIG))
