@@ -2,20 +2,23 @@
 
 1. *Sparse suffixes.* Suffixes are kept at minimiser positions only: among ``w`` neighbouring word positions the one whose
    next ``k`` words have the smallest hash, with k + w - 1 = ``length``. The choice depends on content alone, so every
-   passage of ``length`` words keeps a suffix, at the same place wherever it occurs.
-2. *Neighbours.* Suffixes are brought into order of their first k words (as a 64-bit hash). Those with an equal neighbour
-   are repeated. Counting equal keys is that comparison without lining up all copies in one task.
-3. *Extension.* Every repeated suffix is extended left and right over all windows of ``length`` words that keep it;
-   windows are compared as whole, again by order of hash. A window met twice is a repeat; overlapping ones join to
-   spans, which so reach as far left and right as the match does.
-
-The second scan of the texts knows the repeated suffixes by a table of fixed size; a suffix let through by chance only
-costs comparisons in step 3, which is exact (up to equal 64-bit hashes). The first occurrence of a window, by document id, text hash and position,
-stands; later ones are copies. Words are runs of non-white ASCII-wise, compared as written; white space does not matter.
+   passage of ``length`` words keeps a suffix, at the same place wherever it occurs. A first scan counts them by their
+   first k words (a 64-bit hash); a second one writes those that occur twice, one row each, with their surroundings: the hashes
+   of the windows of ``length`` words that keep the suffix, written once per batch where several suffixes agree in all of them.
+2. *Neighbours.* The suffixes are sorted over all tasks, by first words, then surroundings, then place. Neighbours
+   that agree in both form a run; runs that a border of tasks divides are put together by their ends' equal keys. So all
+   copies of a passage shrink to a run, in however many tasks they lie.
+3. *Extension.* A run of its own among suffixes of the same first words extends left and right as far as its windows reach. Where
+   several runs share their first words, their windows are compared, so each run knows how far left and right it agrees with any other.
+   Windows met twice are repeats; overlapping ones join to spans.
+
+The second scan knows the repeated suffixes by a bitmap sized by their number, up to ``MOST_SLOTS`` bits; a suffix let through by
+chance costs one row in step 2, which is exact (up to equal 64-bit hashes). The first occurrence of a window, by document id, text hash
+and position, stands; later ones are copies. Words are runs of non-white ASCII-wise, compared as written; white space does not matter.
 
 Defined results: null, empty and short texts have no repeats; a passage that repeats within one document counts as well;
 repeated rows repeat each other, and rows equal in id and text share their spans; an empty table gives an
-empty result; extra columns are not read by :func:`repeated_spans` and kept by :func:`without_repeats`.
+empty result; equal places are settled by the order above; a very long text is one row in one task; extra columns are not read by :func:`repeated_spans` and kept by :func:`without_repeats`.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embertrace.llm.common import gram_hashes, map_batches, restored, sheltered, text_bytes, word_hashes
+from embertrace.llm.common import gram_hashes, map_batches, mixed, partitions, restored, sheltered, text_bytes, word_hashes
 from embertrace.staging import stage
 
 LENGTH = 50
 K = 26
-FILTER_SLOTS = 1 << 22
+#: Bits of the bitmap of repeated suffixes: at least, at most, and per suffix.
+LEAST_SLOTS, MOST_SLOTS, SLOTS_A_KEY = 1 << 15, 1 << 28, 16
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").finditer
 
 
@@ -53,8 +58,25 @@ def minimisers(keys: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen[new], np.cumsum(new) - 1
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(7)).astype(np.int64) % FILTER_SLOTS
+class _Bitmap:
+    """Which keys may be repeated: one bit per slot of the hash. Spark puts the bitmap together in pieces of 32,768 bits."""
+
+    def __init__(self, repeated: DataFrame) -> None:
+        wanted = SLOTS_A_KEY * repeated.count()
+        self.slots = LEAST_SLOTS
+        while self.slots < min(wanted, MOST_SLOTS):
+            self.slots *= 2
+        slot = F.pmod(F.shiftrightunsigned("key", 7), F.lit(self.slots)) + 1
+        pieces = repeated.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+        table = np.zeros(self.slots // 8, np.uint8)
+        for piece in pieces.toLocalIterator():
+            at = (piece["piece"] - 1) * (LEAST_SLOTS // 8)
+            table[at: at + LEAST_SLOTS // 8] = np.frombuffer(piece["bits"], np.uint8)
+        self.table = repeated.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(7)) % np.uint64(self.slots)
+        return (self.table.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -65,9 +87,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """Documents with repeated passages: doc_id, text_key, n_words, starts, ends (word spans of all repeats),
     copy_starts, copy_ends (spans of copies of an earlier occurrence) and repeated_words, copied_words."""
     w = length - k + 1
+    if not 1 <= w <= 63:
+        raise ValueError("length - k must be 0 to 62: the windows that keep a suffix are bits of a number")
     source = _documents(sheltered(docs))
+    suffixes = stage(_repeated_suffixes(source, length, k), "suffixes")
+    found = _extended(_runs(suffixes))
+    place = F.struct("doc_id", "text_key", "place")
+    # Written before the join, so that Spark may split the rows of a run that very many documents hold.
+    members = suffixes.drop("windows", "many").join(stage(found, "extended-runs"), ["key", "around"])
+    # Null ids order before others, here as in the minimum.
+    copies = F.when(place.eqNullSafe(F.col("first")), F.col("repeated").bitwiseAND(F.bitwise_not("own"))).otherwise(F.col("repeated"))
+    marked = members.select("doc_id", "text_key", "n_words", F.struct((F.col("place") - F.col("lead")).alias("at"), "repeated", copies.alias("copies")).alias("mark"))
+    # The suffixes of one document: fewer than its words, equal rows once.
+    marked = marked.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("mark").alias("marks"))
 
-    def suffixes(batches):
+    def spans(batches):
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("starts", "ends", "copy_starts", "copy_ends", "repeated_words", "copied_words")}
+            lists = batch.column(3)
+            numbers = [x.to_numpy() for x in lists.flatten().flatten()]
+            bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            for a, b in zip(bounds, bounds[1:]):
+                for prefix, name, bits in (("", "repeated_words", numbers[1][a:b]), ("copy_", "copied_words", numbers[2][a:b])):
+                    set_ = (bits[:, None] >> np.arange(w)) & 1 == 1
+                    places = np.sort((numbers[0][a:b, None] + np.arange(w))[set_])
+                    starts, ends = joined(places, length)
+                    out[f"{prefix}starts"].append(starts)
+                    out[f"{prefix}ends"].append(ends)
+                    out[name].append(int((ends - starts).sum()))
+            yield {"doc_id": batch.column(0), "text_key": batch.column(1), "n_words": batch.column(2), **out}
+
+    return map_batches(marked, "doc_id:long, text_key:long, n_words:long, starts:longs, ends:longs, copy_starts:longs, "
+                               "copy_ends:longs, repeated_words:long, copied_words:long", spans)
+
+
+def _repeated_suffixes(source: DataFrame, length: int, k: int) -> DataFrame:
+    """One row per suffix that occurs twice (and few others): ``key`` (hash of its first k words), ``around`` (hash of the windows that
+    keep it), doc_id, text_key, n_words, ``place``, ``lead`` (places from the first such window to it), ``many`` windows, and ``windows``,
+    null but for one of the batch's suffixes with the same surroundings."""
+    w = length - k + 1
+
+    def counted(batches):
         for batch in batches:
             keys = []
             for text in batch.column(2).to_pylist():
@@ -76,59 +136,92 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             keys, count = np.unique(np.concatenate(keys), return_counts=True)
             yield {"key": keys.view(np.int64), "seen": count}
 
-    kept = map_batches(source, "key:long, seen:long", suffixes).groupBy("key").agg(F.sum("seen").alias("seen"))
-    slot = F.pmod(F.shiftrightunsigned("key", 7), F.lit(FILTER_SLOTS)).cast("int")
-    slots = kept.filter("seen > 1").select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()
-    table = np.zeros(FILTER_SLOTS, bool)
-    table[slots] = True
-    packed = np.packbits(table)
+    kept = map_batches(source, "key:long, seen:long", counted).groupBy("key").agg(F.sum("seen").alias("seen"))
+    repeated = _Bitmap(stage(kept.filter("seen > 1").select("key"), "repeated-suffixes"))
+    salt = mixed(np.arange(1, w + 1, dtype=np.uint64))
 
-    def windows(batches):
-        repeated = np.unpackbits(packed).view(bool)
+    def written(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "n_words", "places", "windows")}
-            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes = word_hashes(text.split())
-                grams = gram_hashes(hashes, k)
+            rows, texts, hashes = [np.empty((0, 7), np.int64)], [], []
+            for number, text in enumerate(batch.column(2).to_pylist()):
+                words = word_hashes(text.split())
+                grams = gram_hashes(words, k)
                 chosen, owner = minimisers(grams, w)
                 if not len(chosen):
                     continue
-                at = np.flatnonzero(repeated[_slot(grams[chosen])][owner])
-                if not len(at):
+                met = np.flatnonzero(repeated.has(grams[chosen]))
+                if not len(met):
                     continue
-                row = doc_id, key, len(hashes), at, gram_hashes(hashes, length)[at].view(np.int64)
-                for column, value in zip(out.values(), row):
-                    column.append(value)
-            yield out
-
-    spec = "doc_id:long, text_key:long, n_words:long, places:longs, windows:longs"
-    extended = stage(map_batches(source, spec, windows), "windows")
-    rows = extended.select("doc_id", "text_key", "n_words", F.explode(F.arrays_zip("places", "windows")).alias("x")).select(
-        "doc_id", "text_key", "n_words", F.col("x.places").alias("place"), F.col("x.windows").alias("window"))
-    met = rows.groupBy("window").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"))
-    # Written before the join, so that Spark may split the rows of a window that very many documents hold.
-    repeats = rows.join(stage(met.filter("seen > 1").select("window", "first"), "repeated-windows"), "window")
-    # Null ids order before others, here as in the minimum.
-    earlier = ~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))
-    # The places of one document: at most one per word of its text, equal rows once.
-    marked = repeats.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"), F.collect_set(2 * F.col("place") + earlier.cast("long")).alias("marks"))
-
-    def spans(batches):
+                windows = gram_hashes(words, length)
+                begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                many = np.diff(np.r_[begin, len(owner)])
+                lead = chosen - begin
+                inner = np.arange(len(owner)) - np.repeat(begin, many)
+                around = mixed(np.add.reduceat(mixed(windows ^ salt[inner]), begin) + lead.astype(np.uint64))
+                rows.append(np.stack([grams[chosen].view(np.int64), around.view(np.int64), np.full(len(chosen), number), np.full(len(chosen), len(words)),
+                                      chosen, lead, many], axis=1)[met])
+                texts.append(np.full(len(met), len(hashes)))
+                hashes.append(windows.view(np.int64))
+            table = np.concatenate(rows)
+            if not len(table):
+                continue
+            owner = np.concatenate(texts)
+            # Surroundings are written with the first suffix that has them.
+            first = np.zeros(len(table), bool)
+            first[np.unique(table[:, 1], return_index=True)[1]] = True
+            begin = table[:, 4] - table[:, 5]
+            windows = [hashes[t][b: b + m] if f else None for f, t, b, m in zip(first, owner, begin, table[:, 6])]
+            at = pa.array(table[:, 2])
+            yield {"key": table[:, 0], "around": table[:, 1], "doc_id": batch.column(0).take(at), "text_key": batch.column(1).take(at),
+                   "n_words": table[:, 3], "place": table[:, 4], "lead": table[:, 5], "many": table[:, 6], "windows": windows}
+
+    return map_batches(source, "key:long, around:long, doc_id:long, text_key:long, n_words:long, place:long, lead:long, many:long, windows:longs", written)
+
+
+def _runs(suffixes: DataFrame) -> DataFrame:
+    """Runs of neighbours that agree in first words and surroundings: ``key, around, seen, first`` (doc_id, text_key, place of the
+    first member), ``lead``, ``many``, ``windows``."""
+    order = ["key", "around", "doc_id", "text_key", "place"]
+    ordered = suffixes.repartitionByRange(partitions(suffixes.sparkSession), *order).sortWithinPartitions(*order)
+
+    def compared(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("starts", "ends", "copy_starts", "copy_ends", "repeated_words", "copied_words")}
-            for marks in batch.column(3):  # place * 2, + 1 for a copy
-                marks = np.sort(marks.values.to_numpy())
-                places, copies = marks >> 1, marks[marks & 1 == 1] >> 1
-                for prefix, name, at in (("", "repeated_words", places), ("copy_", "copied_words", copies)):
-                    starts, ends = joined(at, length)
-                    out[f"{prefix}starts"].append(starts)
-                    out[f"{prefix}ends"].append(ends)
-                    out[name].append(int((ends - starts).sum()))
-            yield {"doc_id": batch.column(0), "text_key": batch.column(1), "n_words": batch.column(2), **out}
-
-    return map_batches(marked, "doc_id:long, text_key:long, n_words:long, starts:longs, ends:longs, copy_starts:longs, "
-                               "copy_ends:longs, repeated_words:long, copied_words:long", spans)
+            if not batch.num_rows:
+                continue
+            key, around = (batch.column(i).to_numpy() for i in (0, 1))
+            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (around[1:] != around[:-1])])
+            # A member whose windows are written, if the run has one here.
+            n = batch.num_rows
+            written = np.where(batch.column(7).is_valid().to_numpy(zero_copy_only=False), np.arange(n), n)
+            told = np.minimum.reduceat(written, begin)
+            heads = batch.take(pa.array(begin))
+            yield {**{c: heads.column(i) for i, c in enumerate(order + ["lead", "many"])}, "seen": np.diff(np.r_[begin, n]),
+                   "windows": batch.column(7).take(pa.array(told, mask=told == n))}
+
+    spec = "key:long, around:long, doc_id:long, text_key:long, place:long, lead:long, many:long, seen:long, windows:longs"
+    parts = map_batches(ordered.select(*order, "lead", "many", "windows"), spec, compared)
+    # A run that lies in several tasks or batches has a part in each.
+    return stage(parts.groupBy("key", "around").agg(
+        F.sum("seen").alias("seen"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.min("lead").alias("lead"),
+        F.min("many").alias("many"), F.max("windows").alias("windows")), "runs")
+
+
+def _extended(runs: DataFrame) -> DataFrame:
+    """``key, around, first, repeated, own``: bits of the windows of a run that occur twice anywhere, and of those whose first occurrence
+    is the run's first member. Runs without a repeated window are left out."""
+    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1")
+    compared = runs.join(several, "key").select(
+        "key", "around", "seen", "first", "lead", F.posexplode("windows").alias("number", "window"))
+    at = F.struct("first.doc_id", "first.text_key", (F.col("first.place") - F.col("lead") + F.col("number")).alias("place"))
+    compared = stage(compared.select("key", "around", "seen", "first", "number", "window", at.alias("at")), "compared-windows")
+    met = compared.groupBy("window").agg(F.sum("seen").alias("times"), F.min("at").alias("least")).filter("times > 1")
+    bit = F.expr("shiftleft(1L, number)")
+    own = F.when(F.col("at").eqNullSafe(F.col("least")), bit).otherwise(F.lit(0).cast("long"))
+    shared = compared.join(met, "window").groupBy("key", "around").agg(
+        F.min("first").alias("first"), F.bit_or(bit).alias("repeated"), F.bit_or(own).alias("own"))
+    alone = runs.filter("seen > 1").join(several, "key", "left_anti")
+    whole = F.expr("shiftleft(1L, cast(many as int)) - 1")
+    return shared.unionByName(alone.select("key", "around", "first", whole.alias("repeated"), whole.alias("own")))
 
 
 def joined(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
