@@ -17,14 +17,18 @@ Scoring runs the scaled forward recursion over every document.
 
 Defined results: a null or empty text is its end token alone; a null id is trained on and scored like others (its text form
 for the split is empty); repeated rows count and score each; an empty table gives an empty result; without training documents all
-words are unknown; extra columns are not read.
+words are unknown; extra columns are not read. A very long text is a block of its own, with the states of all its tokens (48 bytes each)
+in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,8 +50,8 @@ class HmmConfig:
     least_seen: int = 5
     #: Words whose counts are broadcast, at most; the head is the smaller of the two.
     head_words: int = 1 << 20
-    #: Tokens that a task holds at once; documents stay whole.
-    block_tokens: int = 1 << 20
+    #: Tokens that a task runs forward and backward over at once; documents stay whole.
+    block_tokens: int = 1 << 18
     #: Pseudo-counts of the overall shares in each state's emissions, and of each transition.
     smoothing: float = 200.0
     stay: float = 50.0
@@ -170,26 +174,22 @@ def model_of(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, config: H
 
 
 def blocks(batches, columns: tuple[int, ...], ranks_at: int, config: HmmConfig, tail: int):
-    """Documents gathered into blocks: (values of ``columns`` by column, ranks by document, :class:`Wide`).
+    """Documents in blocks of at most ``block_tokens`` and one document: (values of ``columns`` by column, ranks by document, :class:`Wide`).
 
+    Documents of one batch are taken longest first, so that those of a block are about as long and share their steps.
     The columns after the ranks are those of :func:`with_wide`.
     """
-    held: list[np.ndarray] = []
-    wide: list[tuple] = []
-    values: list[list] = [[] for _ in columns]
-    total = 0
     for batch in batches:
-        for at, name in enumerate(columns):
-            values[at] += batch.column(name).to_pylist()
-        ranks = [np.frombuffer(r, "<i4") for r in batch.column(ranks_at).to_pylist()]
-        held += ranks
-        wide += zip(*(batch.column(ranks_at + i).to_pylist() for i in range(1, 3 + config.states)))
-        total += sum(map(len, ranks))
-        if total >= config.block_tokens:
-            yield values, held, Wide(held, wide, tail)
-            held, wide, values, total = [], [], [[] for _ in columns], 0
-    if held:
-        yield values, held, Wide(held, wide, tail)
+        lengths = pc.binary_length(batch.column(ranks_at)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        order = np.argsort(-lengths, kind="stable")
+        block = (np.cumsum(lengths[order]) - 1) // config.block_tokens
+        for rows in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+            if not len(rows):
+                continue
+            part = batch.take(pa.array(rows))
+            ranks = [np.frombuffer(r, "<i4") for r in part.column(ranks_at).to_pylist()]
+            wide = list(zip(*(part.column(ranks_at + i).to_pylist() for i in range(1, 3 + config.states))))
+            yield [part.column(c).to_pylist() for c in columns], ranks, Wide(ranks, wide, tail)
 
 
 class Wide:
@@ -276,21 +276,39 @@ class Lattice:
 _HEAD, _MOVE, _START, _FAR, _LIKELIHOOD = range(5)
 
 
-def _count_rows(lattice: Lattice, weights: np.ndarray, starts: np.ndarray, moves: np.ndarray, wide: Wide, tail: int,
-                likelihood: float) -> dict:
-    """Expected counts as rows (kind, number, s0, ...): emissions by class, or by word beyond the head; moves by state; starts."""
-    classes = lattice.classes
-    size, k = int(classes.max()) + 1, weights.shape[1]
-    sums = np.stack([np.bincount(classes, weights[:, s], size) for s in range(k)], axis=1)
-    met = np.flatnonzero(sums.any(axis=1))
-    far = met > tail
-    numbers = met.astype(np.int64)
-    numbers[far] = wide.words[met[far] - tail - 1]
-    said = np.zeros((1, k))
-    said[0, 0] = likelihood
-    table = np.concatenate([sums[met], moves, starts[None], said])
-    kinds = np.r_[np.where(far, _FAR, _HEAD), np.full(k, _MOVE), _START, _LIKELIHOOD]
-    return {"kind": kinds, "number": np.r_[numbers, np.arange(k), 0, 0], **{f"s{s}": table[:, s] for s in range(k)}}
+class _Counts:
+    """Expected counts of a task's blocks, as rows (kind, number, s0, ...): emissions by class, or by word beyond the head; moves by
+    state; starts. Those of the head are summed in the task, words beyond it leave with their block."""
+
+    def __init__(self, tail: int, k: int) -> None:
+        self.emits, self.moves, self.starts = np.zeros((tail + 1, k)), np.zeros((k, k)), np.zeros(k)
+        self.likelihood = 0.0
+
+    def add(self, lattice: Lattice, weights: np.ndarray, starts: np.ndarray, moves: np.ndarray, wide: Wide,
+            likelihood: float = 0.0) -> Iterator[dict]:
+        tail, k = len(self.emits) - 1, len(self.starts)
+        self.moves += moves
+        self.starts += starts
+        self.likelihood += likelihood
+        size = int(lattice.classes.max()) + 1
+        sums = np.stack([np.bincount(lattice.classes, weights[:, s], size) for s in range(k)], axis=1)
+        near = min(size, tail + 1)
+        self.emits[:near] += sums[:near]
+        met = np.flatnonzero(sums[near:].any(axis=1))
+        if len(met):
+            yield self._table(np.full(len(met), _FAR), wide.words[met], sums[near:][met])
+
+    def rows(self) -> dict:
+        k = len(self.starts)
+        met = np.flatnonzero(self.emits.any(axis=1))
+        said = np.zeros(k)
+        said[0] = self.likelihood
+        return self._table(np.r_[np.full(len(met), _HEAD), np.full(k, _MOVE), _START, _LIKELIHOOD], np.r_[met, np.arange(k), 0, 0],
+                           np.concatenate([self.emits[met], self.moves, self.starts[None], said[None]]))
+
+    @staticmethod
+    def _table(kinds: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> dict:
+        return {"kind": kinds, "number": numbers, **{f"s{s}": values[:, s] for s in range(values.shape[1])}}
 
 
 def _summed(rows: DataFrame, vocabulary: Vocabulary, config: HmmConfig) -> tuple[Model, DataFrame | None, float]:
@@ -349,14 +367,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: Dat
     far = links.select("word").distinct().select("word", *[F.lit(1.0).alias(f"s{s}") for s in range(k)]) if links is not None else None
 
     def first(batches):
+        counts = _Counts(tail, k)
         for (langs_, numbers), ranks, wide in blocks(batches, (0, 1), 2, config, tail):
             lattice = Lattice(wide.classes, tail, wide.top)
             state = np.array([tied.get(x, r % k) for x, r in zip(langs_, numbers)])[lattice.order]
             weights = np.full((len(ranks), k), 0.1 / k)
             weights[np.arange(len(ranks)), state] += 0.9
             doc = np.concatenate([np.arange(n) for n in lattice.width])
-            yield _count_rows(lattice, weights[doc], weights.sum(axis=0),
-                              (weights * (lattice.lengths - 1)[:, None]).T @ weights, wide, tail, 0.0)
+            yield from counts.add(lattice, weights[doc], weights.sum(axis=0), (weights * (lattice.lengths - 1)[:, None]).T @ weights, wide)
+        yield counts.rows()
 
     model, far, _ = _summed(map_batches(with_wide(training, links, far, config), spec, first), vocabulary, config)
     before = None
@@ -364,10 +383,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: Dat
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def maximise(batches, shared=shared):
+            counts = _Counts(tail, k)
             for _, _, wide in blocks(batches, (), 2, config, tail):
                 lattice = Lattice(wide.classes, tail, wide.top)
                 starts, moves, states = lattice.expected(wide.model(shared.value))
-                yield _count_rows(lattice, states, starts, moves, wide, tail, lattice.likelihood)
+                yield from counts.add(lattice, states, starts, moves, wide, lattice.likelihood)
+            yield counts.rows()
 
         model, far, likelihood = _summed(map_batches(with_wide(training, links, far, config), spec, maximise), vocabulary, config)
         shared.unpersist()
