@@ -3,7 +3,7 @@
 Documents are range-partitioned by id, encoded, and gathered into shards of about ``shard_ids`` ids that end at document
 bounds. Within a shard, Re-Pair repeatedly replaces frequent pairs of neighbouring ids by nonterminals: each round counts
 all pairs, makes a rule of every pair seen ``least_count`` times or more, and replaces its occurrences from the left,
-except where they overlap one taken already. Rounds end when one shortens the shard by less than ``least_gain``.
+except where they overlap one taken already. Rounds end when no pair is left that often.
 
 File format (a Parquet table, one row per shard): ``part, shard`` (order of the shards), ``n_ids``, ``doc_ids``,
 ``doc_lengths`` (ids per document, with the end id), ``rules`` (two unsigned 32-bit numbers per rule, in order: rule r is
@@ -38,10 +38,10 @@ SHARD_SPEC = ("part:int, shard:int, n_ids:long, base:long, doc_ids:longs, doc_le
 
 def _spots(keys: np.ndarray) -> np.ndarray:
     """20-bit hashes of pairs."""
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
 
-def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, least_count: int = 32) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, rule lengths, symbols) of an array of ids."""
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols = ids.astype(np.int64)
@@ -49,16 +49,18 @@ def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) ->
     rules = np.empty((0, 2), np.int64)
     while len(symbols) > 1:
         keys = (symbols[:-1] << 32) | symbols[1:]
-        order = np.sort(keys)
-        starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+        # Counts by a small table of hashes set aside most rare pairs; what they let through is sorted and counted exactly.
+        spots = _spots(keys)
+        places = np.flatnonzero((np.bincount(spots, minlength=1 << 20) >= least_count)[spots])
+        order = np.sort(keys[places])
+        starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else places
         counts = np.diff(np.r_[starts, len(order)])
         frequent = order[starts[counts >= least_count]]
         if not len(frequent):
             break
-        # A small table of hashes sets aside most other pairs; what it lets through is looked up exactly.
         marked = np.zeros(1 << 20, bool)
         marked[_spots(frequent)] = True
-        places = np.flatnonzero(marked[_spots(keys)])
+        places = places[marked[spots[places]]]
         at = np.searchsorted(frequent, keys[places])
         at[at == len(frequent)] = 0
         hit = frequent[at] == keys[places]
@@ -68,10 +70,12 @@ def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) ->
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
         every_other = (np.arange(len(places)) - run_start) % 2 == 0
         taken = places[every_other]
-        if len(taken) < least_gain * len(symbols):
-            break
-        used, rule = np.unique(at[every_other], return_inverse=True)
-        symbols[taken] = base + len(rules) + rule
+        at = at[every_other]
+        # Rules are numbered in order of the pairs that are replaced somewhere.
+        replaced = np.zeros(len(frequent), bool)
+        replaced[at] = True
+        used = np.flatnonzero(replaced)
+        symbols[taken] = base + len(rules) + (np.cumsum(replaced) - 1)[at]
         rest = np.ones(len(symbols), bool)
         rest[taken + 1] = False
         symbols = symbols[rest]
@@ -81,21 +85,37 @@ def repair(ids: np.ndarray, least_count: int = 32, least_gain: float = 0.04) ->
     return base, rules.astype(np.uint32), lengths[base:].astype(np.uint32), symbols.astype(np.uint32)
 
 
-def expand(base: int, rules: np.ndarray, rule_lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """All ids of a shard: nonterminals are replaced level by level."""
+def _levels(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Ids of symbols, nonterminals being replaced level by level."""
     out = symbols.astype(np.int64)
     while len(out):
         big = out >= base
         if not big.any():
             break
-        width = 1 + big.astype(np.int64)
-        ends = np.cumsum(width)
+        ends = np.cumsum(1 + big.astype(np.int64))
         made = np.empty(int(ends[-1]), np.int64)
         made[ends[~big] - 1] = out[~big]
         pairs = rules[out[big] - base]
         made[ends[big] - 2], made[ends[big] - 1] = pairs[:, 0], pairs[:, 1]
         out = made
-    return out.astype(np.uint32)
+    return out
+
+
+def expand(base: int, rules: np.ndarray, rule_lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """All ids of some symbols: each rule among them is expanded once and copied to its places."""
+    met = np.zeros(base + len(rules), bool)
+    met[symbols] = True
+    used = np.flatnonzero(met)
+    widths = np.ones(base + len(rules), np.int64)
+    widths[base:] = rule_lengths
+    texts = _levels(base, rules, used).astype(np.uint32)
+    begins = np.zeros(base + len(rules), np.int64)
+    begins[used] = np.cumsum(widths[used]) - widths[used]
+    lengths = widths[symbols]
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return texts
+    return texts[np.repeat(begins[symbols] - ends + lengths, lengths) + np.arange(ends[-1])]
 
 
 def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
