@@ -17,8 +17,10 @@ A document is the set of its word n-grams (64-bit hashes). Documents with equal
 4. *Verification* compares both token sets in full. A set goes to its partners once, in front of them; no text travels, and no
    row holds a pair of sets. Links and groups give the components.
 
-The order of tokens (frequent last) is fitted on a bounded sample: ``sample_docs`` documents, ``sample_tokens`` tokens. Any order gives
-the same result; the sample decides only how many comparisons step 3 makes. Nothing is capped.
+Tokens are ordered by frequency, frequent last, as counted over all documents: every class gives one in eight of its tokens, and which
+ones depends on the class, so a token of many classes is met in about an eighth of them. The most frequent ``ranked_tokens`` of those that
+several groups hold rank by their counts, all others by hash. Any order gives the same result; it decides only how many
+comparisons step 3 makes. Nothing is capped.
 
 Defined results: null or empty texts, or texts without words, have 0 shingles and a component of their own; fewer than
 ``n`` words form one shingle; equal rows and equal texts are linked; a null id never becomes a component's id unless the component
@@ -39,8 +41,10 @@ from embertrace.llm.skew import join_frequent
 from embertrace.staging import stage
 
 MIN_HASHES = 4
-SAMPLE_DOCS = 20_000
-SAMPLE_TOKENS = 1 << 18
+#: One token in so many is probed for its frequency.
+PROBE_SHARE = 8
+#: Most tokens whose frequency counts in the order: 16 bytes each, sent to every task.
+RANKED_TOKENS = 1 << 19
 #: Most rows of a table that is broadcast by hint: 24 bytes each.
 BROADCAST_ROWS = 200_000
 FILTER_SLOTS = 1 << 22
@@ -77,72 +81,101 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _frequent_tokens(docs: DataFrame, n: int, sample_docs: int, sample_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens met more than twice in a bounded sample of the documents (sorted), and how often."""
-    total = docs.count()
-    if not total:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    share = min(1.0, sample_docs / total)
-    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+def _shingled(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n, class (128-bit hash of the set), min hashes, the bitmap of all tokens, and
+    the probe: one token in PROBE_SHARE, chosen by token and set."""
 
-    def tokens(batches):
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        seeds = [np.uint64(0x1000193 * (k + 1)) for k in range(MIN_HASHES)]
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch.column(0).to_pylist()]
-            token, count = np.unique(np.concatenate(sets), return_counts=True)
-            yield {"token": token.view(np.int64), "seen": count}
+            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "probe": [], "bits": []}
+            for text in batch.column(2).to_pylist():
+                tokens = shingle_set(text, n)
+                rows["n"].append(len(tokens))
+                rows["bits"].append(token_bits(tokens))
+                if not len(tokens):
+                    rows["class"].append(None)
+                    rows["keys"].append([])
+                    rows["probe"].append([])
+                    continue
+                name = xxh3_128_digest(tokens.tobytes())
+                rows["class"].append(name)
+                rows["keys"].append([int(mixed(tokens ^ s).min().view(np.int64)) for s in seeds])
+                chosen = mixed(tokens ^ np.frombuffer(name, np.uint64)[0]) % np.uint64(PROBE_SHARE) == 0
+                rows["probe"].append(tokens[chosen].view(np.int64))
+            yield {"doc_id": batch.column(0), "text_key": batch.column(1), **rows}
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
+    spec = "doc_id:long, text_key:long, n:long, class:binary, keys:longs, probe:longs, bits:longs"
+    return stage(map_batches(source, spec, run), "shingled")
+
 
-    counted = map_batches(chosen.select(text_bytes()), "token:long, seen:long", tokens).groupBy("token").agg(F.sum("seen").alias("seen"))
-    top = counted.filter("seen > 2").orderBy(F.col("seen").desc(), "token").limit(sample_tokens).toArrow()
+def _token_ranks(classes: DataFrame, groups: DataFrame, ranked_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several groups that most probes hold (sorted), and in how many probes each is.
+
+    Counts go over the probes of all classes. Levels of frequency, four per doubling, are taken from the top while they have
+    at most ``ranked_tokens`` tokens together; rarer tokens rank alike, so no more than these reach the driver.
+    """
+    probes = _with_group(classes.select("class", "probe"), groups, "class")
+    probes = probes.select(F.xxhash64("gid").alias("group"), F.explode("probe").alias("token"))
+    held = probes.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("seen"))
+    held = held.filter("low <> high").select("token", "seen", F.floor(4 * F.log2("seen")).alias("level"))
+    held = stage(held, "probed")
+    least, total = None, 0
+    for level, tokens in sorted(held.groupBy("level").count().collect(), reverse=True):
+        total += tokens
+        if total > ranked_tokens:
+            break
+        least = level
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    top = held.filter(F.col("level") >= least).select("token", "seen").toArrow()
     token, seen = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(token)
     return token[order], seen[order]
 
 
-def _shingled(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, text_key, n, class (128-bit hash of the set), min hashes, the prefix in order and
-    the bitmap of all tokens."""
-    known, seen = frequent
+def _prefixes(docs: DataFrame, n: int, percent: int, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``class, n, prefix`` of every document with words: its first tokens, rare ones first."""
+    known, seen = ranks
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        seeds = [np.uint64(0x1000193 * (k + 1)) for k in range(MIN_HASHES)]
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "class": [], "keys": [], "prefix": [], "bits": []}
-            for text in batch.column(2).to_pylist():
+            rows: dict[str, list] = {"class": [], "n": [], "prefix": []}
+            for text in batch.column(0).to_pylist():
                 tokens = shingle_set(text, n)
                 size = len(tokens)
-                rows["n"].append(size)
-                rows["bits"].append(token_bits(tokens))
                 if not size:
-                    rows["class"].append(None)
-                    rows["keys"].append([])
-                    rows["prefix"].append([])
                     continue
-                rows["class"].append(xxh3_128_digest(tokens.tobytes()))
-                rows["keys"].append([int(mixed(tokens ^ s).min().view(np.int64)) for s in seeds])
                 rank = np.zeros(size, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     rank = np.where(known[at] == tokens, seen[at], 0)
                 length = size - (size * percent + 99) // 100 + 1
-                order = np.argsort(rank, kind="stable")[:length]
-                rows["prefix"].append(tokens[order].view(np.int64))
-            yield {"doc_id": batch.column(0), "text_key": batch.column(1), **rows}
+                rows["class"].append(xxh3_128_digest(tokens.tobytes()))
+                rows["n"].append(size)
+                rows["prefix"].append(tokens[np.argsort(rank, kind="stable")[:length]].view(np.int64))
+            yield rows
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    spec = "doc_id:long, text_key:long, n:long, class:binary, keys:longs, prefix:longs, bits:longs"
-    return stage(map_batches(source, spec, run), "shingled")
+    return stage(map_batches(docs.select(text_bytes()), "class:binary, n:long, prefix:longs", run), "prefixes")
 
 
-def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
+def _opened_rows(prefixes: DataFrame, shared: DataFrame) -> DataFrame:
     """``token, class, n, place`` of all prefix tokens in ``shared`` (column token).
 
-    Most prefix tokens are in no other group. A table of fixed size, one bit per slot of the hash, keeps them from being
-    shuffled; what it lets through by chance falls to the join.
+    Most prefix tokens are in no other group. A table of one bit per slot of the hash keeps them from being
+    shuffled; what it lets through by chance falls to the join. With too many shared tokens for such a table, all are joined.
     """
-    slot = F.pmod(F.shiftrightunsigned("token", 7), F.lit(FILTER_SLOTS)).cast("int")
-    table = np.zeros(FILTER_SLOTS, bool)
+    slots = FILTER_SLOTS
+    if shared.count() > slots // 4:
+        rows = prefixes.select("class", "n", F.posexplode("prefix").alias("place", "token"))
+        return rows.select("token", "class", "n", F.col("place").cast("long").alias("place")).join(shared, "token")
+    slot = F.pmod(F.shiftrightunsigned("token", 7), F.lit(slots)).cast("int")
+    table = np.zeros(slots, bool)
     table[shared.select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
     packed = np.packbits(table)
 
@@ -152,12 +185,12 @@ def _opened_rows(shingled: DataFrame, shared: DataFrame) -> DataFrame:
             lists = batch.column(2)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             token = lists.flatten().to_numpy()
-            kept = np.flatnonzero(open_[(token.view(np.uint64) >> np.uint64(7)).astype(np.int64) % FILTER_SLOTS])
+            kept = np.flatnonzero(open_[(token.view(np.uint64) >> np.uint64(7)).astype(np.int64) % slots])
             row = np.repeat(np.arange(len(lengths)), lengths)[kept]
             place = kept - (np.cumsum(lengths) - lengths)[row]
             yield {"token": token[kept], "class": batch.column(0).take(pa.array(row)), "n": batch.column(1).to_numpy()[row], "place": place}
 
-    rows = shingled.filter("n > 0").select("class", "n", "prefix")
+    rows = prefixes.select("class", "n", "prefix")
     return map_batches(rows, "token:long, class:binary, n:long, place:long", run).join(shared, "token")
 
 
@@ -287,15 +320,15 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         members *= 8
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_docs: int = SAMPLE_DOCS,
-                       sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, ranked_tokens: int = RANKED_TOKENS) -> DataFrame:
     """``doc_id, text_key, n_shingles, class, component_id`` of every row of ``docs`` (doc_id, text)."""
     docs = sheltered(docs).select("doc_id", "text")
-    shingled = _shingled(docs, n, percent, _frequent_tokens(docs, n, sample_docs, sample_tokens))
+    shingled = _shingled(docs, n)
     first = F.min(F.struct("doc_id", "text_key"))
     classes = shingled.filter("n > 0").groupBy("class").agg(
-        first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    classes = stage(classes.select("class", "n", "keys", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"),
+        first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"),
+        F.first("probe").alias("probe"))
+    classes = stage(classes.select("class", "n", "keys", "probe", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"),
                                    *[F.get("bits", i).alias(b) for i, b in enumerate(_BITS)]), "classes")
     # Groups: each class against the smallest class with one of its minimum hashes.
     keyed = classes.select("class", "n", F.posexplode("keys").alias("which", "key"))
@@ -306,12 +339,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, sample_do
     links = stage(verified(near, classes, docs, n, percent), "links")
     groups = components(links)
     # Matrix: tokens of several groups.
-    tokens = _with_group(shingled.filter("n > 0").select("class", "n", "prefix"), groups, "class")
+    prefixes = _prefixes(docs, n, percent, _token_ranks(classes, groups, ranked_tokens))
+    tokens = _with_group(prefixes, groups, "class")
     tokens = tokens.select(F.xxhash64("gid").alias("group"), F.explode("prefix").alias("token"))
     held = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     shared = stage(held.filter("low <> high").select("token"), "shared")
     # Equal documents repeat their class's rows.
-    opened = stage(_opened_rows(shingled, shared).dropDuplicates(["token", "class"]), "opened")
+    opened = stage(_opened_rows(prefixes, shared).dropDuplicates(["token", "class"]), "opened")
     groups = _open_groups(opened, groups, links, classes, docs, n, percent)
     # Smallest id of each component, over all rows of all its classes.
     named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")

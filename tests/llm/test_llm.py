@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from embertrace.llm import html_text, token_files
+from embertrace.llm import html_text, jaccard, token_files
 from embertrace.llm.hmm import HmmConfig, Lattice, hmm_scores, model_of
 from embertrace.llm.jaccard import jaccard_components, one_of_each
 from embertrace.llm.mixing import mix_sources
@@ -261,12 +261,17 @@ def chain_rows() -> list[tuple]:
     return rows
 
 
-def test_jaccard(spark, documents, awkward, nothing):
+def test_jaccard(spark, documents, awkward, nothing, monkeypatch):
     chain = spark.createDataFrame(chain_rows(), "doc_id long, text string")
     for docs in (documents, awkward, chain):
         got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()]
         assert sorted(got, key=repr) == sorted(brute_components(texts_of(docs)), key=repr)
     assert jaccard_components(nothing).count() == 0
+    expected = sorted(brute_components(texts_of(chain)), key=repr)
+    for ranked, slots in ((0, jaccard.FILTER_SLOTS), (10, 4)):  # the order of tokens and the way to shared ones change no row
+        monkeypatch.setattr(jaccard, "FILTER_SLOTS", slots)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(chain, ranked_tokens=ranked).collect()]
+        assert sorted(got, key=repr) == expected
     once = one_of_each(awkward).collect()
     assert {r.doc_id for r in once} == {0, 1, 2, 3, 6, 9, 10, 11, 12, 13, 14, None}
     assert one_of_each(awkward).columns == awkward.columns
