@@ -270,8 +270,9 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
     Of two groups that share a token of the matrix, the smaller one's members ask the larger one: the group opens for
     a member if the union of the group's tokens can hold enough of the member's. Of an open group, at most ``members`` members per
     token are compared, and only those whose own tokens can hold enough. Groups that turn out linked are one group in the next
-    round, which spares all other pairs between them. The bound grows eightfold per round and the last round has none in
-    effect: rounds end when no token has two groups left, or when no group had more members than the last bound.
+    round, which spares all other pairs between them. The bound grows eightfold per round, and a round takes only tokens at which
+    some group had more members than the last bound: rounds end when there are none. Pairs of single documents, which need
+    several common tokens, all meet in the first round.
     """
     members, done, total = OPENED_MEMBERS, None, classes.count()
     while True:
@@ -314,7 +315,10 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         if not pairs.isEmpty():
             links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
             groups = components(links)
-        if ranked.filter(F.col("member") > members).isEmpty():
+        # At any other token all members of all groups met.
+        left = ranked.filter(F.col("member") > members).select("token").distinct()
+        opened = stage(opened.join(left, "token", "left_semi"), "opened")
+        if opened.isEmpty():
             return groups
         done = pairs if done is None else done.unionByName(pairs)
         members *= 8
