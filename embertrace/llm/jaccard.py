@@ -304,13 +304,15 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         needed = percent * (F.col("n_q") + F.col("n_m"))
         room = (100 + percent) * F.least(F.col("n_q") - F.col("p_q"), F.col("n_m") - F.col("p_m")) >= needed
         able = ((100 + percent) * _overlap("n_q", "q_", "m_") >= needed) & ((100 + percent) * _overlap("n_m", "m_", "q_") >= needed)
-        met = open_.join(inside, ["token", "gid"]).filter(_size_fits("n_q", "n_m", percent) & room & able)
-        # Between groups of one member all common prefix tokens are here. Beyond them, at most the rest of one set is common.
+        met = open_.join(inside, ["token", "gid"]).filter(_size_fits("n_q", "n_m", percent) & (F.col("alone") | room) & able)
+        # Between groups of one member all common prefix tokens are here, of which the first has room. Beyond them, at most the
+        # rest of one set is common.
         rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
         least = F.ceil(needed / (100 + percent)) - F.greatest(rest("n_q"), rest("n_m"))
         pairs = met.groupBy(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).agg(
-            F.count(F.lit(1)).alias("common"), F.max(F.when(F.col("alone"), least).otherwise(1)).alias("least"))
-        pairs = pairs.filter("common >= least").select("a", "b")
+            F.count(F.lit(1)).alias("common"), F.max(F.when(F.col("alone"), least).otherwise(1)).alias("least"),
+            F.max(room).alias("roomy"))
+        pairs = pairs.filter("common >= least and roomy").select("a", "b")
         pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))

@@ -277,6 +277,22 @@ def test_jaccard(spark, documents, awkward, nothing, monkeypatch):
     assert one_of_each(awkward).columns == awkward.columns
 
 
+def test_jaccard_at_the_threshold(spark, monkeypatch):
+    """Single documents with 30 shingles of 40 in common, and others with fewer, without groups from minimum hashes."""
+    monkeypatch.setattr(jaccard, "MIN_HASHES", 0)
+    rows = []
+    for k in range(80):
+        words = prose(5000 + k, 39).split()[:39]
+        changed = list(words)
+        changed[20] = f"other{k}"
+        if k % 4 == 0:
+            changed[38] = f"last{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def brute_repeats(rows: list[tuple], length: int) -> tuple[dict, dict]:
     seen = collections.defaultdict(list)
     for n, (_, text) in enumerate(rows):
