@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embertrace.config import EngineConfig
-from embertrace.operators.detect import compile_rules, diagnostics_table
+from embertrace.operators.detect import rule_problems
 from embertrace.operators.lookup import get_rules
 from embertrace.operators.store import upsert
 from embertrace.plans.binding import bound_events, read_table
@@ -17,7 +17,7 @@ from embertrace.plans.oracle import on_events
 from embertrace.plans.registry import query
 from embertrace.sources.json_logs import explode_documents
 from embertrace.sources.normalise import normalise, validate_events
-from embertrace.sources.rules import collect_rules, describe_rules, enabled_rules, parse_rules, rules_table
+from embertrace.sources.rules import describe_rules, enabled_rules, parse_rules, rules_table
 
 CONFIG = EngineConfig()
 
@@ -377,5 +377,4 @@ def rules_diagnostics(spark, sf_dir):
         F.concat(F.lit("suppliers/rule_"), n.cast("string"), F.lit(".yml")).alias("file_path"),
         F.concat(F.lit("title: Supplier rule "), n.cast("string"), F.lit("\nlevel: low\ndetection:\n  selection: {severity: "),
                  F.col("s_nationkey").cast("string"), F.lit("}\n  condition: "), condition, F.lit("\n")).alias("content"))
-    rules = collect_rules(describe_rules(parse_rules(files), CONFIG))
-    return diagnostics_table(spark, compile_rules(spark, rules, CONFIG))
+    return rule_problems(describe_rules(parse_rules(files), CONFIG), CONFIG)

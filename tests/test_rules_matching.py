@@ -128,3 +128,34 @@ def test_envelope_wins_over_the_payload(spark):
     row = flatten_events(events_frame(spark, [event]), ["host", "timestamp", "domain", "custom", "severity"]).first()
     assert row.asDict() == {"event_id": "e1", "host": "PC-1", "timestamp": "2026-05-13T10:00:00.250000+00:00",
                             "domain": "CORP", "custom": "1", "severity": "0"}
+
+
+def test_problems_of_a_catalog_are_those_of_its_compiled_rules(spark):
+    import json
+
+    from embertrace.operators.detect import rule_problems
+
+    blocks = [
+        {"selection": ["word"], "condition": "selection"}, {"selection": {"a|nope": 1}, "condition": "selection or other"},
+        {"selection": {"a|re": "(?P<x>[)"}, "condition": "selection"}, {"selection": {"a": 1}, "condition": "selection and ("},
+        {"selection": {"a": 1}, "condition": "selection"}, {"selection": [{"a|re": r"a(?(1)b|c)"}], "condition": "selection"},
+        {"s_a": {"a|cidr": ["10.0.0.0/8", "x"]}, "s_b": {"a": 1}, "condition": "all of s_* and 1 of t*"},
+        {"s_a": {"a": 1}, "s_b": {"a": 2}, "condition": "s_a s_b"}, {"s_a": {"a": 1}, "condition": "s_a not and s_a"},
+    ]
+    rules = [make_rule(i, block) for i, block in enumerate(blocks)]
+    catalog = spark.createDataFrame(
+        [(r.rule_id, r.title, r.condition, json.dumps(r.detection), "ok") for r in rules],
+        "rule_id string, title string, condition string, detection string, load_status string")
+    told = diagnostics_table(spark, compile_rules(spark, rules, DOC))
+    assert sorted(rule_problems(catalog, DOC).collect()) == sorted(told.collect())
+
+
+def test_faulty_rules_are_found_in_few_trials(spark):
+    from embertrace.operators import detect
+
+    rules = [make_rule(i, {"s": {"severity": i}, "condition": "s and and s" if i % 2 else "s"}) for i in range(40)]
+    trials, asked = [], detect._shapes_work(spark)
+    found = detect._refused(sorted({detect._shape(f"(`_s{i}` AND AND `_s{i}`)" if i % 2 else f"(`_s{i}`)") for i in range(40)}),
+                            lambda items: trials.append(items) or asked(items))
+    assert found == {"(`s` AND AND `s`)"} and len(trials) <= 3
+    assert len(compile_rules(spark, rules, DOC).diagnostics) == 20
