@@ -100,7 +100,7 @@ def advance(store: BucketStore, new_matches: DataFrame, rules: list[Rule], confi
     chains = stage(chain_table.chain_rollup(alerts, config), "chains-again")
     started = F.timestamp_micros("restart")
     kept_chains = _rest(stored["chains"], restarts.withColumn("restart", started), "started_at")
-    theirs = all_alerts.join(touched.select("entity_name"), "entity_name", "left_semi")
+    theirs = all_alerts.select(*entities.PROFILE_COLUMNS).join(touched.select("entity_name"), "entity_name", "left_semi")
     profiles = entities.entity_profiles(stage(theirs, "alerts-of-touched"), known, config).withColumn("entity_name", F.col("name"))
     kept_profiles = stored["entities"]
     if kept_profiles is not None:
