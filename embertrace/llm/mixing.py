@@ -10,7 +10,8 @@ to the mix without adding words, on the first pass only, if their queue reaches
 own; an empty table gives an empty result. Extra columns are kept unless they start with ``mix_``.
 
 Sources are summed on the map side. Running sums over a source, and over all copies, are range-partitioned, so a source
-that holds most rows is spread over all tasks.
+that holds most rows is spread over all tasks. Only a document's number, source, size and order key are sorted; its other columns are
+written once and meet the taken copies in one join by number.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from embertrace.llm.common import WORD, range_staged, running_sum, sheltered, source_rank
-from embertrace.staging import stage
+from embertrace.staging import discard, shuffles_removed, stage
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -69,7 +70,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.select(*columns, F.col("source").alias("mix_source"), word_count().alias("mix_size"), shuffled.alias("mix_key"))
     order = [*source_rank("mix_source"), F.col("mix_key")]
-    rows = range_staged(sized.withColumn("mix_row", F.monotonically_increasing_id()), order, "mix-rows")
+    numbered = stage(sized.withColumn("mix_row", F.monotonically_increasing_id()), "mix-documents")
+    rows = range_staged(numbered.select("mix_source", "mix_size", "mix_key", "mix_row"), order, "mix-rows")
     order.append(F.col("mix_row"))
     targets = source_targets(rows.select("mix_source", "mix_size"), weights, max_repeats).withColumnRenamed("mix_source", "mix_s")
     queued = running_sum(rows, order, "mix_size", "mix_upto", by=("mix_source",)).drop("_part")
@@ -83,16 +85,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
         "mix_finish": F.when(F.col("mix_target") > 0, F.col("mix_upto") / F.col("mix_target")).otherwise(F.lit(0.0)),
     })
     order = [F.col("mix_finish"), F.col("mix_row"), F.col("mix_pass")]
-    sorted_ = range_staged(copies.drop("mix_key", "mix_upto"), order, "mix-copies")
+    sorted_ = range_staged(copies.drop("mix_source", "mix_key", "mix_upto"), order, "mix-copies")
+    discard(rows)
     placed = running_sum(sorted_, order, "mix_words", "mix_end").drop("_part")
-    budget = targets.agg(F.sum("mix_source_size").alias("words")).first()["words"] or 0
+    with shuffles_removed(docs.sparkSession):
+        budget = targets.agg(F.sum("mix_source_size").alias("words")).first()["words"] or 0
     start = F.col("mix_end") - F.col("mix_words")
     # Finish times are floats: a copy that begins within a word of the budget begins at it.
     taken = F.col("mix_due") & ((start < budget) | (F.col("mix_words") == 0))
-    placed = placed.withColumns({"mix_start": start, "mix_taken": taken})
+    placed = stage(placed.withColumns({"mix_start": start, "mix_taken": taken}), "mix-placed")
+    discard(sorted_)
+    met = numbered.drop("mix_source", "mix_size", "mix_key").join(placed, "mix_row")
     back = [F.col(c).alias(name) for c, name in zip(docs.columns, names) if name in wanted]
     made = ["row", "size", "pass", "source_size", "target", "finish", "start", "taken"]
-    return placed.select(*back, *[f"mix_{c}" for c in made])
+    return met.select(*back, *[f"mix_{c}" for c in made])
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from embertrace.llm.common import gram_hashes, map_batches, mixed, partitions, restored, sheltered, text_bytes, word_hashes
-from embertrace.staging import stage
+from embertrace.staging import discard, stage
 
 LENGTH = 50
 K = 26
@@ -83,18 +83,24 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, tables: list[DataFrame] | None = None) -> DataFrame:
     """Documents with repeated passages: doc_id, text_key, n_words, starts, ends (word spans of all repeats),
-    copy_starts, copy_ends (spans of copies of an earlier occurrence) and repeated_words, copied_words."""
+    copy_starts, copy_ends (spans of copies of an earlier occurrence) and repeated_words, copied_words.
+
+    ``tables`` gets the stored tables that the result reads."""
     w = length - k + 1
     if not 1 <= w <= 63:
         raise ValueError("length - k must be 0 to 62: the windows that keep a suffix are bits of a number")
     source = _documents(sheltered(docs))
     suffixes = stage(_repeated_suffixes(source, length, k), "suffixes")
-    found = _extended(_runs(suffixes))
+    runs = _runs(suffixes)
     place = F.struct("doc_id", "text_key", "place")
-    # Written before the join, so that Spark may split the rows of a run that very many documents hold.
-    members = suffixes.drop("windows", "many").join(stage(found, "extended-runs"), ["key", "around"])
+    # Stored before the join, so that Spark may split the rows of a run that very many documents hold.
+    extended = _extended(runs)
+    discard(runs)
+    if tables is not None:
+        tables += [suffixes, extended]
+    members = suffixes.drop("windows", "many").join(extended, ["key", "around"])
     # Null ids order before others, here as in the minimum.
     copies = F.when(place.eqNullSafe(F.col("first")), F.col("repeated").bitwiseAND(F.bitwise_not("own"))).otherwise(F.col("repeated"))
     marked = members.select("doc_id", "text_key", "n_words", F.struct((F.col("place") - F.col("lead")).alias("at"), "repeated", copies.alias("copies")).alias("mark"))
@@ -137,7 +143,9 @@ def _repeated_suffixes(source: DataFrame, length: int, k: int) -> DataFrame:
             yield {"key": keys.view(np.int64), "seen": count}
 
     kept = map_batches(source, "key:long, seen:long", counted).groupBy("key").agg(F.sum("seen").alias("seen"))
-    repeated = _Bitmap(stage(kept.filter("seen > 1").select("key"), "repeated-suffixes"))
+    found = stage(kept.filter("seen > 1").select("key"), "repeated-suffixes")
+    repeated = _Bitmap(found)
+    discard(found)
     salt = mixed(np.arange(1, w + 1, dtype=np.uint64))
 
     def written(batches):
@@ -208,7 +216,7 @@ def _runs(suffixes: DataFrame) -> DataFrame:
 
 def _extended(runs: DataFrame) -> DataFrame:
     """``key, around, first, repeated, own``: bits of the windows of a run that occur twice anywhere, and of those whose first occurrence
-    is the run's first member. Runs without a repeated window are left out."""
+    is the run's first member. Runs without a repeated window are left out. Stored."""
     several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1")
     compared = runs.join(several, "key").select(
         "key", "around", "seen", "first", "lead", F.posexplode("windows").alias("number", "window"))
@@ -221,7 +229,9 @@ def _extended(runs: DataFrame) -> DataFrame:
         F.min("first").alias("first"), F.bit_or(bit).alias("repeated"), F.bit_or(own).alias("own"))
     alone = runs.filter("seen > 1").join(several, "key", "left_anti")
     whole = F.expr("shiftleft(1L, cast(many as int)) - 1")
-    return shared.unionByName(alone.select("key", "around", "first", whole.alias("repeated"), whole.alias("own")))
+    extended = stage(shared.unionByName(alone.select("key", "around", "first", whole.alias("repeated"), whole.alias("own"))), "extended-runs")
+    discard(compared)
+    return extended
 
 
 def joined(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +258,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     Documents keep their row, be their text empty. Only documents that lose text meet their spans in a join; the
     table of spans is broadcast by Spark if small.
     """
-    names, docs = docs.columns, sheltered(docs)
-    copies = repeated_spans(docs, length, k).filter("copied_words > 0").select(
+    names, docs, tables = docs.columns, sheltered(docs), []
+    copies = repeated_spans(docs, length, k, tables).filter("copied_words > 0").select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("copy_starts").alias("_starts"), F.col("copy_ends").alias("_ends"))
     copies = stage(copies, "copies")
+    discard(*tables)
     met = docs.join(copies, (F.xxhash64("text") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
 
     @F.pandas_udf("string")
