@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from embertrace.staging import stage
+from embertrace.staging import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         left = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").filter("pa <> pb")
+        used = edges
         edges = stage(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(used)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds[0].select("node", F.col("parent").alias("component"))
     for parents in rounds[1:]:
         onward = parents.select(F.col("node").alias("component"), "parent")
         labels = labels.join(onward, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-    return stage(labels, "components")
+    labels = stage(labels, "components")
+    discard(edges, *rounds)
+    return labels

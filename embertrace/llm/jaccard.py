@@ -22,6 +22,9 @@ ones depends on the class, so a token of many classes is met in about an eighth
 several groups hold rank by their counts, all others by hash. Any order gives the same result; it decides only how many
 comparisons step 3 makes. Nothing is capped.
 
+Tables of a step are deleted once the next ones are written, so the disk holds the documents' classes, the prefixes or what was opened of them,
+and one step's shuffles.
+
 Defined results: null or empty texts, or texts without words, have 0 shingles and a component of their own; fewer than
 ``n`` words form one shingle; equal rows and equal texts are linked; a null id never becomes a component's id unless the component
 has no other; an empty table gives an empty result; extra columns are not read. Texts are processed whole.
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from embertrace.llm.common import gram_hashes, map_batches, mixed, restored, sheltered, text_bytes, word_hashes
 from embertrace.llm.components import components
 from embertrace.llm.skew import join_frequent
-from embertrace.staging import stage
+from embertrace.staging import discard, stage
 
 MIN_HASHES = 4
 #: One token in so many is probed for its frequency.
@@ -130,8 +133,10 @@ def _token_ranks(classes: DataFrame, groups: DataFrame, ranked_tokens: int) -> t
             break
         least = level
     if least is None:
+        discard(held)
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     top = held.filter(F.col("level") >= least).select("token", "seen").toArrow()
+    discard(held)
     token, seen = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(token)
     return token[order], seen[order]
@@ -195,15 +200,15 @@ def _opened_rows(prefixes: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The stored pairs (a, b) of classes whose token sets are within the threshold.
+    """The stored pairs (a, b) of classes whose token sets are within the threshold, stored.
 
     The set of b stands once before those of its partners, in as many salted places as it has thousands of them; the task
     holds this one set. No row holds two sets, and none is repeated for each pair.
     """
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes.select("class", "first_doc", "first_key"), "class")
-    involved = _small(stage(involved.select(F.col("class").alias("c"), F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved"))
+    involved = stage(involved.select(F.col("class").alias("c"), F.col("first_doc").alias("d"), F.col("first_key").alias("k")), "involved")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    met = source.join(involved, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    met = source.join(_small(involved), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
     def shingles(batches):
         for batch in batches:
@@ -211,6 +216,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
 
     sets = map_batches(met.select(F.col("c").alias("class"), "text"), "class:binary, tokens:binary", shingles)
     sets = stage(sets.dropDuplicates(["class"]), "sets")
+    discard(involved)
     heads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
     heads = stage(heads.withColumn("salts", F.ceil(F.col("rows") / PAIRS_A_TASK).cast("int")), "heads")
     salted = join_frequent(pairs, heads, ["b"], F.col("rows"), pairs.count())
@@ -233,7 +239,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
                     found_b.append(b)
             yield {"a": found_a, "b": found_b}
 
-    return map_batches(together.select("b", "a", "tokens"), "a:binary, b:binary", run)
+    links = stage(map_batches(together.select("b", "a", "tokens"), "a:binary, b:binary", run), "links")
+    discard(sets, heads)
+    return links
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -274,7 +282,7 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
     some group had more members than the last bound: rounds end when there are none. Pairs of single documents, which need
     several common tokens, all meet in the first round.
     """
-    members, done, total = OPENED_MEMBERS, None, classes.count()
+    members, done, compared, total = OPENED_MEMBERS, None, [], classes.count()
     while True:
         grouped = stage(_with_group(classes.select("class", "n", *_BITS), groups, "class"), "grouped")
         unions = stage(grouped.groupBy("gid").agg(
@@ -315,14 +323,18 @@ def _open_groups(opened: DataFrame, groups: DataFrame, links: DataFrame, classes
         pairs = pairs.filter("common >= least and roomy").select("a", "b")
         pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(stage(verified(pairs, classes, docs, n, percent), "links"))
+            links = links.unionByName(verified(pairs, classes, docs, n, percent))
             groups = components(links)
         # At any other token all members of all groups met.
         left = ranked.filter(F.col("member") > members).select("token").distinct()
+        used = opened
         opened = stage(opened.join(left, "token", "left_semi"), "opened")
+        discard(used, grouped, unions, ranked)
+        compared.append(pairs)
         if opened.isEmpty():
+            discard(opened, *compared)
             return groups
-        done = pairs if done is None else done.unionByName(pairs)
+        done = reduce(DataFrame.unionByName, compared)
         members *= 8
 
 
@@ -336,28 +348,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, ranked_to
         F.first("probe").alias("probe"))
     classes = stage(classes.select("class", "n", "keys", "probe", F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"),
                                    *[F.get("bits", i).alias(b) for i, b in enumerate(_BITS)]), "classes")
+    placed = stage(shingled.select("doc_id", "text_key", "n", "class"), "classes-of-documents")
+    discard(shingled)
     # Groups: each class against the smallest class with one of its minimum hashes.
     keyed = classes.select("class", "n", F.posexplode("keys").alias("which", "key"))
     leaders = keyed.groupBy("which", "key").agg(F.min(F.struct("class", "n")).alias("lead"), F.count(F.lit(1)).alias("rows"))
     leaders = leaders.filter("rows > 1").select("which", "key", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"))
     near = keyed.join(leaders, ["which", "key"]).filter((F.col("class") != F.col("b")) & _size_fits("n", "n_b", percent))
     near = stage(near.select(F.col("class").alias("a"), "b").distinct(), "near")
-    links = stage(verified(near, classes, docs, n, percent), "links")
+    links = verified(near, classes, docs, n, percent)
+    discard(near)
     groups = components(links)
     # Matrix: tokens of several groups.
-    prefixes = _prefixes(docs, n, percent, _token_ranks(classes, groups, ranked_tokens))
+    ranks = _token_ranks(classes, groups, ranked_tokens)
+    whole, classes = classes, stage(classes.drop("keys", "probe"), "classes")
+    discard(whole)
+    prefixes = _prefixes(docs, n, percent, ranks)
     tokens = _with_group(prefixes, groups, "class")
     tokens = tokens.select(F.xxhash64("gid").alias("group"), F.explode("prefix").alias("token"))
     held = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     shared = stage(held.filter("low <> high").select("token"), "shared")
     # Equal documents repeat their class's rows.
     opened = stage(_opened_rows(prefixes, shared).dropDuplicates(["token", "class"]), "opened")
+    discard(prefixes, shared)
     groups = _open_groups(opened, groups, links, classes, docs, n, percent)
     # Smallest id of each component, over all rows of all its classes.
-    named = _with_group(shingled.filter("n > 0").select("class", "doc_id"), groups, "class")
+    discard(classes)
+    named = _with_group(placed.filter("n > 0").select("class", "doc_id"), groups, "class")
     smallest = stage(named.groupBy("gid").agg(F.min("doc_id").alias("smallest")), "smallest")
-    placed = _with_group(shingled.select("doc_id", "text_key", "n", "class"), groups, "class").join(smallest, "gid", "left")
-    return placed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class",
+    found = _with_group(placed, groups, "class").join(smallest, "gid", "left")
+    return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class",
                          F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -370,6 +390,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     first = held.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
     wordless = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
     kept = stage(first.unionByName(wordless).distinct(), "kept")
+    discard(found)
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     joined = keyed.join(kept, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
     once = joined.dropDuplicates(["doc_id", "_text_key"])
