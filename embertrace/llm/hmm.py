@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from embertrace.llm.common import map_batches, sheltered, text_bytes, word_hashes
-from embertrace.staging import stage
+from embertrace.staging import discard, shuffles_removed, stage
 
 #: The end token. It holds white space, so no word equals it.
 END_WORD = b"\x00 end"
@@ -235,19 +235,19 @@ class Lattice:
 
     def forward(self, model: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """(log10 likelihood per document, states of all tokens or None, scales of all tokens)."""
-        state, move, emit = model
+        start, move, emit = model
+        shares = emit[self.classes]
         scales = np.empty(len(self.classes))
-        states = np.empty((len(self.classes), emit.shape[1])) if keep else None
+        states = shares if keep else None
         score = np.zeros(len(self.lengths))
-        for t, n in enumerate(self.width):
-            a, b = self.begin[t], self.begin[t + 1]
-            ahead = state[:n] @ move if t else np.broadcast_to(state, (n, len(state)))
-            state = ahead * emit[self.classes[a:b]]
-            scale = state.sum(axis=1)
-            state /= scale[:, None]
-            scales[a:b] = scale
-            if keep:
-                states[a:b] = state
+        # Sums over the few states of many documents are quicker as products.
+        ones, begin, state = np.ones(len(start)), self.begin.tolist(), None
+        for a, b in zip(begin, begin[1:]):
+            held = shares[a:b]
+            held *= start if state is None else state[: b - a] @ move
+            scale = np.dot(held, ones, out=scales[a:b])
+            held /= scale[:, None]
+            state = held
         logs = np.log10(scales)
         doc = np.concatenate([np.arange(n) for n in self.width])
         score += np.bincount(doc, logs, len(score))
@@ -259,17 +259,20 @@ class Lattice:
         score, states, scales = self.forward(model, keep=True)
         self.likelihood = float(score.sum())
         k = states.shape[1]
-        moves = np.zeros((k, k))
+        ahead = emit[self.classes]
+        ahead /= scales[:, None]
+        moves, back = np.zeros((k, k)), np.ascontiguousarray(move.T)
         after = np.ones((len(self.lengths), k))
+        begin = self.begin.tolist()
         for t in range(len(self.width) - 1, -1, -1):
-            a, b = self.begin[t], self.begin[t + 1]
-            n = self.width[t]
-            inner = after[:n] * emit[self.classes[a:b]] / scales[a:b, None]
-            states[a:b] *= after[:n]
+            a, b = begin[t], begin[t + 1]
+            n, own = b - a, after[: b - a]
+            states[a:b] *= own
             if t:
-                before = self.begin[t - 1]
-                moves += states[before: before + n].T @ inner
-                after[:n] = inner @ move.T
+                inner = ahead[a:b]
+                inner *= own
+                moves += states[begin[t - 1]: begin[t - 1] + n].T @ inner
+                np.dot(inner, back, out=own)
         return states[: self.width[0]].sum(axis=0), moves * move, states
 
 
@@ -311,18 +314,24 @@ class _Counts:
         return {"kind": kinds, "number": numbers, **{f"s{s}": values[:, s] for s in range(values.shape[1])}}
 
 
-def _summed(rows: DataFrame, vocabulary: Vocabulary, config: HmmConfig) -> tuple[Model, DataFrame | None, float]:
-    """The model, the table of emissions of words beyond the head, and the log10 likelihood under the model before."""
+def _summed(rows: DataFrame, vocabulary: Vocabulary, config: HmmConfig, held: list[DataFrame]) -> tuple[Model, DataFrame | None, float]:
+    """The model, the table of emissions of words beyond the head, and the log10 likelihood under the model before.
+
+    ``held`` has the stored table that ``rows`` read such emissions from, if any, and then the one that replaces it."""
     k, tail = config.states, vocabulary.state_words
     states = [f"s{s}" for s in range(k)]
-    sums = rows.groupBy("kind", "number").agg(*[F.sum(s).alias(s) for s in states])
+    # A task's rows are sums already: summing them once more before the shuffle would gain nothing.
+    sums = rows.repartition("kind", "number").groupBy("kind", "number").agg(*[F.sum(s).alias(s) for s in states])
     beyond, words_beyond, far = np.zeros(k), 0, None
     if vocabulary.wide:
         sums = stage(sums, "expected-counts")
+        discard(*held)
+        held[:] = [sums]
         far = sums.filter(F.col("kind") == _FAR)
         whole = far.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in states]).first()
         beyond, words_beyond = np.array([whole[s] for s in states]), whole["n"]
-    near = sums.filter(F.col("kind") != _FAR).toArrow()
+    with shuffles_removed(rows.sparkSession):
+        near = sums.filter(F.col("kind") != _FAR).toArrow()
     kind, number = (near.column(i).to_numpy() for i in (0, 1))
     values = np.stack([near.column(2 + s).to_numpy() for s in range(k)], axis=1) if len(kind) else np.zeros((0, k))
     emits, moves = np.zeros((tail + 1, k)), np.zeros((k, k))
@@ -362,7 +371,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: Dat
     spec = "kind:int, number:long, " + ", ".join(f"s{s}:double" for s in range(k))
     training = docs.filter(~F.col("held_out")).select("lang", "row", "ranks", "far")
     # Languages take states in order of their share, further ones and documents without one by hash.
-    langs = training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(k).collect()
+    with shuffles_removed(docs.sparkSession):
+        langs = training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(k).collect()
     tied = {r["lang"]: s for s, r in enumerate(langs) if r["lang"] is not None}
     far = links.select("word").distinct().select("word", *[F.lit(1.0).alias(f"s{s}") for s in range(k)]) if links is not None else None
 
@@ -377,7 +387,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: Dat
             yield from counts.add(lattice, weights[doc], weights.sum(axis=0), (weights * (lattice.lengths - 1)[:, None]).T @ weights, wide)
         yield counts.rows()
 
-    model, far, _ = _summed(map_batches(with_wide(training, links, far, config), spec, first), vocabulary, config)
+    held: list[DataFrame] = []
+    model, far, _ = _summed(map_batches(with_wide(training, links, far, config), spec, first), vocabulary, config, held)
     before = None
     while vocabulary.tokens:
         shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -390,7 +401,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: HmmConfig, links: Dat
                 yield from counts.add(lattice, states, starts, moves, wide, lattice.likelihood)
             yield counts.rows()
 
-        model, far, likelihood = _summed(map_batches(with_wide(training, links, far, config), spec, maximise), vocabulary, config)
+        model, far, likelihood = _summed(map_batches(with_wide(training, links, far, config), spec, maximise), vocabulary, config, held)
         shared.unpersist()
         if before is not None and likelihood - before < config.tolerance * vocabulary.tokens:
             break

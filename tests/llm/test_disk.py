@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from embertrace.llm.hmm import HmmConfig, Vocabulary, encoded, split, train, word_counts
 from embertrace.llm.jaccard import one_of_each
 from embertrace.llm.mixing import mixed_documents
 from embertrace.llm.repeats import without_repeats
@@ -68,3 +69,15 @@ def test_finished_tables_are_deleted(spark, texts, operator, kept):
     left = {n.rsplit("-", 1)[0] for n in set(staged(spark)) - before}
     # Besides the result's own table, tables of a few numbers per class may stay.
     assert left <= kept | {"classes-of-documents", "components", "smallest", "links"}, left
+
+
+def test_rounds_of_training_keep_no_shuffles(spark, texts):
+    rows = split(texts)
+    vocabulary = Vocabulary(word_counts(rows), HmmConfig())
+    documents = encoded(rows, vocabulary)
+    before = shuffle_files(spark)
+    train(documents, vocabulary, HmmConfig())
+    ends = time.monotonic() + 10
+    while shuffle_files(spark) > before and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
