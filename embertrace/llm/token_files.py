@@ -47,8 +47,11 @@ def repair(ids: np.ndarray, least_count: int = 32) -> tuple[int, np.ndarray, np.
     symbols = ids.astype(np.int64)
     lengths = np.ones(base, np.int64)
     rules = np.empty((0, 2), np.int64)
-    while len(symbols) > 1:
-        keys = (symbols[:-1] << 32) | symbols[1:]
+    near = np.arange(len(symbols) - 1)
+    while len(near):
+        # ``near`` has the pairs that hold a symbol of the last round. A round leaves no occurrence of a frequent pair, and
+        # symbols come to stand together only beside a new one, so all other pairs are still rare.
+        keys = (symbols[near] << 32) | symbols[near + 1]
         # Counts by a small table of hashes set aside most rare pairs; what they let through is sorted and counted exactly.
         spots = _spots(keys)
         places = np.flatnonzero((np.bincount(spots, minlength=1 << 20) >= least_count)[spots])
@@ -58,13 +61,17 @@ def repair(ids: np.ndarray, least_count: int = 32) -> tuple[int, np.ndarray, np.
         frequent = order[starts[counts >= least_count]]
         if not len(frequent):
             break
-        marked = np.zeros(1 << 20, bool)
-        marked[_spots(frequent)] = True
-        places = places[marked[spots[places]]]
-        at = np.searchsorted(frequent, keys[places])
-        at[at == len(frequent)] = 0
-        hit = frequent[at] == keys[places]
-        places, at = places[hit], at[hit]
+        # A table by hash tells which frequent pair stands at a place; pairs that share their hash with another are searched for.
+        numbers = np.full(1 << 20, -1, np.int32)
+        numbers[_spots(frequent)] = np.arange(len(frequent))
+        at = numbers[spots[places]]
+        places, at = places[at >= 0], at[at >= 0]
+        met = keys[places]
+        hit = frequent[at] == met
+        other = np.flatnonzero(~hit)
+        at[other] = np.minimum(np.searchsorted(frequent, met[other]), len(frequent) - 1)
+        hit[other] = frequent[at[other]] == met[other]
+        places, at = near[places[hit]], at[hit]
         # In a run of overlapping pairs take every other one, from the run's start.
         begins = np.r_[True, np.diff(places) > 1]
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
@@ -79,6 +86,12 @@ def repair(ids: np.ndarray, least_count: int = 32) -> tuple[int, np.ndarray, np.
         rest = np.ones(len(symbols), bool)
         rest[taken + 1] = False
         symbols = symbols[rest]
+        # Where the new symbols stand now, and the pairs that they are the first or second of.
+        new = taken - np.arange(len(taken))
+        touched = np.zeros(len(symbols) + 1, bool)
+        touched[new] = True
+        touched[new - 1] = True
+        near = np.flatnonzero(touched[: max(len(symbols) - 1, 0)])
         pairs = np.stack([frequent[used] >> 32, frequent[used] & 0xFFFFFFFF], axis=1)
         lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
         rules = np.concatenate([rules, pairs])

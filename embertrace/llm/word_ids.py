@@ -139,7 +139,8 @@ class TextEncoder:
         if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self._whole(text), np.uint32)
         if self.by_words:
-            words = text.split()
+            # The normaliser lower-cases; in ASCII that is done before words are told apart, so fewer are new.
+            words = (text.lower() if text.isascii() else text).split()
         elif _ODD_SPACE(text):
             return np.array(self._whole(text), np.uint32)
         else:

@@ -504,3 +504,14 @@ def test_html_wrapper_grows_by_what_the_skeleton_lacks(spark):
         lines = r.text.split("\n")
         assert lines[0] == stories[r.page_id]
         assert "Read our terms here" not in r.text and len(lines) == 1 + bool(r.page_id % 3)
+
+
+def test_repair_counts_only_pairs_of_new_symbols(monkeypatch):
+    """After the first round only pairs that hold a symbol of the last round are counted; the ids come back."""
+    counted = []
+    spots = token_files._spots
+    monkeypatch.setattr(token_files, "_spots", lambda keys: counted.append(len(keys)) or spots(keys))
+    ids = np.concatenate([np.random.default_rng(3).integers(100, 5000, 20_000), np.tile([1, 2, 3, 4, 5, 6, 7], 300)]).astype(np.uint32)
+    base, rules, lengths, symbols = token_files.repair(ids)
+    assert counted[0] == len(ids) - 1 and max(c for c in counted[1:]) < 3000
+    assert np.array_equal(token_files.expand(base, rules.astype(np.int64), lengths.astype(np.int64), symbols.astype(np.int64)), ids)
